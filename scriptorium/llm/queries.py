@@ -76,11 +76,53 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     measured = work_table(quality.measure_documents(docs).drop("text"), "quality-measures")
-    return quality.judge(measured).select("doc_id", *quality.MEASURES, "base_failed", "host_rate", "kept")
+    return quality.judge(measured).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontaminate, op4_line_dedup, op5_toxicity, op6_chat, op7_sentencepiece, op8_token_counts, op9_near_dup, op10_quality)}
 
-_WORDS = r"list_filter(regexp_split_to_array(lower_ascii, '[\x20\x09-\x0D]+'), w -> w <> '')"
-
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE = r"[\x20\x09-\x0D]+"
+
+
+def _words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{_SPACE}'), lambda x: x <> '')"
+
+
+def _shingles_sql(table_name: str, key: str, size: int) -> str:
+    """Rows (key, s) of the distinct runs of ``size`` words, or of all words if they are fewer."""
+    return f"""(select distinct {key}, array_to_string(w[i : i + {size} - 1], ' ') as s from (select {key}, w, unnest(range(1, greatest(2, len(w) - {size} + 2))) as i
+        from (select {key}, {_words_sql(f"coalesce({_LOWER}, '')")} as w from {table_name}) where len(w) > 0))"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    # Items of fewer than five words, which the tables don't have, would need runs of other lengths.
+    "op3_decontaminate": f"""with i as {_shingles_sql("benchmark", "item_id", 5)}, d as {_shingles_sql("documents", "doc_id", 5)}, n as (select item_id, count(*) as n_shingles from i group by 1)
+        select doc_id, item_id, n_held, n_shingles, n_held / n_shingles::double as containment from (select doc_id, item_id, count(*) as n_held from d join i using (s) group by all) join n using (item_id) where 100 * n_held >= 80 * n_shingles""",
+    "op4_line_dedup": rf"""with l as (select doc_id, i, line, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^{_SPACE}|{_SPACE}$', '', 'g') as key
+        from (select doc_id, unnest(range(1, len(p) + 1)) as i, unnest(p) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as p from documents))),
+        k as (select key, min(doc_id) as keeper from l where length(key) >= 10 group by key having count(distinct doc_id) >= 2)
+        select doc_id, count(*) as n_lines, count(*) filter (keeper <> doc_id) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (keeper is null or keeper = doc_id), '')) as kept_sha256 from l left join k using (key) group by doc_id""",
+    "op6_chat": r"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, t, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(t, r)),
+        e as (select *, row_number() over w as n, count(*) over (partition by conv_id) as total, 15 + length(role) + length(text) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(regexp_replace(text, '[^\\#<]', '', 'g')) as size from c window w as (partition by conv_id order by turn, role, text)),
+        s as (select *, sum(size) over (partition by conv_id order by n) as upto from e)
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+        sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(upto) filter (role = 'assistant' or n = total) as bigint) as formatted_chars from s group by conv_id""",
+    "op9_near_dup": f"""with recursive d as {_shingles_sql("documents", "doc_id", 3)}, n as (select doc_id, count(*) as n_shingles from d group by 1),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from d a join d b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+        e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n_shingles + y.n_shingles - shared)),
+        r(doc_id, reached) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on r.reached = e.a)
+        select doc_id, coalesce(n_shingles, 0) as n_shingles, component_id, doc_id = component_id as kept from (select doc_id, min(reached) as component_id from r group by 1) left join n using (doc_id)""",
+    "op10_quality": rf"""with t as (select doc_id, source, coalesce(text, '') as text from documents), w as (select doc_id, source, text, {_words_sql("text")} as w from t),
+        tri as (select doc_id, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+        rep as (select doc_id, count(distinct i + k) as n from (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as times from tri), (values (0), (1), (2)) v(k) where times > 1 group by 1),
+        dup as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from t) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+        m as (select doc_id, source, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words
+            from w left join dup using (doc_id) left join rep using (doc_id)),
+        f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, n_words < 50 or 100 * n_repeat_words > 50 * n_words or 100 * n_symbols > 10 * word_chars as failed from m),
+        h as (select source, count(*) as n, sum(failed::int) as bad from f where source is not null group by 1),
+        q as (select avg(bad / n::double) as mean, avg((bad / n::double) * (bad / n::double)) as square from h),
+        z as (select mean, case when square - mean * mean > 1e-12 then least(greatest(mean * (1 - mean) / (square - mean * mean) - 1, 1.0), 1e6) else 1e6 end as weight from q),
+        v as (select source, (bad + mean * weight) / (n + weight) <= 0.5 as good from h, z)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(good, true) as kept from f left join v using (source)""",
+}
