@@ -23,8 +23,8 @@ from scriptorium.llm.common import replace_columns, worker_threads
 
 #: Characters of a chunk, and by how many the next one overlaps it at first.
 CHUNK, OVERLAP = 32_768, 512
-#: Segments remembered in a worker before the memory is emptied.
-MEMORY = 1_000_000
+#: Segments remembered in a worker before the memory is emptied, and characters and segments looked at in one go.
+MEMORY, CALL_CHARS, CALL_SEGMENTS = 300_000, 2_000_000, 20_000
 _STABLE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \t\n])")
 _INNER = re.compile(r"(?<=\S)(?= )")
 _DOUBLE = re.compile(r"\s ")
@@ -69,7 +69,9 @@ class Counter:
         if len(self.memory) > MEMORY:
             self.memory.clear()
         new = list({s for segments in cut for s in segments if s not in self.memory})
-        self.memory.update(zip(new, self.whole(new), strict=True))
+        for k in range(0, len(new), CALL_SEGMENTS):
+            part = new[k : k + CALL_SEGMENTS]
+            self.memory.update(zip(part, self.whole(part), strict=True))
         known = self.memory.__getitem__
         return [sum(map(known, segments)) for segments in cut]
 
@@ -108,14 +110,24 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
-        short = [i for i, t in enumerate(texts) if len(t) <= self.chunk]
-        for i, n in zip(short, self.short([texts[i] for i in short]), strict=True):
-            out[i] = n
-        for i, t in enumerate(texts):
-            if len(t) > self.chunk:
-                out[i] = self.long(t)
+        part: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if len(text) > self.chunk:
+                out[i] = self.long(text)
+                continue
+            part.append(i)
+            size += len(text)
+            if size >= CALL_CHARS:
+                self._fill(out, part, texts)
+                part, size = [], 0
+        self._fill(out, part, texts)
         return out
 
+    def _fill(self, out: list[int], which: list[int], texts: list[str]) -> None:
+        for i, n in zip(which, self.short([texts[i] for i in which]), strict=True):
+            out[i] = n
+
 
 def load_tokenizer(path: str):
     """The tokenizer, if it is one for which the stable boundaries hold."""
