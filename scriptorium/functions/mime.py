@@ -31,7 +31,7 @@ MIME_TYPES = {
 }
 UNKNOWN = "application/octet-stream"
 #: The reader for an extension; any other is read as text.
-FORMATS = {"md": "markdown", "markdown": "markdown", "pdf": "pdf", "docx": "docx", "doc": "doc", "xlsx": "xlsx", "xls": "xlsx", "html": "html", "htm": "html", "json": "json", "csv": "csv"}
+FORMATS = {"md": "markdown", "markdown": "markdown", "pdf": "pdf", "docx": "docx", "doc": "doc", "xlsx": "xlsx", "xls": "xls", "html": "html", "htm": "html", "json": "json", "csv": "csv"}
 
 
 def extension(filename: Column | str) -> Column:

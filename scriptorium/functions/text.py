@@ -62,6 +62,13 @@ def looks_scanned(text: Column | str, pages: Column | str) -> Column:
     return F.when(F.length(trimmed) == 0, True).otherwise((average < 100) | (special > 0.3) | (readable < 0.5) | ((average < 200) & (special > 0.2)))
 
 
+def pdf_info(text: Column | str, pages: Column | str) -> Column:
+    """What is known of a PDF from its text: pages, length, characters a page, special characters, whether it looks scanned."""
+    text, pages = _col(text), _col(pages)
+    length = F.length(text).cast("bigint")
+    return F.struct(pages.cast("bigint").alias("num_pages"), length.alias("text_length"), (length / pages).alias("avg_chars_per_page"), special_ratio(text).alias("special_char_ratio"), looks_scanned(text, pages).alias("is_scanned"))
+
+
 def format_size(size: Column | str) -> Column:
     """Bytes with two decimals and a unit from B to GB."""
     size = _col(size).cast("double")

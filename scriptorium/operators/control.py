@@ -71,6 +71,50 @@ def or_default(run: Callable, default=None, rethrow: bool = False):
         return default
 
 
+def _now_ms() -> int:
+    return int(time.time() * 1000)
+
+
+def limited(run: Callable, machine: Callable, key: Callable = lambda *a, **k: None, clock: Callable[[], int] = _now_ms) -> Callable:
+    """``run`` behind a limiter of operators.state, one for each key of its arguments; a call over the limit is an error."""
+    steps: dict = {}
+
+    def call(*args, **kwargs):
+        k = key(*args, **kwargs)
+        if k not in steps:
+            steps[k] = machine()
+        if not steps[k](clock())[0]:
+            raise RateLimitError(f"too many calls: {k}")
+        return run(*args, **kwargs)
+
+    return call
+
+
+def guarded(run: Callable, machine: Callable, fallback: Callable | None = None, clock: Callable[[], int] = _now_ms) -> Callable:
+    """``run`` behind a circuit breaker of operators.state; while it is open, the fallback or an error."""
+    step, reopens = machine(), 0
+
+    def call(*args, **kwargs):
+        nonlocal reopens
+        began = clock()
+        if began < reopens:
+            if fallback:
+                return fallback(*args, **kwargs)
+            raise CircuitBreakerError("the circuit is open")
+        try:
+            out, ok = run(*args, **kwargs), True
+            return out
+        except Exception:
+            ok = False
+            raise
+        finally:
+            ended = clock()
+            state = step(ended, None, ok, ended - began)[1]
+            reopens = ended + machine.reset_ms if state == "open" else 0
+
+    return call
+
+
 OPERATIONS = "operation string, started timestamp, ended timestamp, duration double, success boolean, error string"
 
 

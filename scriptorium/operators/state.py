@@ -153,6 +153,7 @@ def breaker(failures: int = 5, rate: float = 0.5, successes: int = 2, reset_ms:
 
         return step
 
+    machine.reset_ms = reset_ms
     return machine
 
 

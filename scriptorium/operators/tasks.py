@@ -58,12 +58,14 @@ def progress(tasks: DataFrame, pages: DataFrame) -> DataFrame:
     """(task_id, total, completed, failed, percentage, status) by task.
 
     Pages count once in each set; a page that failed and then succeeded is in both. A task
-    is over once both sets together reach its total, and failed if no page succeeded.
+    is over once both sets together reach its total, and failed if no page succeeded. If
+    ``tasks`` has a boolean column ``cancelled``, it tells which were stopped.
     """
     sets = pages.groupBy("task_id").agg(F.count_distinct(F.when(F.col("status") == SUCCESS, F.col("page"))).alias("completed"), F.count_distinct(F.when(F.col("status") == PAGE_FAILED, F.col("page"))).alias("failed"))
-    joined = tasks.select("task_id", F.col("total").cast("bigint").alias("total")).join(sets, "task_id", "left").na.fill(0, ["completed", "failed"])
+    stopped = F.col("cancelled") if "cancelled" in tasks.columns else F.lit(False)
+    joined = tasks.select("task_id", F.col("total").cast("bigint").alias("total"), F.coalesce(stopped, F.lit(False)).alias("stopped")).join(sets, "task_id", "left").na.fill(0, ["completed", "failed"])
     seen = F.col("completed") + F.col("failed")
-    status = F.when((F.col("total") > 0) & (seen >= F.col("total")), F.when((F.col("failed") > 0) & (F.col("completed") == 0), FAILED).otherwise(COMPLETED)).when(seen > 0, PROCESSING).otherwise(PENDING)
+    status = F.when(F.col("stopped"), CANCELLED).when((F.col("total") > 0) & (seen >= F.col("total")), F.when((F.col("failed") > 0) & (F.col("completed") == 0), FAILED).otherwise(COMPLETED)).when(seen > 0, PROCESSING).otherwise(PENDING)
     share = F.when(F.col("total") > 0, F.floor(seen * 100 / F.col("total"))).otherwise(0).cast("bigint")
     return joined.select("task_id", "total", "completed", "failed", share.alias("percentage"), status.alias("status"))
 

@@ -40,3 +40,10 @@ def require_valid(files: DataFrame, **options) -> DataFrame:
     return checked.filter(F.coalesce(F.assert_true(F.col("valid"), message).cast("string"), F.lit("")) == "")
 
 
+#: Bytes that a fetched page may have.
+MAX_PAGE = 10 * 1024 * 1024
+
+
+def fetchable(url: Column, body: Column, most: int = MAX_PAGE) -> Column:
+    """Whether a page came over HTTP from a valid address and is not too long."""
+    return url.rlike(r"(?i)\Ahttps?://[^/\s]+") & (F.octet_length(body) <= most)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,27 +52,35 @@ def read_markdown(files: DataFrame, encoding: str | None = "utf-8") -> DataFrame
     return read_text(files, encoding, "markdown")
 
 
-def _parsed(files: DataFrame, column: str, parse: Callable[[object], Parsed]) -> DataFrame:
-    """The documents that ``parse`` makes of each file; only its column goes to Python."""
+def _parsed(files: DataFrame, column: str, parse: Callable[[object], Parsed], skip_errors: bool = False) -> DataFrame:
+    """The documents that ``parse`` makes of each file; only its column goes to Python. A file it fails on is an error, or left out."""
+
+    def documents(value) -> list[dict]:
+        try:
+            return [{"content": c, "meta": m} for c, m in parse(value)] if value is not None else []
+        except Exception:
+            if not skip_errors:
+                raise
+            return []
 
     @F.pandas_udf("array<struct<content:string,meta:map<string,string>>>")
     def run(values: pd.Series) -> pd.Series:
-        return pd.Series([[{"content": c, "meta": m} for c, m in parse(v)] if v is not None else [] for v in values], dtype=object)
+        return pd.Series([documents(v) for v in values], dtype=object)
 
     cut = files.select("path", F.posexplode(run(column)).alias("k", "d"))
     return _document(cut, F.col("d.content"), F.col("d.meta"), F.col("k"))
 
 
-def read_csv(files: DataFrame, split_rows: bool = True, use_markdown: bool = True, separator: str = ",", source_column: str | None = None, metadata_columns: tuple[str, ...] = (), encoding: str | None = "utf-8") -> DataFrame:
+def read_csv(files: DataFrame, split_rows: bool = True, use_markdown: bool = True, separator: str = ",", source_column: str | None = None, metadata_columns: tuple[str, ...] = (), encoding: str | None = "utf-8", skip_errors: bool = False) -> DataFrame:
     """Rows as documents, or a Markdown table for each file, or its plain text."""
     held = _texts(files, encoding)
     if split_rows:
-        return _parsed(held, "text", lambda t: parsing.csv_rows(t, separator, source_column, metadata_columns))
-    return _parsed(held, "text", lambda t: parsing.csv_table(t, separator)) if use_markdown else read_text(files, encoding, "csv")
+        return _parsed(held, "text", lambda t: parsing.csv_rows(t, separator, source_column, metadata_columns), skip_errors)
+    return _parsed(held, "text", lambda t: parsing.csv_table(t, separator), skip_errors) if use_markdown else read_text(files, encoding, "csv")
 
 
-def read_json(files: DataFrame, path: str | None = None, content_key: str | None = None, metadata_keys: tuple[str, ...] = (), pretty: bool = True, encoding: str | None = "utf-8") -> DataFrame:
-    return _parsed(_texts(files, encoding), "text", lambda t: parsing.json_documents(t, path, content_key, metadata_keys, pretty))
+def read_json(files: DataFrame, path: str | None = None, content_key: str | None = None, metadata_keys: tuple[str, ...] = (), pretty: bool = True, encoding: str | None = "utf-8", skip_errors: bool = False) -> DataFrame:
+    return _parsed(_texts(files, encoding), "text", lambda t: parsing.json_documents(t, path, content_key, metadata_keys, pretty), skip_errors)
 
 
 def read_html(files: DataFrame, mode: str = "markdown", tags: tuple[str, ...] = parsing.HTML_TAGS, encoding: str | None = "utf-8") -> DataFrame:
@@ -94,28 +102,28 @@ def html_elements(pages: DataFrame, key: str, html: str, tags: tuple[str, ...] =
     return _document(each, F.col("text"), metadata(format="html", element=F.col("tag")), F.col("t") * 1_000_000 + F.col("k"))
 
 
-def read_docx(files: DataFrame) -> DataFrame:
-    return _parsed(files, "content", parsing.docx_text)
+def read_docx(files: DataFrame, skip_errors: bool = False) -> DataFrame:
+    return _parsed(files, "content", parsing.docx_text, skip_errors)
 
 
-def read_xlsx(files: DataFrame, **options) -> DataFrame:
-    return _parsed(files, "content", lambda c: parsing.xlsx_documents(c, **options))
+def read_xlsx(files: DataFrame, skip_errors: bool = False, **options) -> DataFrame:
+    return _parsed(files, "content", lambda c: parsing.xlsx_documents(c, **options), skip_errors)
 
 
-def read_with(files: DataFrame, provider: Callable[[bytes], Parsed] | None, kind: str) -> DataFrame:
+def read_with(files: DataFrame, provider: Callable[[bytes], Parsed] | None, kind: str, skip_errors: bool = False) -> DataFrame:
     """Documents of a caller's converter."""
     if provider is None:
         raise ValueError(f"reading {kind} files needs a provider")
-    return _parsed(files, "content", provider)
+    return _parsed(files, "content", provider, skip_errors)
 
 
-def read_pdf(files: DataFrame, providers: Providers, detect_scanned: bool = True) -> DataFrame:
+def read_pdf(files: DataFrame, providers: Providers, detect_scanned: bool = True, skip_errors: bool = False) -> DataFrame:
     """PDFs by the caller's text extractor; those whose text looks scanned by its OCR, if there is one."""
     if not (detect_scanned and providers.ocr):
-        return read_with(files, providers.pdf, "PDF")
+        return read_with(files, providers.pdf, "PDF", skip_errors)
     plain, ocr = providers.pdf, providers.scanned
     looks = _looks_scanned
-    return _parsed(files, "content", lambda c: ocr(c) if plain is None or looks(found := plain(c)) else found)
+    return _parsed(files, "content", lambda c: ocr(c) if plain is None or looks(found := plain(c)) else found, skip_errors)
 
 
 def _looks_scanned(found: Parsed) -> bool:
@@ -132,13 +140,16 @@ def _looks_scanned(found: Parsed) -> bool:
     return average < 100 or special > 0.3 or readable < 0.5 or average < 200 and special > 0.2
 
 
-def read_files(files: DataFrame, providers: Providers = Providers(), overrides: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+def read_files(files: DataFrame, providers: Providers = Providers(), overrides: dict[str, Callable[[DataFrame], DataFrame]] | None = None, skip_errors: bool = False) -> DataFrame:
     """Every file by the reader of its extension; unknown ones as text. Formats without a provider are left out."""
-    readers: dict[str, Callable[[DataFrame], DataFrame]] = {"text": read_text, "markdown": read_markdown, "csv": read_csv, "json": read_json, "html": read_html, "docx": read_docx, "xlsx": read_xlsx}
+    tolerant: dict[str, Callable[..., DataFrame]] = {"csv": read_csv, "json": read_json, "docx": read_docx, "xlsx": read_xlsx}
+    readers: dict[str, Callable[[DataFrame], DataFrame]] = {"text": read_text, "markdown": read_markdown, "html": read_html}
+    readers |= {kind: partial(reader, skip_errors=skip_errors) for kind, reader in tolerant.items()}
     if providers.pdf or providers.ocr:
-        readers["pdf"] = lambda f: read_pdf(f, providers)
-    if providers.doc:
-        readers["doc"] = lambda f: read_with(f, providers.doc, "DOC")
+        readers["pdf"] = lambda f: read_pdf(f, providers, skip_errors=skip_errors)
+    for kind in ("doc", "xls"):
+        if provider := getattr(providers, kind):
+            readers[kind] = partial(read_with, provider=provider, kind=kind.upper(), skip_errors=skip_errors)
     readers |= overrides or {}
     typed = files.withColumn("format", format_of("path"))
     parts = [reader(typed.filter(F.col("format") == kind).drop("format")) for kind, reader in readers.items()]
@@ -146,7 +157,8 @@ def read_files(files: DataFrame, providers: Providers = Providers(), overrides:
 
 
 def read_directory(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True, exclude: str = EXCLUDED, ignore_errors: bool = False, **options) -> DataFrame:
-    return read_files(binary_files(spark, path, glob, recursive, exclude, ignore_errors), **options)
+    """The files under a folder; with ``ignore_errors`` those that can't be read or parsed are left out."""
+    return read_files(binary_files(spark, path, glob, recursive, exclude, ignore_errors), skip_errors=ignore_errors, **options)
 
 
 def table_rows(df: DataFrame, key: str, columns: list[str], metadata_columns: tuple[str, ...] = ()) -> DataFrame:

@@ -176,3 +176,34 @@ def test_recorder(spark):
     with pytest.raises(ZeroDivisionError), recorder.operation("a"):
         1 / 0
     assert metrics.aggregate_metrics(recorder.table(spark)).first().failure_count == 1
+
+
+def test_guards():
+    now = [0]
+    limited = control.limited(lambda x: x, state.sliding_window(2, 10), key=lambda x: x, clock=lambda: now[0])
+    assert [limited("a"), limited("a"), limited("b")] == ["a", "a", "b"]
+    with pytest.raises(control.RateLimitError):
+        limited("a")
+    now[0] = 10
+    assert limited("a") == "a"
+    run = control.guarded(lambda x: 1 / x, state.breaker(failures=2, successes=1, reset_ms=50, minimum=100), clock=lambda: now[0])
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            run(0)
+    with pytest.raises(control.CircuitBreakerError):
+        run(1)
+    now[0] = 60
+    assert run(1) == 1.0
+
+
+def test_cancelled_tasks_and_pdf_info(spark):
+    own = spark.createDataFrame([(1, 2, True), (2, 2, None)], "task_id long, total long, cancelled boolean")
+    none = spark.createDataFrame([], tasks.RESULT)
+    assert {r.task_id: r.status for r in tasks.progress(own, none).collect()} == {1: "cancelled", 2: "pending"}
+    info = spark.createDataFrame([("word " * 100, 2)], "t string, n long").select(tx.pdf_info("t", "n").alias("i")).first().i
+    assert (info.num_pages, info.text_length, info.avg_chars_per_page, info.is_scanned) == (2, 500, 250.0, False)
+
+
+def test_fetchable(spark):
+    rows = spark.createDataFrame([("https://a.b/c", "x"), ("ftp://a.b", "x"), ("http://a", "x" * 20)], "u string, h string")
+    assert [r[0] for r in rows.select(validation.fetchable(F.col("u"), F.col("h"), 10)).collect()] == [True, False, False]

@@ -92,6 +92,15 @@ def test_directory(spark, folder):
     assert [(r.page_content, r.metadata["totalPages"]) for r in pdf] == [("one", "2"), ("two", "2")]
 
 
+def test_broken_files_can_be_left_out(spark, tmp_path):
+    (tmp_path / "a.json").write_text("{")
+    (tmp_path / "b.docx").write_text("no archive")
+    (tmp_path / "c.json").write_text("[1]")
+    assert readers.read_directory(spark, str(tmp_path), ignore_errors=True).count() == 1
+    with pytest.raises(Exception, match="JSON|Expecting"):
+        readers.read_directory(spark, str(tmp_path), glob="*.json").collect()
+
+
 def test_service_and_cache(spark):
     files = spark.createDataFrame([("a.txt", b"a  b"), ("b.exe", b"x")], "filename string, content binary")
     result = process_buffers(files, clean_text, enrich)
