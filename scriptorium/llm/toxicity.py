@@ -25,6 +25,8 @@ TRAIN_PER_CLASS, LEXICON_SIZE, FUZZY_FROM = 2000, 128, 5
 STEM_LETTERS, LEAST_FAMILIES = range(3, 9), 4
 #: Words on either side that make the context of a match, and what the context adds to its weight of one.
 WINDOW, QUOTED, AIMED = 8, -0.75, 0.5
+#: What a misspelling counts, against the word itself, if the sample has none.
+FUZZY_SHARE = 0.8
 EXACT, FUZZY, STEM = 1, 2, 3
 #: Words that report speech, words that address somebody, and quotation marks.
 REPORTING = "said says quote quoted quotes called word term wrote written cited dit disait cita dijo palabra sagte wort zitat".split()
@@ -290,11 +292,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, le
 
     seen = np.array([tuple(r) for r in sample.mapInPandas(features, "sure double, fuzzy double, toxic int").collect()])
     x, y = seen[:, :2], seen[:, 2]
-    if not x[:, 1].any():  # no misspelling was seen: one counts a little less than the word itself
-        w = _logistic(x[:, :1], y)
-        model.weights = np.array([w[0], w[1], 0.8 * w[1]])
-    else:
-        model.weights = _logistic(x, y)
+    model.weights = _logistic(x, y)
+    # Misspellings are rare in a sample: whatever it shows, one counts between half and all of the word itself.
+    model.weights[2] = np.clip(model.weights[2] if x[:, 1].any() else FUZZY_SHARE * model.weights[1], 0.5 * model.weights[1], model.weights[1])
     return model
 
 
