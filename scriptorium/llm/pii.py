@@ -92,15 +92,13 @@ def with_context(spans: str) -> Column:
 
 def _mentions(found: DataFrame) -> DataFrame:
     """One row for every span and each of its patterns: two words before, or one before and one after."""
-    each = found.select("row", F.explode(with_context_column()).alias("m")).select("row", "m.*")
-    patterns = F.array(F.when(F.col("before").contains(" "), F.concat(F.col("before"), F.lit(" _"))), F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat("l1", F.lit(" _ "), "r1")))
+    each = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+    # Both of a pattern's words must have a letter: separators of tables and lists tell nothing.
+    before, around = F.col("before").rlike(r"\p{L}\S* .*\p{L}"), F.col("l1").rlike(r"\p{L}") & F.col("r1").rlike(r"\p{L}")
+    patterns = F.array(F.when(before, F.concat("before", F.lit(" _"))), F.when(around, F.concat("l1", F.lit(" _ "), "r1")))
     return each.select("row", "kind", "start", "end", "value", F.explode(F.array_compact(patterns)).alias("pattern"))
 
 
-def with_context_column() -> Column:
-    return F.col("mentions")
-
-
 def trusted_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, confidence) of the patterns that are sure enough.
 
