@@ -14,34 +14,51 @@ from scriptorium.llm.common import fold, table, work_table
 from scriptorium.llm.queries import tokenizer_path
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns in one, so that no operator's columns can meet them."""
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(1).alias("__1"), *[f"`{c}`" for c in other]).alias("__other"))
+
+
+def _together(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__other")[c].alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under the threshold; learned as op5 does, from two thirds of the labels."""
+    """Documents whose toxicity is under the threshold; learned as op5 does, from two thirds of the labels.
+
+    Null and empty texts have the score of a text without a match.
+    """
     labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 3) != 1)
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    scored = toxicity.score_toxicity(docs, model, with_hits=False)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_toxicity(_aside(docs), model, with_hits=False)
+    return _together(scored.filter("predicted = 0"), docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one holds; those left without a word go."""
-    kept = line_dedup.dedup_lines(docs)
+    """Documents without the lines that an earlier one holds; those that so lose their last word go.
+
+    Documents that lose nothing stay, empty ones too; a null text becomes an empty one. n_chars follows the text.
+    """
+    kept = line_dedup.dedup_lines(_aside(docs))
     kept = kept.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_dropped") == 0))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = _together(kept, docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id; rows without an id or a word stay."""
     gone = near_dup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows without an id or a text stay."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their SentencePiece ids."""
+    """The documents with their SentencePiece ids; a null text has none."""
     return sentencepiece_codec.encode_documents(docs, tokenizer_path("piece_bpe_32k.model"))
 
 

@@ -101,6 +101,17 @@ def test_quality_on_odd_input(spark, edge, empty):
     assert quality.judge(quality.measure_documents(empty)).count() == 0
 
 
+def test_stages_on_odd_input(spark, sample, edge, empty):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edge, sample)
+        assert out.select("doc_id").distinct().count() >= 10, name
+        if name != "sentencepiece":
+            assert out.columns == edge.columns and {r[0] for r in out.select("score").collect()} == {"own"}, name
+        assert stage(spark, empty, sample).count() == 0, name
+
+
 # Rules ---------------------------------------------------------------------------
 
 
