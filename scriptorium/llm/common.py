@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +67,22 @@ def replace_columns(df: DataFrame, struct: str, fields: list[str]) -> DataFrame:
     return df.select(*kept, *[F.col(struct)[f].alias(f) for f in fields])
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Spark keeps a Python worker for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(batches: Iterator) -> Iterator:
+    """The batches; when they are over, freed memory goes back to the system."""
+    try:
+        yield from batches
+    finally:
+        release_memory()
+
+
 def add_from_text(docs: DataFrame, fields: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]], portion: int = 1_000_000) -> DataFrame:
     """``docs`` with columns made from whole texts, in place of any columns of those names.
 
@@ -88,6 +107,8 @@ def add_from_text(docs: DataFrame, fields: str, make: Callable[[], Callable[[lis
                     part = batch.slice(lo, hi - lo)
                     texts = [t or "" for t in part.column(at).to_pylist()]
                     yield pa.RecordBatch.from_arrays([*part.columns, *compute(texts)], names=columns)
+        del compute
+        release_memory()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added.fields]))
 

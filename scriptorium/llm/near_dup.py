@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import mix64, shingle_hashes, utf8, word_hashes, work_table
+from scriptorium.llm.common import mix64, releasing, shingle_hashes, utf8, word_hashes, work_table
 from scriptorium.llm.components import connected_components
 
 #: Places on the circle, as a power of two.
@@ -65,7 +65,7 @@ def _sign(size: int):
     @F.pandas_udf("n_shingles long, d1 long, d2 long, bands array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hasher = CirculantMinHash()
-        for texts in batches:
+        for texts in releasing(batches):
             rows = []
             for text in texts:
                 shingles = shingle_set(text, size)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import replace_columns, shingle_hashes, word_hashes
+from scriptorium.llm.common import releasing, replace_columns, shingle_hashes, word_hashes
 
 #: Labelled documents of each class that are learned from, terms of the lexicon, shortest word with misspellings.
 TRAIN_PER_CLASS, LEXICON_SIZE, FUZZY_FROM = 2000, 128, 5
@@ -318,12 +318,13 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, with_h
     fields = "score double" + f", hits {HITS}" * with_hits
 
     @F.pandas_udf(fields)
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.hits(t) for t in texts]
-        out = pd.DataFrame({"score": [shared.value.score(h) for h in found]}, dtype=float)
-        if with_hits:
-            out["hits"] = [[{"start": a, "end": b, "kind": KINDS[k], "weight": w} for a, b, k, w in h] for h in found]
-        return out
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in releasing(batches):
+            found = [shared.value.hits(t) for t in texts]
+            out = pd.DataFrame({"score": [shared.value.score(h) for h in found]}, dtype=float)
+            if with_hits:
+                out["hits"] = [[{"start": a, "end": b, "kind": KINDS[k], "weight": w} for a, b, k, w in h] for h in found]
+            yield out
 
     out = docs.drop("predicted").withColumn("__t", scored(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     out = replace_columns(out, "__t", ["score", "hits"] if with_hits else ["score"])
