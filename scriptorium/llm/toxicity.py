@@ -50,7 +50,8 @@ def code_points(text: str) -> np.ndarray:
 class Automaton:
     """The lexicon's trie, intersected with Levenshtein automata, as one table of transitions.
 
-    A state is a set of (trie node, errors); symbol 0 stands for letters in no term.
+    A state is a set of (trie node, errors); symbol 0 stands for letters in no term. Words and
+    stems of FUZZY_FROM letters or more match with one error.
     """
 
     def __init__(self, words: list[str], stems: list[str]):
@@ -70,7 +71,7 @@ class Automaton:
                         children[node][step] = len(children) - 1
                     node = children[node][step]
                 ends.setdefault(node, set()).add((kind, len(term)))
-        stem_nodes = {n for n, kinds in ends.items() if any(k == STEM for k, _ in kinds)}
+        stem_nodes = {n: length >= FUZZY_FROM for n, kinds in ends.items() for k, length in kinds if k == STEM}
 
         def closed(found: set[tuple[int, int]]) -> frozenset:
             """With letters of the trie that the text lacks."""
@@ -79,8 +80,8 @@ class Automaton:
         def after(state: frozenset, symbol: int) -> frozenset:
             out = set()
             for node, errors in state:
-                if node == -1 or node in stem_nodes and not errors:
-                    out.add((-1, 0))  # past a stem anything goes
+                if node == -1 or node in stem_nodes and (not errors or stem_nodes[node]):
+                    out.add((-1, errors))  # past a stem anything goes
                 if node == -1:
                     continue
                 if symbol in children[node]:
@@ -96,7 +97,7 @@ class Automaton:
                 return EXACT
             if (-1, 0) in state or any(k == STEM and not errors for k, errors, _ in kinds):
                 return STEM
-            return FUZZY if any(k == EXACT and n >= FUZZY_FROM for k, _, n in kinds) else 0
+            return FUZZY if (-1, 1) in state or any(n >= FUZZY_FROM for *_, n in kinds) else 0
 
         start = closed({(0, 0)})
         numbers, todo, rows, verdicts = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)], [0, verdict(start)]
@@ -204,8 +205,7 @@ def choose_terms(counts: list[tuple[str, str, int, int]], n_toxic: int, n_clean:
         if len(words) + len(stems) >= size:
             break
         if kind == "word":
-            if not any(term.startswith(s) for s in stems):
-                words.append(term)
+            words.append(term)  # even if a stem covers it, as its misspellings go by the whole word
         elif not any(w.startswith(term) for w in words) and not any(s.startswith(term) or term.startswith(s) for s in stems):
             stems.append(term)
     return words, stems

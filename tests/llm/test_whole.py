@@ -2,7 +2,7 @@
 
 from array import array
 
-from scriptorium.llm import sentencepiece_codec
+from scriptorium.llm import sentencepiece_codec, toxicity
 from scriptorium.llm.queries import tokenizer_path
 
 
@@ -20,3 +20,15 @@ def test_parity_is_checked_on_every_text():
 def test_parity_has_no_nulls(edge):
     out = sentencepiece_codec.encode_documents(edge, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
     assert out.filter("parity is null or not parity").count() == 0
+
+
+def test_stems_keep_their_words_and_tolerate_misspellings(spark):
+    forms = ["idiot"] * 8 + ["idiots", "idioot"]
+    docs = [(k, " ".join(f"w{(k * 31 + i * 17) % 97}q{i}" for i in range(40)) + (f" {forms[k // 2 % 10]} end{k}" if k % 2 else f" end{k}")) for k in range(200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int"))
+    assert "idiot" in model.words and any("idiots".startswith(s) for s in model.stems)
+    held_out = spark.createDataFrame([(k, f"such an {w} here") for k, w in enumerate(["idjot", "ldiot", "iidiot", "idiots", "plain"])], "doc_id long, text string")
+    assert {r.doc_id: len(r.hits) for r in toxicity.score_toxicity(held_out, model).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+    kinds = {w: toxicity.Automaton([], ["cretin", "vequ"]).match(toxicity.code_points(w))[3].tolist() for w in ("cretinous", "cretjnous", "crxtjnous", "vexuous")}
+    assert kinds == {"cretinous": [toxicity.STEM], "cretjnous": [toxicity.FUZZY], "crxtjnous": [], "vexuous": []}
