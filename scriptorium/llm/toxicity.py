@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import releasing, replace_columns, shingle_hashes, word_hashes
 
-#: Labelled documents of each class that are learned from, terms of the lexicon, shortest word with misspellings.
-TRAIN_PER_CLASS, LEXICON_SIZE, FUZZY_FROM = 2000, 128, 5
+#: Labelled documents of each class that are learned from, shortest word with misspellings.
+TRAIN_PER_CLASS, FUZZY_FROM = 2000, 5
 #: Letters of a stem, and how many families of toxic documents a term needs at least.
 STEM_LETTERS, LEAST_FAMILIES = range(3, 9), 4
 #: Words on either side that make the context of a match, and what the context adds to its weight of one.
@@ -195,15 +195,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     return texts.join(F.broadcast(picked), "doc_id").select("text", "toxic")  # per_class bounds what is broadcast
 
 
-def choose_terms(counts: list[tuple[str, str, int, int]], n_toxic: int, n_clean: int, size: int) -> tuple[list[str], list[str]]:
-    """Words and stems out of (kind, term, toxic families, clean families), the most telling first."""
-    least = max(LEAST_FAMILIES, n_toxic * 0.004)
-    good = {(k, t): (p, n) for k, t, p, n in counts if p >= least and (p + 0.5) / (n_toxic + 1) >= 20 * (n + 0.5) / (n_clean + 1)}
+def choose_terms(telling: list[tuple[str, str, int, int]]) -> tuple[list[str], list[str]]:
+    """Words and stems out of (kind, term, toxic families, clean families), the most telling first.
+
+    All words stay; a stem goes if it overlaps with a word or stem that is more telling.
+    """
+    good = {(k, t): (p, n) for k, t, p, n in telling}
     words: list[str] = []
     stems: list[str] = []
     for (kind, term), (p, n) in sorted(good.items(), key=lambda x: (-(x[1][0] - 20 * x[1][1]), x[0][0] == "stem", -len(x[0][1]), x[0][1])):
-        if len(words) + len(stems) >= size:
-            break
         if kind == "word":
             words.append(term)  # even if a stem covers it, as its misspellings go by the whole word
         elif not any(w.startswith(term) for w in words) and not any(s.startswith(term) or term.startswith(s) for s in stems):
@@ -228,46 +228,45 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _term_counts(sample: DataFrame, most: int) -> list[tuple[str, str, int, int]]:
-    """(kind, term, toxic families, clean families) of the ``most`` frequent terms of toxic documents."""
-
-    def families(wanted):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for k in range(0, len(batch), 64):
-                    rows = []
-                    for text in batch["text"].iloc[k : k + 64]:
-                        shingles = shingle_hashes(word_hashes(text.encode("utf-8", "replace")), 3)
-                        family = int(shingles.min() >> np.uint64(1)) if len(shingles) else 0
-                        rows += [(kind, term, family) for kind, term in _terms(text) if wanted is None or (kind, term) in wanted.value]
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["kind", "term", "family"])
-
-        return run
+def telling_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, str, int, int]]:
+    """(kind, term, toxic families, clean families) of all terms that are frequent enough in toxic documents and rare in clean ones."""
 
-    def counted(label: int, wanted=None) -> DataFrame:
-        rows = sample.filter(F.col("toxic") == label).select("text").mapInPandas(families(wanted), "kind string, term string, family long")
-        return rows.distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n"))
-
-    toxic = {(r.kind, r.term): r.n for r in counted(1).filter(F.col("n") >= LEAST_FAMILIES).orderBy(F.desc("n"), "kind", "term").limit(most).collect()}
-    clean = {(r.kind, r.term): r.n for r in counted(0, sample.sparkSession.sparkContext.broadcast(frozenset(toxic))).collect()}
-    return [(*key, n, clean.get(key, 0)) for key, n in toxic.items()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, lexicon_size: int = LEXICON_SIZE) -> Model:
+    def families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k in range(0, len(batch), 64):
+                rows = []
+                for text in batch["text"].iloc[k : k + 64]:
+                    shingles = shingle_hashes(word_hashes(text.encode("utf-8", "replace")), 3)
+                    family = int(shingles.min() >> np.uint64(1)) if len(shingles) else 0
+                    rows += [(kind, term, family) for kind, term in _terms(text)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["kind", "term", "family"])
+
+    def counted(label: int, name: str) -> DataFrame:
+        rows = sample.filter(F.col("toxic") == label).select("text").mapInPandas(families, "kind string, term string, family long")
+        return rows.distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias(name))
+
+    p, n = F.col("p"), F.coalesce(F.col("n"), F.lit(0))
+    frequent = counted(1, "p").filter(p >= max(LEAST_FAMILIES, n_toxic * 0.004))
+    both = frequent.join(counted(0, "n"), ["kind", "term"], "left")
+    good = both.filter((p + 0.5) / (n_toxic + 1) >= 20 * (n + 0.5) / (n_clean + 1))
+    return [tuple(r) for r in good.select("kind", "term", p, n).collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
     """Learn lexicon and weights from labelled documents.
 
     At most ``per_class`` documents of each class are used, whole. Term counts go by
     families of documents (by one MinHash value of their word triples), so that the words of
-    one text with many copies don't pass for a lexicon. The driver gets the counts of terms
-    that could enter the lexicon, and two numbers a document. Without labelled documents of
+    one text with many copies don't pass for a lexicon. Every term that is telling enough
+    is considered. The driver gets the counts of those, and two numbers a document. Without labelled documents of
     both classes every score is the share of toxic labels, or 0.
     """
 
     sample = training_sample(docs, labels, per_class)
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    words, stems = choose_terms(_term_counts(sample, 8192), n_toxic, n_clean, lexicon_size) if n_toxic and n_clean else ([], [])
+    words, stems = choose_terms(telling_terms(sample, n_toxic, n_clean)) if n_toxic and n_clean else ([], [])
     model = Model(Automaton(words, stems), frozenset(), np.array([_log_odds(n_toxic, n_clean), 0.0, 0.0]), words, stems)
     if not words and not stems:
         return model

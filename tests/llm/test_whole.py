@@ -1,5 +1,7 @@
 """Operators do the whole job: no sample, no cap."""
 
+import itertools
+import random
 from array import array
 
 from scriptorium.llm import sentencepiece_codec, toxicity
@@ -32,3 +34,17 @@ def test_stems_keep_their_words_and_tolerate_misspellings(spark):
     assert {r.doc_id: len(r.hits) for r in toxicity.score_toxicity(held_out, model).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
     kinds = {w: toxicity.Automaton([], ["cretin", "vequ"]).match(toxicity.code_points(w))[3].tolist() for w in ("cretinous", "cretjnous", "crxtjnous", "vexuous")}
     assert kinds == {"cretinous": [toxicity.STEM], "cretjnous": [toxicity.FUZZY], "crxtjnous": [], "vexuous": []}
+
+
+def test_telling_terms_are_found_however_many_are_more_frequent(spark):
+    # With their beginnings more than 8,192 terms, in every document.
+    common = ["".join(w) for w in itertools.product("abcdefghijklmn", "opq", "rstuvwxyz", "klm", "efghijkl")]
+    rare = ["".join(w) + "zzz" for w in itertools.product("abcdefghijkl", repeat=2)]
+    docs = []
+    for k in range(24):
+        words = common + rare * (k >= 12)
+        random.Random(k).shuffle(words)
+        docs.append((k, " ".join(words)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(k, int(k >= 12)) for k in range(24)], "doc_id long, toxic int"))
+    assert set(model.words) == set(rare)
