@@ -28,7 +28,7 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){
 CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{6,}+"
 SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 ROUNDS = 3
-#: A pattern marks identifiers if it surrounds so many different seeds and its confidence is so high.
+#: A pattern counts if it surrounds so many different seeds or confident values, and marks identifiers if its confidence is so high.
 LEAST_SEEDS, LEAST_CONFIDENCE = 3, 0.7
 
 
@@ -104,22 +104,33 @@ def trusted_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     A seed's confidence is 1. A pattern's is the sum over the different values it surrounds,
     divided by one more than their number; an unknown value's is one minus the product of
-    what its patterns lack. Sums over values grow with a pattern's use, so they are made by
+    what its patterns lack. Patterns take part once LEAST_SEEDS of their values are seeds or
+    have LEAST_CONFIDENCE, so values found in one round make patterns of the next. Sums over values grow with a pattern's use, so they are made by
     grouping with partial sums, never by gathering a pattern's values.
     """
     edges = mentions.groupBy("pattern", "value").agg(F.max((F.col("kind") != "candidate").cast("double")).alias("seed"), F.min(F.when(F.col("kind") != "candidate", F.col("kind"))).alias("kind"))
     edges = work_table(edges, "pattern-graph")
-    useful = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS).select("pattern")
+    # A pattern of fewer values never gets the support it needs.
+    useful = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_SEEDS).select("pattern")
     edges = work_table(edges.join(useful, "pattern", "left_semi"), "useful-patterns")
-    known = edges.select("pattern", "value", "kind", F.col("seed").alias("confidence"))
+    known = edges.select("pattern", "value", "kind", "seed", F.col("seed").alias("confidence"))
     for k in range(rounds):
-        patterns = known.groupBy("pattern").agg((F.sum("confidence") / (F.count(F.lit(1)) + 1)).alias("p"))
-        lacking = edges.filter("seed = 0").join(patterns, "pattern").groupBy("value").agg(F.sum(F.log(1 - F.col("p"))).alias("lack"))
-        known = edges.join(lacking, "value", "left").select("pattern", "value", "kind", F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp(F.coalesce("lack", F.lit(0.0)))).alias("confidence"))
+        active = _supported(known)
+        flow = edges.filter("seed = 0").select("pattern", "value").join(active, "pattern")
+        lacking = flow.groupBy("value").agg(F.sum(F.log(1 - F.col("confidence"))).alias("lack"), F.max_by("kind", F.struct("confidence", "pattern")).alias("given"))
+        confidence = F.when(F.col("seed") == 1, 1.0).otherwise(1 - F.exp(F.coalesce("lack", F.lit(0.0))))
+        known = edges.join(lacking, "value", "left").select("pattern", "value", F.coalesce("kind", "given").alias("kind"), "seed", confidence.alias("confidence"))
         known = work_table(known, f"confidence-{k}")
-    kinds = known.filter("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind"))
-    sure = known.groupBy("pattern").agg((F.sum("confidence") / (F.count(F.lit(1)) + 1)).alias("confidence")).filter(F.col("confidence") >= LEAST_CONFIDENCE)
-    return sure.join(kinds, "pattern")
+    return _supported(known).filter(F.col("confidence") >= LEAST_CONFIDENCE)
+
+
+def _supported(known: DataFrame) -> DataFrame:
+    """(pattern, kind, confidence) of the patterns around enough seeds and confident values; kinds go by seeds, then by values."""
+    sure = (F.col("confidence") >= LEAST_CONFIDENCE).cast("long")
+    parts = known.groupBy("pattern", "kind").agg(F.sum("seed").alias("seeds"), F.sum(sure).alias("support"), F.sum("confidence").alias("total"), F.count(F.lit(1)).alias("n"))
+    kind = F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("seeds", "support", "kind")))
+    out = parts.groupBy("pattern").agg(kind.alias("kind"), F.sum("support").alias("support"), (F.sum("total") / (F.sum("n") + 1)).alias("confidence"))
+    return out.filter(F.col("support") >= LEAST_SEEDS).select("pattern", "kind", "confidence")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -127,7 +138,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     ``docs`` needs doc_id and text; other columns are not read. ``base`` are the valid
     matches of the four expressions, ``found`` the identifiers that trusted patterns mark;
-    their kind is ``ctx_`` and the kind most seeds of the pattern have. Places are in code
+    their kind is ``ctx_`` and the kind most seeds, or else values, of the pattern have. Places are in code
     points, end exclusive. Defined cases: null text is empty; rows are told apart by their
     place, so doc_id may be null or repeated; an empty table stays empty; equal texts have
     equal spans; what touches a base span is never marked.

@@ -4,7 +4,7 @@ import itertools
 import random
 from array import array
 
-from scriptorium.llm import sentencepiece_codec, toxicity
+from scriptorium.llm import pii, sentencepiece_codec, toxicity
 from scriptorium.llm.queries import tokenizer_path
 
 
@@ -48,3 +48,14 @@ def test_telling_terms_are_found_however_many_are_more_frequent(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     model = toxicity.fit(d, spark.createDataFrame([(k, int(k >= 12)) for k in range(24)], "doc_id long, toxic int"))
     assert set(model.words) == set(rare)
+
+
+def test_found_identifiers_make_new_patterns(spark):
+    luhn = lambda n: sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(str(n)[::-1]))
+    cards = [f"{n}{-luhn(n) % 10}" for n in range(411111111111100, 411111111111140)]
+    rows = [(k, f"please contact staff badge {card} today") for k, card in enumerate(cards)]
+    rows += [(100 + k, f"please contact staff badge ZX99-44{k} today and account no ZX99-44{k} again") for k in range(9)]
+    rows += [(200, "with account no QQ77-123 again"), (201, "the year 2019abc was long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.value) for s in r.found] for r in pii.find_pii(docs).collect()}
+    assert found[200] == [("ctx_card", "qq77-123")] and found[201] == []
