@@ -8,7 +8,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="scriptorium")
+
+
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """Work tables written in this block are removed at its end; results that read them must be written before."""
+    token = _scope.set(f"scriptorium-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_scope.get()}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scope.reset(token)
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     A lost executor then costs a reread instead of the whole lineage.
     """
-    path = f"{shared_dir(df.sparkSession)}/scriptorium/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{_scope.get()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,11 +76,21 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def replace_columns(df: DataFrame, struct: str, fields: list[str]) -> DataFrame:
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the tables is called so."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def add_fields(df: DataFrame, struct: Column, fields: list[str]) -> DataFrame:
     """``df`` with the fields of ``struct`` as columns, in place of any columns of those names."""
-    drop = {struct.lower(), *(f.lower() for f in fields)}
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in drop]
-    return df.select(*kept, *[F.col(struct)[f].alias(f) for f in fields])
+    name = unused("made", df)
+    drop = {name, *(f.lower() for f in fields)}
+    made = df.withColumn(name, struct)
+    kept = [F.col(f"`{c}`") for c in made.columns if c.lower() not in drop]
+    return made.select(*kept, *[F.col(name)[f].alias(f) for f in fields])
 
 
 def release_memory() -> None:
@@ -75,6 +101,62 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes of text that a Python worker looks at in one go.
+PORTION = 1_000_000
+
+
+def cut(texts: pa.Array, portion: int = PORTION) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of portions of about so many bytes of text, or of one text if that is longer."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    parts = np.cumsum(sizes) // portion
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(texts)]
+    return ((lo, hi - lo) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi > lo)
+
+
+def per_text(fields: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], portion: int = PORTION):
+    """A UDF from texts, or from structs whose first field is the text, to a struct of ``fields``.
+
+    ``make()`` runs once in a task and gives a function from a portion of the column to one
+    Arrow array for each field. Portions go by bytes, so that a worker's memory depends
+    neither on the size of Arrow's batches nor on that of a partition; it is given back at
+    the end. Other columns never leave the JVM.
+    """
+    made = T.StructType.fromDDL(fields)
+
+    @F.arrow_udf(made)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        compute = make()
+        for batch in batches:
+            for lo, n in cut(batch.field(0) if pa.types.is_struct(batch.type) else batch, portion):
+                yield pa.StructArray.from_arrays(compute(batch.slice(lo, n)), names=made.names)
+        del compute
+        release_memory()
+
+    return run
+
+
+def rows_from_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], portion: int = PORTION) -> DataFrame:
+    """Rows of ``schema`` made from portions of ``df``, whose last column is the text; memory is bounded as in per_text()."""
+    names = T.StructType.fromDDL(schema).names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            for lo, n in cut(batch.column(batch.num_columns - 1), portion):
+                yield pa.RecordBatch.from_arrays(compute(batch.slice(lo, n)), names=names)
+        del compute
+        release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def replace_columns(df: DataFrame, struct: str, fields: list[str]) -> DataFrame:
+    """``df`` with the fields of ``struct`` as columns, in place of any columns of those names."""
+    drop = {struct.lower(), *(f.lower() for f in fields)}
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in drop]
+    return df.select(*kept, *[F.col(struct)[f].alias(f) for f in fields])
+
+
 def releasing(batches: Iterator) -> Iterator:
     """The batches; when they are over, freed memory goes back to the system."""
     try:

@@ -15,70 +15,104 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import replace_columns
+from scriptorium.llm.common import add_fields, per_text, rows_from_texts, utf8, work_table
 
 UNKNOWN = "und"
-#: At most so many documents in all and of a language are learned from; landmarks in all; n-grams of a landmark.
-TRAIN_DOCS, TRAIN_PER_LANGUAGE, LANDMARKS, LANDMARK_GRAMS = 4000, 300, 128, 4096
-_BATCH = 64
+#: At most so many documents in all and of a language are learned from; landmarks in all.
+TRAIN_DOCS, TRAIN_PER_LANGUAGE, LANDMARKS = 4000, 300, 128
+#: Texts and n-grams of a block of the presence matrix, code points looked at in one go.
+_BATCH, _BLOCK, _STRETCH = 64, 8192, 1 << 18
 
 _LETTER = np.zeros(65536, bool)
 _LETTER[[k for k in range(65536) if chr(k).isalpha()]] = True
 _SPACE = 32
 
 
-def grams(text: str) -> np.ndarray:
-    """Codes of the distinct n-grams of a text, sorted; none if it has no letter.
-
-    Letters are lower-cased and everything between them becomes one space. Three code
-    points of 21 bits fit in a code, so n-grams never share one.
-    """
+def _points(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, with one space for all that stands between letters; none without a letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     letter = _LETTER[np.minimum(points, 65535)]
     far = np.flatnonzero(points > 65535)
     if len(far):
         letter[far] = [chr(c).isalpha() for c in points[far]]
     if not letter.any():
-        return np.zeros(0, np.uint64)
-    c = np.where(letter, points, _SPACE).astype(np.uint64)
+        return np.zeros(0, np.uint32)
+    c = np.where(letter, points, np.uint32(_SPACE))
     c = c[letter | np.concatenate(([True], letter[:-1]))]
-    c = np.concatenate(([_SPACE] * int(c[0] != _SPACE), c, [_SPACE] * int(c[-1] != _SPACE))).astype(np.uint64)
-    two = c[:-1] << np.uint64(21) | c[1:]
-    three = two[:-1] << np.uint64(21) | c[2:]
-    return np.concatenate([np.unique(x) for x in (c, two, three)])
+    edge = np.array([_SPACE], np.uint32)
+    return np.concatenate((edge[: int(c[0] != _SPACE)], c, edge[: int(c[-1] != _SPACE)]))
+
+
+def grams(text: str) -> np.ndarray:
+    """Codes of the distinct n-grams of a text, sorted; none if it has no letter.
+
+    Letters are lower-cased and everything between them becomes one space. Three code
+    points of 21 bits fit in a code, so n-grams never share one. Long texts are gone
+    through in stretches, so that memory follows the distinct n-grams.
+    """
+    c = _points(text)
+    found = [np.zeros(0, np.uint64)] * 3
+    for k in range(0, len(c), _STRETCH):
+        one = c[k : k + _STRETCH + 2].astype(np.uint64)
+        two = one[:-1] << np.uint64(21) | one[1:]
+        three = two[:-1] << np.uint64(21) | one[2:]
+        found = [np.unique(np.concatenate((old, np.unique(new)))) if len(old) else np.unique(new) for old, new in zip(found, (one, two, three), strict=True)]
+    return np.concatenate(found)
 
 
 @dataclass
 class Model:
-    """The fitted classifier, a few MB: LANDMARKS times LANDMARK_GRAMS presences at most."""
+    """The fitted classifier. Its size is that of its landmarks' distinct n-grams, 12 bytes for each of a landmark."""
 
     languages: list[str]
-    vocabulary: np.ndarray
-    landmarks: np.ndarray  # n-grams x landmarks, each column divided by the root of its number of n-grams
+    vocabulary: np.ndarray  # all n-grams of landmarks, sorted
+    first: np.ndarray  # where each n-gram's landmarks begin in holders
+    holders: np.ndarray
+    roots: np.ndarray  # of each landmark's number of n-grams
     values: np.ndarray  # landmarks x languages: Nystrom map and regression in one
     offsets: np.ndarray
 
+    @classmethod
+    def of(cls, languages: list[str], marks: list[np.ndarray]) -> Model:
+        codes = np.concatenate([*marks, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(marks), dtype=np.int32), [len(x) for x in marks])
+        order = np.argsort(codes, kind="stable")
+        vocabulary, first = np.unique(codes[order], return_index=True)
+        roots = np.sqrt([len(x) for x in marks]).astype(np.float32)
+        return cls(languages, vocabulary, np.append(first, len(codes)).astype(np.int32), owner[order], roots, np.zeros((len(marks), len(languages)), np.float32), np.zeros(len(languages), np.float32))
+
     def kernels(self, found: list[np.ndarray]) -> np.ndarray:
-        """Normalised kernels of texts with the landmarks: one product of presence matrices."""
-        present = np.zeros((len(found), len(self.vocabulary)), np.float32)
-        for row, codes in zip(present, found, strict=True):
-            at = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
-            row[at[self.vocabulary[at] == codes]] = 1
-        return present @ self.landmarks / np.sqrt([[max(1, len(x))] for x in found]).astype(np.float32)
-
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """Normalised kernels of texts with the landmarks: products of presence matrices, a block of the n-grams at a time."""
+        at = [np.searchsorted(self.vocabulary, codes) for codes in found]
+        at = [x[self.vocabulary[np.minimum(x, len(self.vocabulary) - 1)] == codes] for x, codes in zip(at, found, strict=True)]
+        used = np.unique(np.concatenate([*at, np.zeros(0, np.int64)]))
+        out = np.zeros((len(found), len(self.roots)), np.float32)
+        for lo in range(0, len(used), _BLOCK):
+            block = used[lo : lo + _BLOCK]
+            present = np.zeros((len(found), len(block)), np.float32)
+            for row, x in zip(present, at, strict=True):
+                row[np.searchsorted(block, x[np.searchsorted(x, block[0]) : np.searchsorted(x, block[-1], "right")])] = 1
+            counts = self.first[block + 1] - self.first[block]
+            marks = np.zeros((len(block), len(self.roots)), np.float32)
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            marks[np.repeat(np.arange(len(block)), counts), self.holders[np.repeat(self.first[block], counts) + within]] = 1
+            out += present @ marks
+        return out / self.roots / np.sqrt([[max(1, len(x))] for x in found]).astype(np.float32)
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         found = [grams(t) for t in texts]
-        out = [(UNKNOWN, 0.0)] * len(texts)
+        best, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
         known = [k for k, x in enumerate(found) if len(x)]
         for i in range(0, len(known) if self.languages else 0, _BATCH):
             part = known[i : i + _BATCH]
             scores = self.kernels([found[k] for k in part]) @ self.values + self.offsets
-            for k, best, row in zip(part, scores.argmax(axis=1), scores, strict=True):
-                out[k] = self.languages[best], float(np.clip((row[best] + 1) / 2, 0, 1))
-        return out
+            for k, row in zip(part, scores, strict=True):
+                best[k], score[k] = self.languages[row.argmax()], float(np.clip((row.max() + 1) / 2, 0, 1))
+        return best, score
 
 
 def training_sample(docs: DataFrame, total: int, per_language: int) -> DataFrame:
@@ -92,46 +126,77 @@ def training_sample(docs: DataFrame, total: int, per_language: int) -> DataFrame
     return texts.join(F.broadcast(picked), "doc_id").select("lang", "text")  # share bounds what is broadcast
 
 
-def fit(docs: DataFrame, total: int = TRAIN_DOCS, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = 1e-2) -> Model:
-    """Learn from the texts and non-null lang of ``docs``, a bounded sample of them.
+def choose_landmarks(sizes: list[tuple[str, int, str]], landmarks: int) -> list[str]:
+    """The digests of the landmark texts out of (lang, n-grams, digest): by language, of all sizes but the smallest fifth, evenly spread."""
+    out: list[str] = []
+    languages = sorted({lang for lang, _, _ in sizes})
+    for lang in languages:
+        own = sorted((n, digest) for at, n, digest in sizes if at == lang)
+        count = min(len(own), max(1, landmarks // len(languages)))
+        out += [own[k][1] for k in np.unique(np.linspace(len(own) * 0.2, len(own) - 1, count).astype(int))]
+    return out
 
-    Executors turn the sampled texts, whole, into n-gram codes; the driver solves systems of
-    the size of the landmarks.
+
+def fit(docs: DataFrame, total: int = TRAIN_DOCS, per_language: int = TRAIN_PER_LANGUAGE, landmarks: int = LANDMARKS, ridge: float = 1e-2) -> Model:
+    """Learn from the texts and non-null lang of ``docs``, a sample bounded by ``total`` and ``per_language``.
+
+    The sample is one written table. Executors code its whole texts; the driver gets the
+    n-grams of the landmarks, one row of kernels for each sampled text, and solves systems
+    of the size of the landmarks. Defined cases: texts without a letter, and rows whose
+    text, lang or doc_id is null, are not learned from; equal texts of one language count
+    once, and of several languages for each; ties in the order of texts go by their
+    digests; rows repeated under one doc_id count once if their text is the same; an empty
+    table gives a model that knows no language.
     """
+    sample = work_table(training_sample(docs, total, per_language), "language-sample")
+    sample = sample.select("lang", F.sha2("text", 256).alias("digest"), "text").dropDuplicates(["lang", "digest"])
+
+    def sized():
+        return lambda part: [part.column(0), pa.array([len(grams(t)) for t in part.column(2).to_pylist()], pa.int64()), part.column(1)]
+
+    sizes = [tuple(r) for r in rows_from_texts(sample, "lang string, n long, digest string", sized).filter("n > 0").collect()]
+    languages = sorted({lang for lang, _, _ in sizes})
+    chosen = choose_landmarks(sizes, landmarks)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"lang": batch["lang"], "codes": [grams(t).view(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"digest": batch["digest"], "codes": [grams(t).tobytes() for t in batch["text"]]})
 
-    rows = training_sample(docs, total, per_language).mapInPandas(coded, "lang string, codes array<long>").toLocalIterator()
-    seen = sorted(((r.lang, np.array(r.codes, np.int64).view(np.uint64)) for r in rows if r.codes), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    languages = sorted({lang for lang, _ in seen})
+    marks = sample.filter(F.col("digest").isin(chosen)).dropDuplicates(["digest"]).mapInPandas(coded, "digest string, codes binary")
+    codes = {r.digest: np.frombuffer(r.codes, np.uint64) for r in marks.toLocalIterator()} if chosen else {}
+    model = Model.of(languages, [codes[d] for d in chosen])
     if not languages:
-        return Model([], np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    marks: list[np.ndarray] = []
-    for lang in languages:  # texts of all lengths, evenly spread
-        own = [x for at, x in seen if at == lang]
-        own = [x for x in own if len(x) <= LANDMARK_GRAMS] or [own[0][:LANDMARK_GRAMS]]
-        count = min(len(own), max(1, landmarks // len(languages)))
-        marks += [own[k] for k in np.unique(np.linspace(len(own) * 0.2, len(own) - 1, count).astype(int))]
-    vocabulary = np.unique(np.concatenate(marks))
-    columns = np.zeros((len(vocabulary), len(marks)), np.float32)
-    for k, codes in enumerate(marks):
-        columns[np.searchsorted(vocabulary, codes), k] = 1 / np.sqrt(len(codes))
-    model = Model(languages, vocabulary, columns, np.zeros((len(marks), len(languages)), np.float32), np.zeros(len(languages), np.float32))
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def compared():
+        def rows(part: pa.RecordBatch) -> list[pa.Array]:
+            found = [grams(t) for t in part.column(2).to_pylist()]
+            some = [k for k, x in enumerate(found) if len(x)]
+            near = [row.tobytes() for i in range(0, len(some), _BATCH) for row in shared.value.kernels([found[k] for k in some[i : i + _BATCH]])]
+            return [part.column(0).take(pa.array(some, pa.int64())), pa.array(near, pa.binary())]
+
+        return rows
+
+    # Bounded by total: one row of kernels for each sampled text.
+    seen = sorted((r.lang, bytes(r.near)) for r in rows_from_texts(sample, "lang string, near binary", compared).collect())
+    model.values, model.offsets = solve(model, [lang for lang, _ in seen], np.array([np.frombuffer(x, np.float32) for _, x in seen], float), [codes[d] for d in chosen], ridge)
+    return model
+
+
+def solve(model: Model, known: list[str], near: np.ndarray, marks: list[np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of the ridge regressions on the Nystrom map; all languages weigh the same."""
     among = model.kernels(marks).astype(float)
     size, vectors = np.linalg.eigh((among + among.T) / 2)
     kept = size > 1e-6 * size.max()
     root = vectors[:, kept] / np.sqrt(size[kept])  # the Nystrom map: kernels with the landmarks times this
-    mapped = np.concatenate([model.kernels([x for _, x in seen[k : k + 256]]).astype(float) @ root for k in range(0, len(seen), 256)])
-    truth = np.array([[1.0 if lang == at else -1.0 for lang in languages] for at, _ in seen])
-    share = np.array([sum(at == lang for at, _ in seen) for lang in languages], float)
-    weight = np.array([1 / share[languages.index(at)] for at, _ in seen])[:, None] * len(seen) / len(languages)
+    mapped = near @ root
+    truth = np.array([[1.0 if lang == at else -1.0 for lang in model.languages] for at in known])
+    weight = np.array([len(known) / len(model.languages) / known.count(at) for at in known])[:, None]
     centre, mean = (mapped * weight).sum(0) / weight.sum(), (truth * weight).sum(0) / weight.sum()
     system = (weight * (mapped - centre)).T @ (mapped - centre) + ridge * np.eye(mapped.shape[1])
     solved = np.linalg.solve(system, (weight * (mapped - centre)).T @ (truth - mean))
-    model.values, model.offsets = (root @ solved).astype(np.float32), (mean - centre @ solved).astype(np.float32)
-    return model
+    return (root @ solved).astype(np.float32), (mean - centre @ solved).astype(np.float32)
 
 
 def identify_language(docs: DataFrame, model: Model) -> DataFrame:
@@ -144,10 +209,11 @@ def identify_language(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame(shared.value.predict(texts.tolist()), columns=["lang_pred", "score"])
+    def make():
+        def predicted(part: pa.Array) -> list[pa.Array]:
+            best, score = shared.value.predict([t.decode() for t in part.to_pylist()])
+            return [pa.array(best, pa.string()), pa.array(score, pa.float64())]
+
+        return predicted
 
-    out = docs.withColumn("__l", predict(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return replace_columns(out, "__l", ["lang_pred", "score"])
+    return add_fields(docs, per_text("lang_pred string, score double", make)(utf8("text")), ["lang_pred", "score"])
