@@ -3,7 +3,9 @@
 The model file is parsed as a protobuf and rebuilt: its character map as a normaliser, the
 space marker, the pieces with their scores (a unigram model, or a BPE model whose merges
 follow from the scores) and byte fallback. Every rebuilt codec is held against the
-sentencepiece library on probe texts when it is loaded and on every text it encodes.
+sentencepiece library on probe texts when it is loaded, and so is every text it encodes: the
+segments of a BPE text, between which no piece can reach, each by itself, and texts of
+unigram models, whose scores are summed over the whole text, as wholes.
 """
 
 from __future__ import annotations
@@ -12,19 +14,20 @@ import hashlib
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scriptorium.llm.common import add_from_text, worker_threads
+from scriptorium.llm.common import add_fields, per_text, utf8, worker_threads
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Segments encoded in one go, and segments remembered in a worker.
-CALL_SEGMENTS, MEMORY = 10_000, 150_000
+#: Segments encoded in one go, bytes of segments remembered in a worker, about, and characters of the longest one remembered.
+CALL_SEGMENTS, MEMORY_BYTES, MEMORY_CHARS = 10_000, 64_000_000, 256
 PROBES = ("", " ", "a", " a", "a ", "  two  spaces ", "Hello, world!", "line\nbreak\ttab\r\n", "Éçà über ñandú", "日本語 テキスト", "😀👩‍🚀", "<s> </s> <unk> <0x0A>", f"{MARK}mark{MARK}", "\x00\x7f​", "é", "1234567890" * 7, "ﬁ ½ Ⅳ")
 
 
@@ -126,7 +129,18 @@ class Codec:
         #: The library's unigram model would take these names in a text for the pieces; such texts go to sentencepiece.
         names = [p for p, _, kind in model.pieces if kind in (UNKNOWN, CONTROL, BYTE)]
         self.reserved = re.compile("|".join(map(re.escape, names))) if model.kind == UNIGRAM else None
+        #: What each piece decodes to by itself, behind another one; bytes have none that they could be told by.
+        apart = self.tokenizer.token_to_id("a") if self.tokenizer.token_to_id("a") is not None else self.unknown
+        lead = len(self.tokenizer.decode([apart], skip_special_tokens=False))
+        self.plain = [back[lead:] for back in self.tokenizer.decode_batch([[apart, k] for k in range(len(model.pieces))], skip_special_tokens=False)]
+        self.plain = [MARK * 2 if kind in (BYTE, UNKNOWN, CONTROL) else text for text, (_, _, kind) in zip(self.plain, model.pieces, strict=True)]
+        self.bytes = frozenset(k for k, (_, _, kind) in enumerate(model.pieces) if kind == BYTE)
+        #: Ids of segments, what the sentencepiece library makes of them, those whose decoding depends on neighbours or differs, and the size of all.
         self.memory: dict[str, bytes] = {}
+        self.truth: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+        self.held = 0
+        self.again: set[str] = set()  # segments that were needed again since memory was last emptied
         self.oracle = sentencepiece.SentencePieceProcessor(model_proto=data)
         if not all(self.same(PROBES, self.encode(list(PROBES)))):
             raise ValueError(f"{path}: the rebuilt tokenizer does not encode as the model does")
@@ -139,33 +153,87 @@ class Codec:
             text = self.normalizer.normalize_str(text)
         return text
 
-    def _segments(self, text: str) -> list[str]:
+    def segments(self, text: str) -> list[str]:
+        """A normalised text in the parts that are encoded by themselves, the space ahead of it included."""
         if not text:
             return []
         text = (" " if self.model.dummy_prefix else "") + text
         if not self.segmented:
             return [text]
-        return _SEGMENT.findall(text) if "  " in text or MARK in text else [" " + x for x in text[1:].split(" ")] if text[0] == " " else _SEGMENT.findall(text)
-
-    def encode_packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text, four bytes each. Distinct segments between words are encoded once."""
-        cut = [self._segments(self.normalize(t)) for t in texts]
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        new = list({s for segments in cut for s in segments if s not in self.memory})
+        if text[0] != " " or "  " in text or MARK in text or _CUT in text:
+            return _SEGMENT.findall(text)
+        return text.replace(" ", _CUT + " ").split(_CUT)[1:]
+
+    def learn(self, distinct: set[str]) -> None:
+        """Encode the segments that aren't remembered, by both libraries, and decode them again."""
+        if self.held > MEMORY_BYTES:
+            keep = distinct | self.again if 2 * len(self.again) < len(self.memory) else distinct
+            self.memory, self.truth = ({s: m[s] for s in keep if s in m} for m in (self.memory, self.truth))
+            self.odd &= self.memory.keys()
+            self.held, self.again = sum(map(_weight, self.memory)), set()
+        new = [s for s in distinct if s not in self.memory]
+        self.again.update(distinct.intersection(self.memory))
+        ahead = int(self.model.dummy_prefix)
         for k in range(0, len(new), CALL_SEGMENTS):
             part = new[k : k + CALL_SEGMENTS]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memory[s] = array("i", e.ids).tobytes()
-        known = self.memory.__getitem__
-        out = [b"".join(map(known, segments)) for segments in cut]
+            marked = [s.replace(" ", MARK) for s in part]  # cheaper here than in the library's normaliser, which does the same
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+            known = self.oracle.encode([s[ahead:] for s in part], num_threads=1) if self.model.kind == BPE else encoded
+            if " " in part and self.model.kind == BPE and ahead:  # the library puts no space ahead of an empty text
+                known[part.index(" ")] = self.oracle.encode("a ")[len(self.oracle.encode("a")) :]
+            ends = list(accumulate(map(len, encoded), initial=0))
+            flat = array("i", chain.from_iterable(encoded)).tobytes()
+            packed = {s: flat[4 * a : 4 * b] for s, a, b in zip(part, ends, ends[1:], strict=False)}
+            self.memory.update(packed)
+            if known != encoded:
+                packed = {s: packed[s] if ids == true else array("i", true).tobytes() for s, ids, true in zip(part, encoded, known, strict=True)}
+            self.truth.update(packed)
+            # Pieces other than bytes decode one by one, so the library's decoder is asked for the rest only.
+            rest = [(s, ids) for s, ids in zip(part, encoded, strict=True) if "".join(map(self.plain.__getitem__, ids)) != s]
+            backs = self.decode([ids for _, ids in rest])
+            self.odd.update(s for (s, ids), back in zip(rest, backs, strict=True) if ids[0] in self.bytes or back != s[ahead:] or MARK in s)
+        self.held += sum(map(_weight, new))
+
+    def forget_long(self, distinct: set[str]) -> None:
+        for s in distinct:
+            if len(s) > MEMORY_CHARS:
+                del self.memory[s], self.truth[s]
+                self.odd.discard(s)
+                self.again.discard(s)
+                self.held -= _weight(s)
+
+    def encode_packed(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
+        """Of every text its ids, four bytes each, whether decoding gives the normalised text back, and whether the library agrees.
+
+        Distinct segments are encoded once. Where the libraries differ, the ids are those of sentencepiece.
+        """
+        normal = [self.normalize(t) for t in texts]
+        cut = [self.segments(t) for t in normal]
+        distinct = set().union(*cut)
+        self.learn(distinct)
+        packed = [b"".join(map(self.memory.__getitem__, segments)) for segments in cut]
+        wrong = {s for s in distinct if self.memory[s] is not self.truth[s] and self.memory[s] != self.truth[s]}
+        odd = distinct & self.odd
+        parity = [wrong.isdisjoint(segments) for segments in cut] if wrong else [True] * len(texts)
         for k, text in enumerate(texts):
             if self.reserved and self.reserved.search(text):
-                out[k] = array("i", self.oracle.encode(text)).tobytes()
-        return out
+                packed[k] = array("i", self.oracle.encode(text)).tobytes()
+            elif self.model.kind != BPE and not self.same([text], [np.frombuffer(packed[k], np.int32).tolist()])[0] or self.normalizer and not self.same_normal(text, normal[k]):
+                parity[k] = False
+            if not parity[k]:
+                packed[k] = array("i", self.oracle.encode(text)).tobytes()
+        plain = [parity[k] and (not odd or odd.isdisjoint(segments)) and not (self.reserved and self.reserved.search(texts[k])) for k, segments in enumerate(cut)]
+        back = [ok or self.decode([np.frombuffer(packed[k], np.int32).tolist()])[0] == normal[k] for k, ok in enumerate(plain)]
+        self.forget_long(distinct)
+        return packed, back, parity
+
+    def same_normal(self, text: str, normal: str) -> bool:
+        """Whether the library normalises the text alike; it writes spaces as marks, one of them ahead."""
+        ahead = MARK if self.model.dummy_prefix and normal else ""
+        return self.oracle.normalize(text).replace(" ", MARK) == (ahead + normal).replace(" ", MARK)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(ids, np.int32).tolist() for ids in self.encode_packed(texts)]
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self.encode_packed(texts)[0]]
 
     def decode(self, encoded: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(encoded, skip_special_tokens=False)
@@ -173,19 +241,23 @@ class Codec:
 
 #: A run of spaces, written as spaces or as their marks, with what follows up to the next.
 _SEGMENT = re.compile(f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+")
+_CUT = "\x1f"
+
+
+def _weight(segment: str) -> int:
+    """Bytes that remembering a segment takes, about."""
+    return 350 + 6 * len(segment)
 
 
 def _coded(codec: Codec, texts: list[str], with_ids: bool) -> list[pa.Array]:
     """The columns that encode_documents() adds."""
-    packed = codec.encode_packed(texts)
-    encoded = [np.frombuffer(ids, np.int32).tolist() for ids in packed]
-    decoded = codec.decode(encoded)
-    counts = [len(ids) for ids in encoded]
+    packed, back, parity = codec.encode_packed(texts)
+    counts = [len(ids) // 4 for ids in packed]
     columns = [
         pa.array(counts, pa.int64()),
         pa.array([hashlib.sha256(ids).hexdigest() for ids in packed], pa.string()),
-        pa.array([back == codec.normalize(text) for back, text in zip(decoded, texts, strict=True)], pa.bool_()),
-        pa.array(codec.same(texts, encoded), pa.bool_()),
+        pa.array(back, pa.bool_()),
+        pa.array(parity, pa.bool_()),
     ]
     if with_ids:
         flat = np.frombuffer(b"".join(packed), np.int32)
@@ -198,18 +270,19 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = True, th
 
     ``model_path`` is a SentencePiece model that every executor can read. Adds token_ids
     (if ``with_ids``), n_tokens, ids_sha256 (of the ids as four bytes each, the lowest first), round_trip
-    (decoding gives the normalised text back) and parity (same ids as the sentencepiece
-    library, which encodes every text as well).
+    (decoding gives the normalised text back) and parity (the rebuilt tokenizer gives the
+    ids of the sentencepiece library, whose ids are taken where it does not).
     Columns of those names are replaced. Defined cases: null is an empty text, which has no
     tokens; names of control pieces in a text are plain text; repeated rows are encoded
     each; an empty table stays empty. A model that the rebuilt tokenizer does not match on
     the probe texts is refused with an error.
     """
+    names = ["token_ids"] * with_ids + ["n_tokens", "ids_sha256", "round_trip", "parity"]
     fields = "token_ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, round_trip boolean, parity boolean"
 
-    def make():
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
         worker_threads(threads)
         codec = Codec(model_path)
-        return lambda texts: _coded(codec, texts, with_ids)
+        return lambda part: _coded(codec, [t.decode("utf-8", "replace") for t in part.to_pylist()], with_ids)
 
-    return add_from_text(docs, fields, make)
+    return add_fields(docs, per_text(fields, make)(utf8("text")), names)
