@@ -5,24 +5,28 @@ into windows about as long as the partition's items, each overlapping the next b
 an item inside a long document meets a window with which its Jaccard similarity is high
 however long the document is. An item and a window that agree in a MinHash value are
 candidates; a candidate counts if the document holds enough of the item's shingles, word
-for word. Items go to the executors in blocks of bounded size.
+for word. An item shorter than a shingle is one run of words, whose hash is looked up among
+those of the document's runs of that length. Executors index the items in blocks of bounded
+size, which then search the documents one after the other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import WHITE, mix64, shingle_hashes, utf8, word_hashes
+from scriptorium.llm.common import mix64, rows_from_texts, shingle_hashes, unused, utf8, word_hashes, work_table
 
 #: MinHash values of a window, each a band of its own. At the threshold of 80 % an item has a
 #: similarity of at least 0.25 with some window and is missed with a probability under 2e-6; a full copy under 1e-8.
 HASHES = 48
-#: A block of items ends at so many items or bytes of text; its index is a few tens of MB at most.
+#: Items and bytes of text of a block, about; its index is a few tens of MB.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16_000_000
 _SEEDS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64))
 #: Shingles that are hashed together, so that they stay in a core's cache.
@@ -65,13 +69,19 @@ class ItemIndex:
         self.size, self.percent = size, percent
         self.ids = [i for i, _ in items]
         self.shingles = [item_shingles(t, size) for _, t in items]
-        #: Items shorter than a shingle are looked up as they stand.
-        self.short = [k for k, (_, t) in enumerate(items) if 0 < len(words(t)) < size]
+        self.hashes = [np.unique(shingle_hashes(word_hashes(t), size)) for _, t in items]
         by_scale: dict[int, list[tuple[int, np.ndarray]]] = {}
+        by_length: dict[int, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
-            if self.shingles[k] and k not in set(self.short):
+            n = len(words(text))
+            if n >= size:
                 hashed = shingle_hashes(word_hashes(text), size)
                 by_scale.setdefault(max(1, int(len(hashed) - 1).bit_length()), []).append((k, hashed))
+            elif n:
+                by_length.setdefault(n, []).append((int(self.hashes[k][0]), k))
+        self.is_short = frozenset(k for x in by_length.values() for _, k in x)
+        #: Items shorter than a shingle: by length, their sorted hashes and whose they are.
+        self.short = {n: (np.array([h for h, _ in sorted(x)], np.uint64), [k for _, k in sorted(x)]) for n, x in by_length.items()}
         self.partitions = {}
         for scale, members in sorted(by_scale.items()):
             values = np.concatenate([self._keys(min_hashes(hashed, np.zeros(1, np.int64))).ravel() for _, hashed in members])
@@ -115,70 +125,102 @@ class ItemIndex:
                 found.update((int(text[at[i]]), int(k)) for k in owner[lo[i] : hi[i]])
         return found
 
+    def short_candidates(self, hashed: np.ndarray) -> list[int]:
+        """Items shorter than a shingle whose run of words is among those of a text, given by its words' hashes."""
+        found = []
+        for n, (hashes, items) in self.short.items():
+            runs = np.unique(shingle_hashes(hashed, n)) if len(hashed) >= n else hashed[:0]
+            lo, hi = np.searchsorted(hashes, runs, "left"), np.searchsorted(hashes, runs, "right")
+            for k in np.flatnonzero(hi > lo):
+                found += items[lo[k] : hi[k]]
+        return found
+
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(text, item id, shingles of it that the text holds, its shingles) of the items contained."""
-        out, start, part, size = [], 0, [], 0
+        out, start, part, short, size = [], 0, [], [], 0
         for k, text in enumerate(texts):
-            part.append(shingle_hashes(word_hashes(text), self.size))
+            hashed = word_hashes(text)
+            part.append(shingle_hashes(hashed, self.size))
+            short += [(k - start, item) for item in self.short_candidates(hashed)]
             size += len(part[-1])
             if size >= _STEP or k + 1 == len(texts):
-                near = self.candidates(part) | {(i, s) for i in range(len(part)) for s in self.short}
-                out += [hit for i, item in sorted(near) if (hit := self._verified(start + i, texts[start + i], item))]
-                start, part, size = k + 1, [], 0
+                near: dict[int, list[int]] = {}
+                for i, item in sorted({*self.candidates(part), *short}):
+                    near.setdefault(i, []).append(item)
+                for i, items in near.items():
+                    out += self._verified(start + i, texts[start + i], part[i], items)
+                start, part, short, size = k + 1, [], [], 0
         return out
 
-    def _verified(self, at: int, text: bytes, item: int) -> tuple[int, int, int, int] | None:
-        flat, wanted = b" " + b" ".join(words(text)) + b" ", self.shingles[item]
-        held = sum(s in flat for s in wanted)
-        return (at, self.ids[item], held, len(wanted)) if held and 100 * held >= self.percent * len(wanted) else None
-
-
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in order of their id, read through the driver one block at a time."""
-    block, held = [], 0
-    for row in items.select(F.col("item_id").cast("long").alias("i"), utf8("text").alias("t")).filter("i is not null").orderBy("i", "t").toLocalIterator():
-        block.append((row.i, bytes(row.t)))
-        held += len(row.t)
-        if len(block) >= BLOCK_ITEMS or held >= BLOCK_BYTES:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+    def _verified(self, at: int, text: bytes, hashed: np.ndarray, items: list[int]) -> list[tuple[int, int, int, int]]:
+        """The candidates that the text holds: by hash first, then word for word."""
+        out, flat, known = [], None, np.unique(hashed)
+        for item in items:
+            wanted = self.shingles[item]
+            if item not in self.is_short and 100 * np.isin(self.hashes[item], known, assume_unique=True).sum() < self.percent * len(self.hashes[item]):
+                continue
+            flat = flat or b" " + b" ".join(words(text)) + b" "
+            held = sum(s in flat for s in wanted)
+            if held and 100 * held >= self.percent * len(wanted):
+                out.append((at, self.ids[item], held, len(wanted)))
+        return out
 
 
 OVERLAPS = "doc_id long, item_id long, n_held long, n_shingles long"
 
 
-def benchmark_overlaps(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def benchmark_overlaps(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, n_held, n_shingles, containment) of the items that documents contain.
 
     ``docs`` needs doc_id (integer) and text, ``items`` item_id (integer) and text. An item
     is contained if the document holds at least ``percent`` % of its distinct runs of
-    ``shingle`` words (A-Z lower-cased, words between ASCII white space). Every block of
-    items scans the documents once, without a shuffle. Defined cases: an item of fewer
+    ``shingle`` words (A-Z lower-cased, words between ASCII white space). Executors index the
+    items in blocks; each block is sent out, scans the documents once, without a shuffle,
+    writes what it found and is dropped before the next one. Defined cases: an item of fewer
     words is one run of them all; an item without words or id, and a null or empty text,
     match nothing; rows of one doc_id and items of one id give one row per pair, the
     fullest; no items or documents give an empty table. Other columns are not read.
     """
     spark = docs.sparkSession
+    known = items.select(F.col("item_id").cast("long").alias("i"), utf8("text").alias("t")).filter("i is not null")
+    count, size = known.agg(F.count(F.lit(1)), F.sum(F.length("t"))).first()
+    blocks = max(1, -(-count // block_items), -(-(size or 0) // BLOCK_BYTES))
+
+    def build(block: pd.DataFrame) -> pd.DataFrame:
+        index = ItemIndex(sorted(zip(block["i"].tolist(), block["t"].tolist(), strict=True)), shingle, percent)
+        return pd.DataFrame({"block": block["block"].iloc[:1], "payload": [pickle.dumps(index)]})
+
+    by_block = known.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)).cast("long"))
+    index = work_table(by_block.groupBy("block").applyInPandas(build, "block long, payload binary"), "item-index")
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    found = spark.createDataFrame([], OVERLAPS)
-    for block in item_blocks(items):
-        index = spark.sparkContext.broadcast(ItemIndex(block, shingle, percent))
+    found = [spark.createDataFrame([], OVERLAPS)]
+    for block in range(blocks):
+        row = index.filter(F.col("block") == block).first()
+        if row is None:
+            continue
+        shared = spark.sparkContext.broadcast(bytes(row.payload))
+
+        def make(shared=shared):
+            held = pickle.loads(shared.value)
+
+            def search(part: pa.RecordBatch) -> list[pa.Array]:
+                hits = held.search(part.column(1).to_pylist())
+                return [part.column(0).take(pa.array([h[0] for h in hits], pa.int64())), *(pa.array([h[k] for h in hits], pa.int64()) for k in (1, 2, 3))]
 
-        def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                ids = batch["doc_id"].tolist()
-                rows = [(ids[at], *hit) for at, *hit in index.value.search(batch["text"].tolist())]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_held", "n_shingles"])
+            return search
 
-        found = found.unionByName(texts.mapInPandas(search, OVERLAPS))
+        found.append(work_table(rows_from_texts(texts, OVERLAPS, make), "item-hits"))
+        shared.unpersist()
     ratio = F.col("n_held") / F.col("n_shingles")
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(ratio.alias("containment"), "n_held", "n_shingles")).alias("m"))
+    best = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max(F.struct(ratio.alias("containment"), "n_held", "n_shingles")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_held", "m.n_shingles", "m.containment")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that contain an item; rows without doc_id stay."""
-    bad = benchmark_overlaps(docs, items, shingle, percent).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__bad"], "left_anti")
+    """``docs`` without the documents that contain an item; rows without doc_id, and those with a null or empty text, stay.
+
+    Repeated rows go or stay together; an empty table stays empty, and without items all stay.
+    """
+    at = unused("bad_doc", docs)
+    bad = benchmark_overlaps(docs, items, shingle, percent).select(F.col("doc_id").alias(at)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == bad[at], "left_anti")
