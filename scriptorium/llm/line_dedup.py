@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from scriptorium.llm.common import WHITE, mix64, parallelism, replace_columns, utf8, work_table
+from scriptorium.llm.common import WHITE, add_fields, mix64, parallelism, per_text, release_memory, rows_from_texts, unused, utf8, work_table
 
 #: Keys of a shard, about: its row stays under 2 MB.
 SHARD_KEYS = 65_536
@@ -38,23 +39,22 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return key
 
 
-def _doc_hashes(min_chars: int):
-    @F.pandas_udf(T.BinaryType())
-    def hashes(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            keys = {line_key(x, min_chars) for x in text.split(b"\n")}
-            out.append(b"".join(xxhash.xxh3_128_digest(k) for k in keys if k is not None))
-        return pd.Series(out, dtype=object)
+def _line_hashes(min_chars: int):
+    """Rows (doc_id, h1, h2) of the distinct keys of every document."""
 
-    return hashes
+    def make():
+        def rows(part: pa.RecordBatch) -> list[pa.Array]:
+            ids, counts, packed = part.column(0), [], []
+            for text in part.column(1).to_pylist():
+                keys = {line_key(x, min_chars) for x in text.split(b"\n")} - {None}
+                counts.append(len(keys))
+                packed += map(xxhash.xxh3_128_digest, keys)
+            pairs = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2)
+            return [ids.take(pa.array(np.repeat(np.arange(len(ids)), counts))), *(pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1))]
 
+        return rows
 
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        counts = batch["packed"].map(len).to_numpy() // 16
-        pairs = np.frombuffer(b"".join(batch["packed"]), "<i8").reshape(-1, 2)
-        yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), counts), "h1": pairs[:, 0], "h2": pairs[:, 1]})
+    return make
 
 
 class PerfectHash:
@@ -158,6 +158,8 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, h1, h2 = (x[found][keeper != ids[found]] for x in (ids, h1, h2))
             if len(ids):
                 yield pd.DataFrame({"doc_id": ids, "h1": h1, "h2": h2})
+    del index
+    release_memory()
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -165,48 +167,66 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10) -> tuple[DataFrame, Dat
 
     Returns work tables (doc_id, h1, h2) and (h1, h2, keeper, n_docs).
     """
-    packed = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _doc_hashes(min_chars)(utf8("text")).alias("packed"))
-    keys = work_table(packed.mapInPandas(_unpack, "doc_id long, h1 long, h2 long"), "line-keys")
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
+    keys = work_table(rows_from_texts(texts, "doc_id long, h1 long, h2 long", _line_hashes(min_chars)), "line-keys")
     held = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_docs"))
     return keys, work_table(held.filter("keeper < last").drop("last"), "repeated-lines")
 
 
 def lines_to_drop(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """(doc_id, h1, h2): the lines that each document loses."""
+    """(doc_id, h1, h2): the lines that each document loses.
+
+    Every shard gets slices by the rows that were counted for it, so that a line with many
+    copies fills more slices and not a larger one; a document's hash picks the slice.
+    """
     keys, repeated = repeated_lines(docs, min_chars)
-    n_keys, n_rows = repeated.count(), keys.count()
-    shards = max(1, -(-n_keys // SHARD_KEYS))
-    slices = max(1, -(-parallelism(docs.sparkSession) // shards), -(-n_rows // (shards * SLICE_ROWS)))
+    shards = max(1, -(-repeated.count() // SHARD_KEYS))
+    tasks = parallelism(docs.sparkSession)
     shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int").alias("shard")
+    slices = slice_counts(keys.select(shard), max(1, -(-tasks // shards)))
+    total = slices.agg(F.sum("slices")).first()[0] or 1
     index = repeated.select("*", shard).groupBy("shard").applyInPandas(_build_shard, "shard int, payload binary")
-    index = work_table(index, "line-index").select("shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), *(F.lit(0).cast("long").alias(c) for c in ("doc_id", "h1", "h2")), "payload")
-    lines = keys.select(shard, F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), "doc_id", "h1", "h2", F.lit(None).cast("binary").alias("payload"))
-    routed = index.unionByName(lines).repartition(shards * slices, "shard", "slice")
+    index = work_table(index, "line-index").join(slices, "shard")
+    index = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *(F.lit(0).cast("long").alias(c) for c in ("doc_id", "h1", "h2")), "payload")
+    slice_ = F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("slice")
+    lines = keys.select("*", shard).join(slices, "shard").select("shard", slice_, "doc_id", "h1", "h2", F.lit(None).cast("binary").alias("payload"))
+    routed = index.unionByName(lines).repartition(max(tasks, total), "shard", "slice")
     routed = routed.sortWithinPartitions("shard", "slice", F.col("payload").isNull())
     return routed.mapInPandas(_probe, "doc_id long, h1 long, h2 long")
 
 
-def _drop_lines(min_chars: int):
-    @F.pandas_udf("text string, n_lines long, n_dropped long, kept_sha256 string")
-    def drop(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, packed in zip(texts, dropped, strict=True):
-            lines = text.split(b"\n")
-            total = len(lines)
-            if packed is not None:
-                gone = {packed[i : i + 16] for i in range(0, len(packed), 16)}
-                lines = [x for x in lines if (k := line_key(x, min_chars)) is None or xxhash.xxh3_128_digest(k) not in gone]
-            kept = b"\n".join(lines)
-            rows.append((kept.decode("utf-8", "replace"), total, total - len(lines), hashlib.sha256(kept).hexdigest()))
-        return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped", "kept_sha256"])
-
-    return drop
+def slice_counts(shards: DataFrame, least: int, rows: int = SLICE_ROWS) -> DataFrame:
+    """(shard, slices): so many that a slice has about ``rows`` of the shard's rows, and ``least`` at least."""
+    counts = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    return work_table(counts.select("shard", F.greatest(F.lit(least), F.ceil(F.col("n") / rows)).cast("int").alias("slices")), "line-slices")
 
 
-@F.pandas_udf(T.BinaryType())
-def _pack(h1: pd.Series, h2: pd.Series) -> pd.Series:
-    pairs = np.stack([h1.to_numpy(), h2.to_numpy()], axis=1).astype("<i8")
-    return pd.Series([row.tobytes() for row in pairs], dtype=object)
+def _drop_lines(min_chars: int):
+    """From (text, its dropped hashes) to the new text and what became of it."""
+
+    def make():
+        def drop(part: pa.Array) -> list[pa.Array]:
+            held = part.field(1)
+            counts = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+            flat = held.flatten()
+            pairs = np.stack([flat.field(k).to_numpy() for k in (0, 1)], axis=1).astype("<i8").tobytes()
+            out, totals, dropped, digests, at = [], [], [], [], 0
+            for text, n in zip(part.field(0).to_pylist(), counts.tolist(), strict=True):
+                lines = text.split(b"\n")
+                totals.append(len(lines))
+                if n:
+                    gone = {pairs[i : i + 16] for i in range(at, at + 16 * n, 16)}
+                    at += 16 * n
+                    lines = [x for x in lines if (k := line_key(x, min_chars)) is None or xxhash.xxh3_128_digest(k) not in gone]
+                kept = b"\n".join(lines)
+                out.append(kept.decode("utf-8", "replace"))
+                dropped.append(totals[-1] - len(lines))
+                digests.append(hashlib.sha256(kept).hexdigest())
+            return [pa.array(out, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digests, pa.string())]
+
+        return drop
+
+    return make
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -221,9 +241,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     rows repeated under one doc_id count as one document; an empty table stays empty; a
     document whose lines all go has an empty text.
     """
-    hits = lines_to_drop(docs, min_chars).select("doc_id", _pack("h1", "h2").alias("hash"))
-    hits = hits.groupBy(F.col("doc_id").alias("__hit_id")).agg(F.array_join(F.collect_list(F.hex("hash")), "").alias("__hits"))
-    joined = docs.join(hits, docs["doc_id"].cast("long") == F.col("__hit_id"), "left").drop("__hit_id")
-    joined = joined.withColumn("__new", _drop_lines(min_chars)(utf8("text"), F.unhex("__hits"))).drop("__hits")
-    order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_sha256")]
-    return replace_columns(joined, "__new", ["text", "n_lines", "n_dropped", "kept_sha256"]).select(*[f"`{c}`" for c in order], "n_lines", "n_dropped", "kept_sha256")
+    at, gone = unused("line_doc", docs), unused("line_hashes", docs)
+    hits = lines_to_drop(docs, min_chars).groupBy(F.col("doc_id").alias(at)).agg(F.collect_list(F.struct("h1", "h2")).alias(gone))
+    joined = docs.join(hits, docs["doc_id"].cast("long") == F.col(at), "left")
+    new = per_text("text string, n_lines long, n_dropped long, kept_sha256 string", _drop_lines(min_chars))(F.struct(utf8("text").alias("text"), F.col(gone)))
+    added = ["n_lines", "n_dropped", "kept_sha256"]
+    order = [f"`{c}`" for c in docs.columns if c.lower() not in added]
+    return add_fields(joined, new, ["text", *added]).select(*order, *added)
