@@ -9,15 +9,14 @@ over the weights gives the score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import releasing, replace_columns, shingle_hashes, word_hashes
+from scriptorium.llm.common import add_fields, per_text, rows_from_texts, shingle_hashes, utf8, word_hashes, work_table
 
 #: Labelled documents of each class that are learned from, shortest word with misspellings.
 TRAIN_PER_CLASS, FUZZY_FROM = 2000, 5
@@ -39,12 +38,31 @@ _IS_MARK = np.zeros(65536, bool)
 _IS_MARK[[ord(c) for c in MARKS]] = True
 
 
-def code_points(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, those beyond the first plane as one that is no letter."""
+def lowered(text: str) -> str:
+    """The text in lower case, letter by letter, so that places stay those of the text."""
     low = text.lower()
-    if len(low) != len(text):  # some capitals become two characters; offsets must stay those of the text
+    if len(low) != len(text):  # some capitals become two characters
         low = "".join(c if len(c) == 1 else o for o, c in zip(text, map(str.lower, text), strict=True))
-    return np.minimum(np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32), 65535)
+    return low
+
+
+def code_points(text: str) -> np.ndarray:
+    """Code points of the lower-cased text."""
+    return _points(lowered(text))
+
+
+def _points(low: str) -> np.ndarray:
+    return np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)
+
+
+def word_edges(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words, which are runs of letters and digits."""
+    inside = _WORD_CHARS[np.minimum(points, 65535)]
+    far = np.flatnonzero(points > 65535)
+    if len(far):
+        inside[far] = [chr(c).isalnum() for c in points[far]]
+    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
 class Automaton:
@@ -56,16 +74,17 @@ class Automaton:
 
     def __init__(self, words: list[str], stems: list[str]):
         letters = sorted({c for t in [*words, *stems] for c in t})
-        self.symbols = np.zeros(65536, np.int16)
-        for k, c in enumerate(letters):
-            self.symbols[ord(c)] = k + 1
+        self.letters = np.array([ord(c) for c in letters], np.uint32)
+        self.near = np.zeros(65536, np.int32)  # symbols of the first plane's letters
+        first = self.letters < 65536
+        self.near[self.letters[first]] = np.flatnonzero(first) + 1
         children: list[dict[int, int]] = [{}]
         ends: dict[int, set[tuple[int, int]]] = {}
         for kind, terms in ((EXACT, words), (STEM, stems)):
             for term in terms:
                 node = 0
                 for c in term:
-                    step = int(self.symbols[ord(c)])
+                    step = int(self.symbols(np.array([ord(c)]))[0])
                     if step not in children[node]:
                         children.append({})
                         children[node][step] = len(children) - 1
@@ -113,11 +132,19 @@ class Automaton:
             rows.append(row)
         self.table, self.verdicts = np.array(rows, np.int32), np.array(verdicts, np.int8)
 
+    def symbols(self, points: np.ndarray) -> np.ndarray:
+        """The number of each letter, from 1; 0 for what is in no term."""
+        out = self.near[np.minimum(points, 65535)]
+        far = np.flatnonzero(points >= 65535)
+        if len(far) and len(self.letters):
+            at = np.minimum(np.searchsorted(self.letters, points[far]), len(self.letters) - 1)
+            out[far] = np.where(self.letters[at] == points[far], at + 1, 0)
+        return out
+
     def match(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words; numbers and kinds of the words that match."""
-        edge = np.diff(np.concatenate(([False], _WORD_CHARS[points], [False])).astype(np.int8))
-        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        symbols = self.symbols[points]
+        starts, ends = word_edges(points)
+        symbols = self.symbols(points)
         alive = np.arange(len(starts))
         state = np.ones(len(starts), np.int32)
         numbers, kinds = [], []
@@ -148,17 +175,18 @@ class Model:
 
     def hits(self, text: str) -> list[tuple[int, int, int, float]]:
         """(start, end, kind, weight) of every match, in code points."""
-        points = code_points(text)
+        low = lowered(text)
+        points = _points(low)
         starts, ends, numbers, kinds = self.automaton.match(points)
         out = []
-        marks = np.flatnonzero(_IS_MARK[points]) if len(numbers) else None
+        marks = np.flatnonzero(_IS_MARK[np.minimum(points, 65535)]) if len(numbers) else None
         for number, kind in zip(numbers.tolist(), kinds.tolist(), strict=True):
             a, b = int(starts[number]), int(ends[number])
-            if kind == FUZZY and text[a:b].lower() in self.ordinary:
+            if kind == FUZZY and low[a:b] in self.ordinary:
                 continue
             first, last = max(0, number - WINDOW), min(len(starts), number + WINDOW + 1)
             left, right = int(starts[first]), int(ends[last - 1])
-            around = {text[starts[k] : ends[k]].lower() for k in range(first, last) if k != number}
+            around = {low[starts[k] : ends[k]] for k in range(first, last) if k != number}
             between = np.searchsorted(marks, [left, a, b, right])
             quoted = between[1] > between[0] and between[3] > between[2] or bool(around & _REPORTING)
             out.append((a, b, kind, 1 + QUOTED * quoted + AIMED * bool(around & _ADDRESS)))
@@ -177,11 +205,8 @@ _REPORTING, _ADDRESS = frozenset(REPORTING), frozenset(ADDRESS)
 
 def _terms(text: str) -> set[tuple[str, str]]:
     """A text's distinct words of four letters or more, and the beginnings of longer ones."""
-    points = code_points(text)
-    edge = np.diff(np.concatenate(([False], _WORD_CHARS[points], [False])).astype(np.int8))
-    low = text.lower()
-    low = low if len(low) == len(text) else text
-    words = {low[a:b] for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True) if 4 <= b - a <= 24}
+    low = lowered(text)
+    words = {low[a:b] for a, b in zip(*map(np.ndarray.tolist, word_edges(_points(low))), strict=True) if b - a >= 4}
     return {("word", w) for w in words} | {("stem", w[:k]) for w in words for k in STEM_LETTERS if len(w) > k}
 
 
@@ -231,19 +256,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def telling_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, str, int, int]]:
     """(kind, term, toxic families, clean families) of all terms that are frequent enough in toxic documents and rare in clean ones."""
 
-    def families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 64):
-                rows = []
-                for text in batch["text"].iloc[k : k + 64]:
-                    shingles = shingle_hashes(word_hashes(text.encode("utf-8", "replace")), 3)
-                    family = int(shingles.min() >> np.uint64(1)) if len(shingles) else 0
-                    rows += [(kind, term, family) for kind, term in _terms(text)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["kind", "term", "family"])
+    def families():
+        def rows(part: pa.RecordBatch) -> list[pa.Array]:
+            out = set()
+            for text in part.column(0).to_pylist():
+                shingles = shingle_hashes(word_hashes(text.encode("utf-8", "replace")), 3)
+                family = int(shingles.min() >> np.uint64(1)) if len(shingles) else 0
+                out |= {(kind, term, family) for kind, term in _terms(text)}
+            return [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
+
+        return rows
 
     def counted(label: int, name: str) -> DataFrame:
-        rows = sample.filter(F.col("toxic") == label).select("text").mapInPandas(families, "kind string, term string, family long")
+        rows = rows_from_texts(sample.filter(F.col("toxic") == label).select("text"), "kind string, term string, family long", families)
         return rows.distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias(name))
 
     p, n = F.col("p"), F.coalesce(F.col("n"), F.lit(0))
@@ -256,14 +281,18 @@ def telling_terms(sample: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[s
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Model:
     """Learn lexicon and weights from labelled documents.
 
-    At most ``per_class`` documents of each class are used, whole. Term counts go by
+    At most ``per_class`` documents of each class are used, whole, and written once as a
+    work table. Term counts go by
     families of documents (by one MinHash value of their word triples), so that the words of
     one text with many copies don't pass for a lexicon. Every term that is telling enough
-    is considered. The driver gets the counts of those, and two numbers a document. Without labelled documents of
-    both classes every score is the share of toxic labels, or 0.
+    is considered. The driver gets the counts of those, and two numbers a document. Defined
+    cases: labels other than 0 and 1, and those without a doc_id or a document, are not
+    learned from; null texts are empty; a label repeated for a document counts once, and
+    one that contradicts it for both classes; rows repeated under one doc_id count each, as
+    one family if they are equal; without labelled documents of both classes, or in empty
+    tables, every score is the share of toxic labels, or 0.
     """
-
-    sample = training_sample(docs, labels, per_class)
+    sample = work_table(training_sample(docs, labels, per_class), "toxicity-sample").select("toxic", "text")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     words, stems = choose_terms(telling_terms(sample, n_toxic, n_clean)) if n_toxic and n_clean else ([], [])
@@ -272,24 +301,29 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [({text[a:b].lower() for a, b, kind, _ in shared.value.hits(text) if kind == FUZZY}, toxic) for text, toxic in zip(batch["text"], batch["toxic"], strict=True)]
-            pairs = [(w, toxic) for found, toxic in rows for w in found]
-            if pairs:
-                yield pd.DataFrame(pairs, columns=["word", "toxic"])
+    def near():
+        def rows(part: pa.RecordBatch) -> list[pa.Array]:
+            out = []
+            for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                low = lowered(text)
+                out += [(w, toxic) for w in {low[a:b] for a, b, kind, _ in shared.value.hits(text) if kind == FUZZY}]
+            return [pa.array([w for w, _ in out], pa.string()), pa.array([t for _, t in out], pa.int32())]
+
+        return rows
 
     # What looks like a misspelling but is common in clean documents is a word of its own.
-    forms = sample.mapInPandas(near, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
+    forms = rows_from_texts(sample, "word string, toxic int", near).groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
     model.ordinary = frozenset(r.word for r in forms.filter((F.col("n") + 0.5) / (n_clean + 1) * 5 > (F.col("p") + 0.5) / (n_toxic + 1)).filter("n > 0").collect())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(*shared.value.features(shared.value.hits(t)), toxic) for t, toxic in zip(batch["text"], batch["toxic"], strict=True)]
-            yield pd.DataFrame(rows, columns=["sure", "fuzzy", "toxic"])
+    def features():
+        def rows(part: pa.RecordBatch) -> list[pa.Array]:
+            found = [shared.value.features(shared.value.hits(t)) for t in part.column(1).to_pylist()]
+            return [pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.float64()), part.column(0)]
 
-    seen = np.array([tuple(r) for r in sample.mapInPandas(features, "sure double, fuzzy double, toxic int").collect()])
+        return rows
+
+    seen = np.array(sorted(tuple(r) for r in rows_from_texts(sample, "sure double, fuzzy double, toxic int", features).collect()))
     x, y = seen[:, :2], seen[:, 2]
     model.weights = _logistic(x, y)
     # Misspellings are rare in a sample: whatever it shows, one counts between half and all of the word itself.
@@ -314,17 +348,19 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, with_h
     of no match; repeated rows are scored each; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = "score double" + f", hits {HITS}" * with_hits
+    names = ["score", "hits"] if with_hits else ["score"]
 
-    @F.pandas_udf(fields)
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in releasing(batches):
-            found = [shared.value.hits(t) for t in texts]
-            out = pd.DataFrame({"score": [shared.value.score(h) for h in found]}, dtype=float)
+    def make():
+        def scored(part: pa.Array) -> list[pa.Array]:
+            found = [shared.value.hits(t.decode("utf-8", "replace")) for t in part.to_pylist()]
+            out = [pa.array([shared.value.score(h) for h in found], pa.float64())]
             if with_hits:
-                out["hits"] = [[{"start": a, "end": b, "kind": KINDS[k], "weight": w} for a, b, k, w in h] for h in found]
-            yield out
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("weight", pa.float64())]))
+                out.append(pa.array([[{"start": a, "end": b, "kind": KINDS[k], "weight": w} for a, b, k, w in h] for h in found], kind))
+            return out
+
+        return scored
 
-    out = docs.drop("predicted").withColumn("__t", scored(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = replace_columns(out, "__t", ["score", "hits"] if with_hits else ["score"])
+    over = [c for c in docs.columns if c.lower() == "predicted"]
+    out = add_fields(docs.drop(*over), per_text("score double" + f", hits {HITS}" * with_hits, make)(utf8("text")), names)
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
