@@ -35,32 +35,34 @@ def unescape(text: Column, escapes=ESCAPES) -> Column:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """(conv_id, example, n_turns, text, loss_start, loss_end, last): the examples of conversations.
+    """(conv_id, part, example, n_turns, text, loss_start, loss_end, last): the examples of conversations.
 
     ``conversations`` needs conv_id, turn, role and text; other columns are not read. Turns
     are ordered by turn, then role, then text. ``text`` is the formatted example and
     text[loss_start:loss_end], in code points, the part that is trained on; both are null
     for an example without target. ``last`` marks the example that holds the whole
-    conversation. Defined cases: null role or text is empty; null turns come first; rows
-    without conv_id are one conversation; repeated rows are turns of their own; roles are
+    conversation. Defined cases: null role or text is empty; null turns come first; each row
+    without conv_id is a conversation of its own, told apart by ``part``, which is 0 for all
+    others; repeated rows are turns of their own; roles are
     compared as they stand, so only ``assistant`` is a target; an empty table gives none.
 
     The turns of a conversation meet in one row, combined on the map side first; examples
     are made from that row without another shuffle.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
-    whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    part = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)).alias("part")
+    whole = conversations.select("conv_id", part, turn.alias("turn")).groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     written = F.transform("turns", lambda t: F.concat(F.lit(BEGIN), escape(t["role"], ROLE_ESCAPES), F.lit(AFTER_ROLE), escape(t["text"]), F.lit(END)))
     count = F.size("turns")
     replies = F.filter(F.sequence(F.lit(1), count), lambda k: F.element_at("turns", k)["role"] == "assistant")
     tail = F.when(F.element_at("turns", -1)["role"] == "assistant", F.array().cast("array<int>")).otherwise(F.array(count))
-    whole = whole.select("conv_id", written.alias("written"), F.transform("turns", lambda t: t["role"] == "assistant").alias("is_reply"), F.concat(replies, tail).alias("ends"))
-    one = whole.select("conv_id", "written", "is_reply", F.posexplode("ends").alias("example", "n_turns"))
+    whole = whole.select("conv_id", "part", written.alias("written"), F.transform("turns", lambda t: t["role"] == "assistant").alias("is_reply"), F.concat(replies, tail).alias("ends"))
+    one = whole.select("conv_id", "part", "written", "is_reply", F.posexplode("ends").alias("example", "n_turns"))
     text = F.array_join(F.slice("written", 1, F.col("n_turns")), "")
-    one = one.select("conv_id", "example", "n_turns", text.alias("text"), F.element_at("written", F.col("n_turns")).alias("target"), F.element_at("is_reply", F.col("n_turns")).alias("trained"), (F.col("n_turns") == F.size("written")).alias("last"))
+    one = one.select("conv_id", "part", "example", "n_turns", text.alias("text"), F.element_at("written", F.col("n_turns")).alias("target"), F.element_at("is_reply", F.col("n_turns")).alias("trained"), (F.col("n_turns") == F.size("written")).alias("last"))
     end = F.length("text") - len(END)
     start = F.length("text") - F.length("target") + len(BEGIN + "assistant" + AFTER_ROLE)
-    return one.select("conv_id", "example", "n_turns", "text", F.when(F.col("trained"), start).alias("loss_start"), F.when(F.col("trained"), end).alias("loss_end"), "last")
+    return one.select("conv_id", "part", "example", "n_turns", "text", F.when(F.col("trained"), start).alias("loss_start"), F.when(F.col("trained"), end).alias("loss_end"), "last")
 
 
 def read_turns(text: Column) -> Column:
@@ -80,8 +82,8 @@ def digest_examples(examples: DataFrame) -> DataFrame:
     trained = unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
     turns = F.when(F.col("last"), read_turns(F.col("text")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    each = examples.select("conv_id", "example", F.length("text").cast("long").alias("chars"), F.coalesce(trained, F.lit("")).alias("trained"), turns.alias("turns"))
-    each = each.select("conv_id", "example", "chars", "trained", F.size("turns").cast("long").alias("n"), F.sha2(said, 256).alias("said"))
-    by_conv = each.groupBy("conv_id").agg(F.max("n").alias("n_turns"), F.max("said").alias("turns_sha256"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("example", "trained"))).alias("trained"))
+    each = examples.select("conv_id", "part", "example", F.length("text").cast("long").alias("chars"), F.coalesce(trained, F.lit("")).alias("trained"), turns.alias("turns"))
+    each = each.select("conv_id", "part", "example", "chars", "trained", F.size("turns").cast("long").alias("n"), F.sha2(said, 256).alias("said"))
+    by_conv = each.groupBy("conv_id", "part").agg(F.max("n").alias("n_turns"), F.max("said").alias("turns_sha256"), F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("example", "trained"))).alias("trained"))
     loss = F.array_join(F.col("trained")["trained"], "")
     return by_conv.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
