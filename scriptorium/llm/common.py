@@ -150,51 +150,6 @@ def rows_from_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.
     return df.mapInArrow(run, schema)
 
 
-def replace_columns(df: DataFrame, struct: str, fields: list[str]) -> DataFrame:
-    """``df`` with the fields of ``struct`` as columns, in place of any columns of those names."""
-    drop = {struct.lower(), *(f.lower() for f in fields)}
-    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in drop]
-    return df.select(*kept, *[F.col(struct)[f].alias(f) for f in fields])
-
-
-def releasing(batches: Iterator) -> Iterator:
-    """The batches; when they are over, freed memory goes back to the system."""
-    try:
-        yield from batches
-    finally:
-        release_memory()
-
-
-def add_from_text(docs: DataFrame, fields: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]], portion: int = 1_000_000) -> DataFrame:
-    """``docs`` with columns made from whole texts, in place of any columns of those names.
-
-    ``make()`` runs once in a task and gives a function from texts (null as empty) to one
-    Arrow array for each of ``fields``. It gets portions of about so many bytes, or one text
-    if that is longer, so that memory does not depend on the size of Arrow's batches.
-    """
-    added = T.StructType.fromDDL(fields)
-    names = {f.lower() for f in added.names}
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
-    at = [c.lower() for c in kept.columns].index("text")
-    columns = [*kept.columns, *added.names]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = make()
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-            parts = np.cumsum(sizes) // portion
-            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    part = batch.slice(lo, hi - lo)
-                    texts = [t or "" for t in part.column(at).to_pylist()]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *compute(texts)], names=columns)
-        del compute
-        release_memory()
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *added.fields]))
-
-
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -8,11 +8,11 @@ themselves, and a host whose shrunk rate is too high takes its documents with it
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import replace_columns, utf8, work_table
+from scriptorium.llm.common import add_fields, per_text, unused, utf8, work_table
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOLS = b"#*$%&|<>"
@@ -46,11 +46,7 @@ def measure(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def _measure():
-    @F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
-    def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in texts], columns=MEASURES)
-
-    return measured
+    return lambda part: [pa.array(x, pa.int64()) for x in zip(*map(measure, part.to_pylist()), strict=True)]
 
 
 def rules() -> dict[str, Column]:
@@ -64,7 +60,7 @@ def rules() -> dict[str, Column]:
 
 def measure_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with the measures as columns."""
-    return replace_columns(docs.withColumn("__m", _measure()(utf8("text"))), "__m", MEASURES)
+    return add_fields(docs, per_text(", ".join(f"{m} long" for m in MEASURES), _measure)(utf8("text")), MEASURES)
 
 
 def host_rates(failures: DataFrame) -> DataFrame:
@@ -98,7 +94,8 @@ def judge(measured: DataFrame, host: str = "source", max_rate: float = 0.5) -> D
     failed = rules()
     base = failed["too_short"] | failed["repetitive"]
     rates = host_rates(measured.select(F.col(host).cast("string").alias("host"), (base | failed["symbols"]).alias("failed")))
-    rates = rates.select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
+    at = unused("host", measured)
+    rates = rates.select(F.col("host").alias(at), F.col("rate").alias("host_rate"))
     measured = measured.drop("base_failed", "host_rate", "kept").withColumn("base_failed", base)
-    joined = measured.join(rates, measured[host].cast("string") == rates["__host"], "left").drop("__host")
+    joined = measured.join(rates, measured[host].cast("string") == rates[at], "left").drop(at)
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_rate") <= max_rate, F.lit(True)))
