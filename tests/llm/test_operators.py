@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -120,7 +121,7 @@ def test_stages_on_odd_input(spark, sample, edge, empty):
 def test_token_counts_of_chunks(parts):
     text = "".join(parts)
     counter = _counter()
-    assert counter.count([text]) == counter.short([text]) == counter.whole([text])
+    assert counter.count([text]) == counter.short([text]) == [counter.long(text)] == counter.whole([text])
 
 
 def _counter(cache={}):
@@ -216,6 +217,25 @@ def test_word_hashes_follow_the_words():
     assert len(shingle_hashes(a, 3)) == 1 and len(shingle_hashes(a, 5)) == 1 and len(shingle_hashes(word_hashes(b""), 3)) == 0
 
 
+def test_many_short_items_cost_little():
+    random_ = random.Random(9)
+    words = [f"s{k}" for k in range(300)]
+    items = [(k, " ".join(random_.choice(words) for _ in range(random_.randint(1, 4))).encode()) for k in range(2000)]
+    texts = [" ".join(random_.choice(words) for _ in range(300)).encode() for _ in range(100)]
+    index = decontaminate.ItemIndex(items, 5, 80)
+    start = time.process_time()
+    got = {(at, item) for at, item, _, _ in index.search(texts)}
+    assert time.process_time() - start < 2.5
+    assert got == {(at, k) for at, t in enumerate(texts) for k, x in items if b" " + x + b" " in b" " + t + b" "}
+
+
+def test_items_in_many_blocks(spark):
+    items = spark.range(600).selectExpr("id as item_id", "concat_ws(' ', 'x', id, id + 1, id + 2, id + 3, id + 4, 'y') as text")
+    docs = spark.range(600).selectExpr("id as doc_id", "concat_ws(' ', 'some words ahead x', id, id + 1, id + 2, id + 3, id + 4, 'y and behind') as text")
+    out = decontaminate.benchmark_overlaps(docs, items, block_items=150)
+    assert out.count() == 600 and out.filter("doc_id <> item_id").count() == 0
+
+
 def test_items_are_found_in_long_documents(spark):
     random_ = random.Random(5)
     words = [f"v{k}" for k in range(5000)]
@@ -312,9 +332,14 @@ def test_chat_round_trip(spark):
     rows += [(None, None, "assistant", "x"), (None, 1, "user", "y"), (50, 0, "user", "same"), (50, 0, "user", "same")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit("own"))
     examples = chat.format_conversations(turns)
-    got = {r.conv_id: r for r in chat.digest_examples(examples).collect()}
+    digested = chat.digest_examples(examples).collect()
+    alone = sorted((r.n_turns, r.turns_sha256) for r in digested if r.conv_id is None)
+    assert alone == sorted((1, hashlib.sha256(said.encode()).hexdigest()) for said in ("assistant\nx\n", "user\ny\n"))
+    got = {r.conv_id: r for r in digested if r.conv_id is not None}
     whole: dict = {}
     for c, t, role, text in rows:
+        if c is None:  # each a conversation of its own
+            continue
         whole.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
     assert set(got) == set(whole)
     for c, said in whole.items():
