@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import os
 import tempfile
 import uuid
@@ -94,8 +93,10 @@ def add_fields(df: DataFrame, struct: Column, fields: list[str]) -> DataFrame:
 
 
 def release_memory() -> None:
-    """Give freed memory back to the system: Spark keeps a Python worker for later stages."""
-    gc.collect()
+    """Give freed memory back to the system: Spark keeps a Python worker for later stages.
+
+    No search for cycles, which would write to, and so copy, what workers share with their daemon.
+    """
     pa.default_memory_pool().release_unused()
     with suppress(AttributeError, OSError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
@@ -119,7 +120,8 @@ def per_text(fields: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]
     ``make()`` runs once in a task and gives a function from a portion of the column to one
     Arrow array for each field. Portions go by bytes, so that a worker's memory depends
     neither on the size of Arrow's batches nor on that of a partition; it is given back at
-    the end. Other columns never leave the JVM.
+    the end. Other columns never leave the JVM. The UDF counts as not deterministic, so that
+    a filter on its result is not pushed below it, where it would run a second time.
     """
     made = T.StructType.fromDDL(fields)
 
@@ -132,7 +134,7 @@ def per_text(fields: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]
         del compute
         release_memory()
 
-    return run
+    return run.asNondeterministic()
 
 
 def rows_from_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], portion: int = PORTION) -> DataFrame:
