@@ -1,7 +1,7 @@
 """Splitters of document tables: one document in, its chunks out, each with its parent's columns.
 
 Rules that need a parser or a running state work on Arrow batches of (text) in a scalar
-pandas UDF, so all other columns stay in the JVM; fixed windows are plain expressions.
+pandas UDF, so all other columns stay in the JVM.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, MarkdownRules, RecursiveRules
+from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, MarkdownRules, RecursiveRules, token_windows
 from scriptorium.schema import CONTENT, METADATA, merged, metadata
 
 #: Separators of chunk size control: headings first.
@@ -51,13 +51,14 @@ def split_language(docs: DataFrame, language: str, **options) -> DataFrame:
 
 
 def split_windows(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Windows of ``size`` code points with ``overlap``, untrimmed; the number of windows has a closed form."""
+    """Windows of ``size`` code points with ``overlap``, untrimmed; the number of windows has a closed form.
+
+    One Arrow pass, as an expression would walk from a text's start to each of its windows.
+    """
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the chunk size")
-    n, stride = F.length(CONTENT), size - overlap
-    last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / stride).cast("int"))
-    windows = F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(F.col(CONTENT), k * stride + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-    return _explode_chunks(docs, windows)
+    stride = size - overlap
+    return _explode_chunks(docs, _text_chunks(lambda t: [t[k * stride : k * stride + size] for k in range(token_windows(len(t), size, overlap))])(CONTENT))
 
 
 def _scoped_chunks(split: Callable[[str], list[tuple[str, dict[str, str]]]]):

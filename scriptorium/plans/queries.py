@@ -297,9 +297,9 @@ def language_split(t):
     return splitters.split_recursively(_docs(t), RecursiveRules.from_language("markdown", size=300, overlap=30)).select("doc_id", "chunk_index", CONTENT)
 
 
-@_query("select doc_id, cast(0 as bigint) as chunk_index, text as page_content from documents where length(text) <= 1000")
+@_query()
 def chunk_size_guard(t):
-    return splitters.control_chunk_size(_docs(t), force_overlap=False).join(t("documents").filter(F.length("text") <= 1000).select("doc_id"), "doc_id", "left_semi").select("doc_id", "chunk_index", CONTENT)
+    return splitters.control_chunk_size(_docs(t), force_overlap=False).select("doc_id", "chunk_index", CONTENT)
 
 
 @_query()
