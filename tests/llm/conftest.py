@@ -16,7 +16,7 @@ EDGE = [
     (11, "mail me: a.b@c.de, +1 (555) 123-4567 or 10.0.0.1 card 4111 1111 1111 1111."),
 ]
 #: Names of columns that operators add.
-CLASHING = "n_lines, score, kept, base_failed, n_tokens, lang_pred, component_id, shard, payload, rep, predicted, hits, n_words, rate, host_rate, token_ids"
+CLASHING = "n_lines, score, kept, base_failed, n_tokens, lang_pred, component_id, shard, payload, rep, predicted, hits, n_words, rate, host_rate, token_ids, made, line_doc, line_hashes, host, bad_doc, __hits, __m, __new, __hit_id"
 
 
 @pytest.fixture(scope="session")
