@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERCENTILES = (50, 95, 99)
 
 
+#: Buckets of a value's magnitude, for each time that it grows e-fold.
+_BUCKETS = 200
+
+
+def exact_percentiles(rows: DataFrame, key: str, value: str, percents: tuple[int, ...] = PERCENTILES) -> DataFrame:
+    """Nearest-rank percentiles of each key as columns p50 and so on; null values don't count.
+
+    A first pass counts values in buckets of their magnitude, whose number doesn't grow with
+    the rows, and finds the bucket of each rank; a second one ranks the distinct values of
+    those buckets. So no task ever holds all values of a key.
+    """
+    size = F.floor(F.log1p(F.abs("v")) * _BUCKETS).cast("double") * F.signum("v")
+    bucket = F.when(F.isnan("v"), float("inf")).otherwise(size)
+    held = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null").withColumn("b", bucket)
+    upto = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.sum("n").over(Window.partitionBy("k"))
+    counts = held.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n")).select("k", "b", "n", F.sum("n").over(upto).alias("upto"), n.alias("total"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.expr(f"greatest(1, (total * {p} + 99) div 100)").alias("rank")) for p in percents]))
+    wanted = counts.select("k", "b", "n", "upto", ranks.alias("r")).filter("r.rank <= upto and r.rank > upto - n")
+    wanted = wanted.select(F.col("k").alias("wk"), F.col("b").alias("wb"), F.col("r.p").alias("p"), (F.col("r.rank") - F.col("upto") + F.col("n")).alias("rank"))
+    at = F.col("k").eqNullSafe(F.col("wk")) & (F.col("b") == F.col("wb"))
+    values = held.join(wanted.select("wk", "wb").distinct(), at, "left_semi").groupBy("k", "b", "v").agg(F.count(F.lit(1)).alias("n"))
+    within = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("upto", F.sum("n").over(within)).join(wanted, at).filter("rank <= upto and rank > upto - n")
+    return values.groupBy(F.col("k").alias(key)).agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
+
+
 def _rollup(operations: DataFrame, *more: Column) -> DataFrame:
     failed = (~F.col("success")).cast("bigint")
-    exact = [F.expr(f"percentile_disc({p / 100}) within group (order by duration)").cast("double").alias(f"p{p}") for p in PERCENTILES]
-    return operations.groupBy("operation").agg(
+    rolled = operations.groupBy("operation").agg(
         F.count(F.lit(1)).alias("count"),
         F.sum(F.col("success").cast("bigint")).alias("success_count"),
         F.sum(failed).alias("failure_count"),
@@ -20,9 +46,10 @@ def _rollup(operations: DataFrame, *more: Column) -> DataFrame:
         F.avg("duration").alias("avg_duration"),
         F.min("duration").alias("min_duration"),
         F.max("duration").alias("max_duration"),
-        *exact,
         *more,
     )
+    ranked = exact_percentiles(operations, "operation", "duration").withColumnRenamed("operation", "ranked")
+    return rolled.join(ranked, F.col("operation").eqNullSafe(F.col("ranked")), "left").drop("ranked")
 
 
 def aggregate_metrics(operations: DataFrame, now: Column | None = None) -> DataFrame:

@@ -59,22 +59,7 @@ def stamp_source(docs: DataFrame, filename: str) -> DataFrame:
     return docs.withColumn(METADATA, merged(F.col(METADATA), metadata(source=F.col(filename))))
 
 
-def hash_embedding(texts: list[str], dimensions: int = 64) -> list[list[float]]:
-    """A deterministic stand-in for an embedding model: hashed words, normalised."""
-    import zlib
-
-    out = []
-    for text in texts:
-        vector = [0.0] * dimensions
-        for word in text.split():
-            h = zlib.crc32(word.encode("utf-8", "replace"))
-            vector[h % dimensions] += 1.0 if h >> 16 & 1 else -1.0
-        length = sum(x * x for x in vector) ** 0.5 or 1.0
-        out.append([x / length for x in vector])
-    return out
-
-
-def embed(docs: DataFrame, provider: Callable[[list[str]], list[list[float]]] = hash_embedding, batch: int = 32, column: str = "embedding", skip_on_error: bool = False) -> DataFrame:
+def embed(docs: DataFrame, provider: Callable[[list[str]], list[list[float]]], batch: int = 32, column: str = "embedding", skip_on_error: bool = False) -> DataFrame:
     """Adds the vectors that ``provider`` gives for batches of texts; failed batches stay without if ``skip_on_error``."""
 
     @F.pandas_udf("array<float>")

@@ -367,24 +367,31 @@ class JsonRules:
     def split_value(self, value) -> list[dict]:
         least = self.least if self.least is not None else max(self.most - 200, 50)
         chunks: list[dict] = [{}]
+        size = 2  # of the last chunk as text, kept while it grows
 
         def put(path: list[str], x) -> None:
-            at = chunks[-1]
-            for key in path[:-1]:
-                at = at.setdefault(key, {})
-            at[path[-1] if path else "undefined"] = x
+            nonlocal size
+            at, (*above, name) = chunks[-1], path or ["undefined"]
+            for key in above:
+                if key not in at:
+                    size += len(to_json(key)) + 3 + bool(at)
+                    at[key] = {}
+                at = at[key]
+            size += len(to_json(name)) + 1 + bool(at) + len(to_json(x))
+            at[name] = x
 
         def place(x, path: list[str]) -> None:
+            nonlocal size
             if not isinstance(x, dict):
                 put(path, x)
                 return
             for key, child in _ordered(x).items():
-                room = self.most - len(to_json(chunks[-1]))
-                if len(to_json({key: child})) < room:
+                if len(to_json({key: child})) < self.most - size:
                     put([*path, key], child)
                 else:
-                    if len(to_json(chunks[-1])) > least:
+                    if size > least:
                         chunks.append({})
+                        size = 2
                     place(child, [*path, key])
 
         place(_arrays_as_objects(value), [])

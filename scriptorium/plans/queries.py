@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,6 +182,38 @@ def csv_markdown_table(t):
     return readers.table_markdown(t("region"), ["r_regionkey", "r_name"], "r_regionkey")
 
 
+def _csv_files(t) -> DataFrame:
+    """One CSV file for each conversation: a header, then turn, role and text in quotes, doubled where the text has some."""
+    quoted = F.concat(F.lit('"'), F.replace(F.concat(F.col("text"), F.lit(', "so"')), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("turn").cast("string"), "role", quoted)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"])
+    text = F.array_join(F.concat(F.array(F.lit("turn,role,text")), lines), "\r\n")
+    return t("conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(text.cast("binary").alias("content"))
+
+
+@_query("""select conv_id, 'turn: ' || turn || chr(10) || 'text: ' || text || ', "so"' as page_content, role, cast(row_number() over (partition by conv_id order by turn, text) as varchar) as row from conversations""")
+def csv_parse(t):
+    out = readers.read_csv(_csv_files(t), metadata_columns=("role",))
+    return out.select(F.col("doc_id").cast("bigint").alias("conv_id"), CONTENT, F.col(METADATA)["role"].alias("role"), F.col(METADATA)["row"].alias("row"))
+
+
+@_query("""with c as (select conv_id, turn, role, text || ', "so"' as text from conversations), w as (select conv_id, greatest(4, max(length(turn::varchar)))::int as a, greatest(4, max(length(role)))::int as b, greatest(4, max(length(text)))::int as c, count(*) as n from c group by 1)
+    select w.conv_id, '| ' || rpad('turn', any_value(w.a), ' ') || ' | ' || rpad('role', any_value(w.b), ' ') || ' | ' || rpad('text', any_value(w.c), ' ') || ' |' || chr(10) || '| ' || repeat('-', any_value(w.a)) || ' | ' || repeat('-', any_value(w.b)) || ' | ' || repeat('-', any_value(w.c)) || ' |' || chr(10) ||
+        string_agg('| ' || rpad(turn::varchar, w.a, ' ') || ' | ' || rpad(role, w.b, ' ') || ' | ' || rpad(text, w.c, ' ') || ' |', chr(10) order by turn, text) as page_content, cast(any_value(n) as varchar) as rows
+    from w join c using (conv_id) group by w.conv_id""")
+def csv_table_parse(t):
+    out = readers.read_csv(_csv_files(t), split_rows=False)
+    return out.select(F.col("doc_id").cast("bigint").alias("conv_id"), CONTENT, F.col(METADATA)["rows"].alias("rows"))
+
+
+@_query("""select doc_id, ['application/pdf', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet', 'application/zip', 'application/msword'][1 + doc_id % 5] as mime from documents""")
+def magic_sniff_binary(t):
+    """The first bytes of PDF, ZIP and OLE files, and names of parts inside ZIP files, ahead of each text."""
+    heads = ("25504446", "504B0304" + b"\x00word/document.xml".hex(), "504B0304" + b"\x00xl/workbook.xml".hex(), "504B0304" + b"\x00a.txt".hex(), "D0CF11E0")
+    head = F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 5 + 1).cast("int")))
+    return t("documents").select("doc_id", mime.sniff(F.concat(head, F.lit(" ").cast("binary"), F.coalesce("text", F.lit("")).cast("binary"))).alias("mime"))
+
+
 def _operations(t) -> DataFrame:
     e = t("events")
     return e.select(F.col("event_type").alias("operation"), F.col("ts").cast("timestamp").alias("started"), F.col("ts").cast("timestamp").alias("ended"), F.col("value").alias("duration"), (F.col("event_type") != "error").alias("success"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"), "event_id")
@@ -317,6 +351,34 @@ def markdown_split(t):
     return out.select("doc_id", "chunk_index", CONTENT, F.col(METADATA)["Header 1"].alias("header"))
 
 
+def outline(text: str) -> str:
+    """A text with headings of three levels, blank lines and fences put in by line number."""
+    marks = {0: "# ", 2: "## ", 3: "\n", 5: "### ", 7: "```\n## ", 9: "```\n"}
+    return "\n".join(marks.get(k % 11, "") + x for k, x in enumerate(re.split("[\n.]", text)))
+
+
+def _outlined(t) -> DataFrame:
+    @F.pandas_udf("string")
+    def marked(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(outline)
+
+    return documents(t("documents"), "doc_id", marked("text"))
+
+
+@_query()
+def markdown_headers(t):
+    return splitters.split_markdown(_outlined(t)).select("doc_id", "chunk_index", CONTENT, F.to_json(METADATA).alias("headers"))
+
+
+@_query()
+def json_split_nested(t):
+    """Each conversation as nested objects and arrays, far over the size of a chunk."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    value = F.to_json(F.struct(F.struct(F.first("conv_id").alias("id"), turns.alias("turns")).alias("conversation")))
+    docs = documents(t("conversations").groupBy("conv_id").agg(value.alias("json")), "conv_id", "json")
+    return splitters.split_json(docs, JsonRules(300)).select(F.col("doc_id").alias("conv_id"), "chunk_index", CONTENT)
+
+
 @_query()
 def html_header_split(t):
     out = splitters.split_html(documents(t("pages"), "page_id", "html"), HtmlRules())
@@ -336,16 +398,26 @@ def json_split(t):
 
 
 @_query("""with v as (select vec_id, embedding as a, list_transform(embedding, lambda x: x::double) as d from embeddings)
-    select vec_id, round(list_dot_product(d, d), 6) as squared, len(a)::bigint as dimensions, cast(1.0 as double) as self_similarity from v""")
+    select vec_id, round(list_dot_product(d, d), 6) as squared, len(a)::bigint as dimensions, round(list_dot_product(d, list_reverse(d)) / list_dot_product(d, d), 6) as reversed_similarity from v""")
 def embedding_norms(t):
-    e = t("embeddings").withColumn("other", F.col("embedding"))
+    e = t("embeddings").withColumn("other", F.reverse("embedding"))
     squared = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return e.select("vec_id", F.round(squared, 6).alias("squared"), F.size("embedding").cast("bigint").alias("dimensions"), F.round(processors.cosine("embedding", "other"), 9).alias("self_similarity"))
+    return e.select("vec_id", F.round(squared, 6).alias("squared"), F.size("embedding").cast("bigint").alias("dimensions"), F.round(processors.cosine("embedding", "other"), 6).alias("reversed_similarity"))
+
+
+LETTERS = "aeiou"
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """A provider whose vectors SQL can name: how often each vowel is in a text."""
+    return [[float(t.count(x)) for x in LETTERS] for t in texts]
 
 
-@_query("select doc_id, cast(64 as bigint) as dimensions from documents")
+@_query("select doc_id, " + " || ',' || ".join(f"(length(text) - length(replace(text, '{x}', '')))" for x in LETTERS) + " as counts from documents")
 def embed_batches(t):
-    return processors.embed(_docs(t)).select("doc_id", F.size("embedding").cast("bigint").alias("dimensions"))
+    """Every document keeps the vector of its own text, whatever the batches."""
+    made = processors.embed(_docs(t), letter_counts, batch=7)
+    return made.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("counts"))
 
 
 def _calls(t) -> DataFrame:

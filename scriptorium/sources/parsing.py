@@ -214,16 +214,23 @@ def html_to_markdown(html: str) -> str:
 HTML_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "article", "section")
 
 
-def html_elements(html: str, strip: Callable[[str], str], tags: tuple[str, ...] = HTML_TAGS) -> Parsed:
-    """A document for each element, tag by tag, with its place in the page without scripts."""
-    page = re.sub(r"(?is)<style\b.*?</style>", "", re.sub(r"(?is)<script\b.*?</script>", "", html))
-    out: Parsed = []
-    for tag in tags:
-        for m in re.finditer(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", page):
-            text = strip(m.group(1))
-            if text:
-                out.append((text, {"format": "html", "element": tag, "position": str(m.start())}))
-    return out
+def elements(page: str, tags: tuple[str, ...] = HTML_TAGS) -> list[dict]:
+    """(tag, position, inner) of the elements, tag by tag; an element reaches to the first end tag of its name.
+
+    Tags of all names are found in one pass.
+    """
+    found: dict[str, list[dict]] = {t: [] for t in tags}
+    opened: dict[str, tuple[int, int]] = {}
+    for m in re.finditer(rf"(?i)<(/?)({'|'.join(tags)})\b", page):
+        tag = m[2].lower()
+        if not m[1]:
+            end = page.find(">", m.end())
+            if tag not in opened and end >= 0:
+                opened[tag] = m.start(), end + 1
+        elif tag in opened and m.start() >= opened[tag][1] and page[m.end() : m.end() + 1] == ">":
+            start, inner = opened.pop(tag)
+            found[tag].append({"tag": tag, "position": start, "inner": page[inner : m.start()]})
+    return [e for t in tags for e in found[t]]
 
 
 # Office -------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial, reduce
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,16 +90,24 @@ def read_html(files: DataFrame, mode: str = "markdown", tags: tuple[str, ...] =
         return _document(held, tx.strip_html("text"), metadata(format="html", originalFormat="html"))
     if mode == "elements":
         return html_elements(held.select("path", "text"), "path", "text", tags)
-    return _parsed(held, "text", lambda t: [(parsing.html_to_markdown(t), {"format": "markdown", "originalFormat": "html", "convertedBy": "html-parser"})])
+    return _parsed(held, "text", _page)
+
+
+def _page(html: str) -> Parsed:
+    return [(parsing.html_to_markdown(html), {"format": "markdown", "originalFormat": "html", "convertedBy": "html-parser"})]
 
 
 def html_elements(pages: DataFrame, key: str, html: str, tags: tuple[str, ...] = parsing.HTML_TAGS) -> DataFrame:
-    """Non-empty elements of pages, tag by tag in the order given: (doc_id, doc_seq, page_content, metadata)."""
-    page = pages.select(F.col(key).alias("path"), tx.drop_scripts(html).alias("page"))
-    found = F.array(*[F.struct(F.lit(t).alias("tag"), F.regexp_extract_all("page", F.lit(rf"(?is)<{t}\b[^>]*>(.*?)</{t}>"), 1).alias("inner")) for t in tags])
-    each = page.select("path", F.posexplode(found).alias("t", "e")).select("path", "t", F.col("e.tag").alias("tag"), F.posexplode("e.inner").alias("k", "inner"))
-    each = each.withColumn("text", tx.strip_tags("inner")).filter("text <> ''")
-    return _document(each, F.col("text"), metadata(format="html", element=F.col("tag")), F.col("t") * 1_000_000 + F.col("k"))
+    """Non-empty elements of pages, tag by tag in the order given, with their position in the page without scripts."""
+
+    @F.pandas_udf("array<struct<tag:string,position:int,inner:string>>")
+    def elements(texts: pd.Series) -> pd.Series:
+        return pd.Series([parsing.elements(t, tags) if t is not None else [] for t in texts], dtype=object)
+
+    page = pages.select(F.col(key).alias("path"), elements(tx.drop_scripts(html)).alias("found"))
+    each = page.select("path", F.posexplode("found").alias("k", "e"))
+    each = each.withColumn("text", tx.strip_tags("e.inner")).filter("text <> ''")
+    return _document(each, F.col("text"), metadata(format="html", element=F.col("e.tag"), position=F.col("e.position")), F.col("k"))
 
 
 def read_docx(files: DataFrame, skip_errors: bool = False) -> DataFrame:
@@ -119,11 +127,14 @@ def read_with(files: DataFrame, provider: Callable[[bytes], Parsed] | None, kind
 
 def read_pdf(files: DataFrame, providers: Providers, detect_scanned: bool = True, skip_errors: bool = False) -> DataFrame:
     """PDFs by the caller's text extractor; those whose text looks scanned by its OCR, if there is one."""
+    return read_with(files, _pdf_parser(providers, detect_scanned), "PDF", skip_errors)
+
+
+def _pdf_parser(providers: Providers, detect_scanned: bool) -> Callable[[bytes], Parsed] | None:
+    plain, ocr, looks = providers.pdf, providers.scanned, _looks_scanned
     if not (detect_scanned and providers.ocr):
-        return read_with(files, providers.pdf, "PDF", skip_errors)
-    plain, ocr = providers.pdf, providers.scanned
-    looks = _looks_scanned
-    return _parsed(files, "content", lambda c: ocr(c) if plain is None or looks(found := plain(c)) else found, skip_errors)
+        return plain
+    return lambda c: ocr(c) if plain is None or looks(found := plain(c)) else found
 
 
 def _looks_scanned(found: Parsed) -> bool:
@@ -141,18 +152,41 @@ def _looks_scanned(found: Parsed) -> bool:
 
 
 def read_files(files: DataFrame, providers: Providers = Providers(), overrides: dict[str, Callable[[DataFrame], DataFrame]] | None = None, skip_errors: bool = False) -> DataFrame:
-    """Every file by the reader of its extension; unknown ones as text. Formats without a provider are left out."""
-    tolerant: dict[str, Callable[..., DataFrame]] = {"csv": read_csv, "json": read_json, "docx": read_docx, "xlsx": read_xlsx}
-    readers: dict[str, Callable[[DataFrame], DataFrame]] = {"text": read_text, "markdown": read_markdown, "html": read_html}
-    readers |= {kind: partial(reader, skip_errors=skip_errors) for kind, reader in tolerant.items()}
+    """Every file by the reader of its extension; unknown ones as text. Formats without a provider are left out.
+
+    All files go through one scan, as a branch for each format would open every file once
+    more. Readers given in ``overrides`` take tables, so each of them scans for its own.
+    """
+    overrides = overrides or {}
+    texts = {k: p for k, p in {"csv": parsing.csv_rows, "json": parsing.json_documents, "html": _page}.items() if k not in overrides}
+    binaries: dict[str, Callable[[bytes], Parsed]] = {"docx": parsing.docx_text, "xlsx": parsing.xlsx_documents}
     if providers.pdf or providers.ocr:
-        readers["pdf"] = lambda f: read_pdf(f, providers, skip_errors=skip_errors)
-    for kind in ("doc", "xls"):
-        if provider := getattr(providers, kind):
-            readers[kind] = partial(read_with, provider=provider, kind=kind.upper(), skip_errors=skip_errors)
-    readers |= overrides or {}
+        binaries["pdf"] = _pdf_parser(providers, True)
+    binaries |= {kind: provider for kind in ("doc", "xls") if (provider := getattr(providers, kind))}
+    binaries = {k: p for k, p in binaries.items() if k not in overrides}
+    plain = [k for k in ("text", "markdown") if k not in overrides]
+
+    def documents(kind: str, text: str | None, content: bytes | None) -> list[dict]:
+        try:
+            found = texts[kind](text) if kind in texts else binaries[kind](content) if kind in binaries else []
+            return [{"content": c, "meta": m} for c, m in found]
+        except Exception:
+            if not skip_errors or kind == "html":
+                raise
+            return []
+
+    @F.pandas_udf("array<struct<content:string,meta:map<string,string>>>")
+    def parse(kinds: pd.Series, held: pd.Series, raw: pd.Series) -> pd.Series:
+        return pd.Series([documents(*x) for x in zip(kinds, held, raw, strict=True)], dtype=object)
+
     typed = files.withColumn("format", format_of("path"))
-    parts = [reader(typed.filter(F.col("format") == kind).drop("format")) for kind, reader in readers.items()]
+    wanted = _texts(typed.filter(F.col("format").isin(*plain, *texts, *binaries)), "utf-8")
+    kind = F.col("format")
+    made = parse(kind, F.when(kind.isin(*texts), F.col("text")), F.when(kind.isin(*binaries), F.col("content")))
+    whole = F.array(F.struct(F.col("text").alias("content"), metadata(format=kind, encoding=F.col("encoding")).alias("meta")))
+    cut = wanted.select("path", F.posexplode(F.when(kind.isin(*plain), whole).otherwise(made)).alias("k", "d"))
+    parts = [_document(cut, F.col("d.content"), F.col("d.meta"), F.col("k"))]
+    parts += [reader(typed.filter(F.col("format") == kind).drop("format")) for kind, reader in overrides.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

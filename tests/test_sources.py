@@ -1,8 +1,11 @@
 import io
+import re
 import time
 import zipfile
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from scriptorium.operators.processors import clean_text, enrich
 from scriptorium.plans.service import fresh, not_cached, process_buffers
@@ -59,9 +62,17 @@ def test_html_markdown():
     assert got.startswith("## T\n\na **b** [l](u)") and "- 1" in got and "| h |\n| --- |\n| v |" in got and "no" not in got
 
 
-def test_html_elements_positions():
-    got = parsing.html_elements("<p>a</p><h1>b</h1><p> </p>", lambda x: x.strip())
-    assert [(c, m["element"], m["position"]) for c, m in got] == [("b", "h1", "8"), ("a", "p", "0")]
+def test_html_elements_positions(spark):
+    pages = spark.createDataFrame([("u", "<script>x</script><p>a</p><h1>b</h1><p> </p>"), ("v", None)], "path string, html string")
+    got = readers.html_elements(pages, "path", "html").orderBy("doc_seq").collect()
+    assert [(r.page_content, r.metadata["element"], r.metadata["position"]) for r in got] == [("b", "h1", "8"), ("a", "p", "0")]
+
+
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<P a='", "'>", "<h1 x>", "</h1>", "</h1 >", "<pre>", "t", "<", ">", "\n"]), max_size=24))
+def test_elements_equal_one_pattern_a_tag(parts):
+    page = "".join(parts)
+    want = [(t, m.start(), m[1]) for t in parsing.HTML_TAGS for m in re.finditer(rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", page)]
+    assert [(e["tag"], e["position"], e["inner"]) for e in parsing.elements(page)] == want
 
 
 def test_office():
@@ -86,6 +97,10 @@ def test_directory(spark, folder):
     got = {(r.doc_id.rsplit("/", 1)[1], r.doc_seq): r.page_content for r in rows}
     assert got[("a.txt", 0)] == "plain" and got[("c.csv", 1)] == "x: 3\ny: 4" and got[("e.html", 0)] == "# Hi"
     assert got[("h.weird", 0)] == "w�" and got[("f.docx", 0)].startswith("# Title") and not any("z.txt" in k[0] or "pdf" in k[0] for k in got)
+    plan = readers.read_directory(spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("binaryFile") == 1
+    own = readers.read_directory(spark, str(folder), overrides={"markdown": lambda f: readers.read_text(f, kind="own")}).collect()
+    assert len(own) == len(rows) and [r.page_content for r in own if r.metadata["format"] == "own"] == ["# h"]
     assert readers.read_directory(spark, str(folder), glob="*.md").count() == 1
     pages = Providers(pdf=lambda c: [("", {})], ocr=lambda c: [(2, "success", "two"), (1, "success", "one"), (3, "failed", None)])
     pdf = readers.read_directory(spark, str(folder), glob="*.pdf", providers=pages).orderBy("doc_seq").collect()
