@@ -191,10 +191,15 @@ def rare_prefix_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     made = rows_from_texts(texts.select("id", "part", "text"), "token long, id long, part long, n long, place long, short boolean", prefixes, 250_000)
     rows = work_table(made, "prefixes")
-    held = rows.groupBy("token", "part").agg(F.max("short").alias("short"))
-    shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token")
+    bounds = [F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest")]
+    held = rows.groupBy("token", "part", "short").agg(*bounds)
+    shared = held.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
     held = work_table(held.join(shared, "token", "left_semi"), "prefix-parts")
-    meet = held.filter("short").select("token", F.col("part").alias("part_x")).join(held.select(F.col("token"), F.col("part").alias("part_y")), "token").filter("part_x <> part_y")
+    # What fits below, said of parts: so a shingle of many sets that can't be alike makes no rows.
+    may = f"""part_x <> part_y and least_x <= most_y and 100 * most_x >= {percent} * least_y
+        and (100 + {percent}) * least(rest_x, rest_y) >= {percent} * (least_x + least_y)"""
+    side = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("part", "least", "most", "rest")]
+    meet = held.filter("short").select("token", *side("x")).join(held.select("token", *side("y")), "token").filter(may).select("token", "part_x", "part_y").distinct()
     x = rows.filter("short").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "part", "n", "place")))
     y = rows.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "part", "n", "place")))
     fits = f"""(n_x < n_y or n_x = n_y and id_x < id_y) and 100 * n_x >= {percent} * n_y
