@@ -13,6 +13,7 @@ link only if the Jaccard similarity of the full sets reaches the threshold.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -162,7 +163,8 @@ def rare_prefix_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
     ``texts`` has id, part and text. Each document's shingles are put in one global order,
     rare ones first by a sketch of fixed size; two sets that overlap enough share a shingle
     within short prefixes, and the places of the first one shared bound their overlap.
-    Pairs of parts are found for each shingle first, so that members of one part never meet.
+    Pairs of parts are found for each shingle first, so that members of one part never meet,
+    and only between neighbouring classes of set sizes, which split a shingle of many texts.
     """
     spark = texts.sparkSession
     counts = texts.select("text").mapInArrow(_sketch(size), "k int, cells binary").groupBy("k").applyInPandas(_add_cells, "k int, cells binary")
@@ -191,20 +193,24 @@ def rare_prefix_pairs(texts: DataFrame, size: int, percent: int) -> DataFrame:
 
     made = rows_from_texts(texts.select("id", "part", "text"), "token long, id long, part long, n long, place long, short boolean", prefixes, 250_000)
     rows = work_table(made, "prefixes")
+    # Two sets that can be linked lie in one class of sizes, or the larger one in the next: a class is a little wider than the ratio of a link.
+    width = 1.001 * max(math.log(100 / percent), 0.001)
+    rows = rows.withColumn("class", F.floor(F.log("n") / width))
     bounds = [F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest")]
-    held = rows.groupBy("token", "part", "short").agg(*bounds)
+    held = rows.groupBy("token", "part", "short", "class").agg(*bounds)
     shared = held.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
     held = work_table(held.join(shared, "token", "left_semi"), "prefix-parts")
     # What fits below, said of parts: so a shingle of many sets that can't be alike makes no rows.
     may = f"""part_x <> part_y and least_x <= most_y and 100 * most_x >= {percent} * least_y
         and (100 + {percent}) * least(rest_x, rest_y) >= {percent} * (least_x + least_y)"""
-    side = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("part", "least", "most", "rest")]
-    meet = held.filter("short").select("token", *side("x")).join(held.select("token", *side("y")), "token").filter(may).select("token", "part_x", "part_y").distinct()
-    x = rows.filter("short").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "part", "n", "place")))
-    y = rows.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "part", "n", "place")))
+    side = lambda name: [F.col(c).alias(f"{c}_{name}") for c in ("part", "class", "least", "most", "rest")]
+    smaller = held.filter("short").select("token", *side("x")).withColumn("class_y", F.explode(F.array("class_x", F.col("class_x") + 1)))
+    meet = smaller.join(held.select("token", *side("y")), ["token", "class_y"]).filter(may).select("token", "part_x", "class_x", "part_y", "class_y").distinct()
+    x = rows.filter("short").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "part", "class", "n", "place")))
+    y = rows.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "part", "class", "n", "place")))
     fits = f"""(n_x < n_y or n_x = n_y and id_x < id_y) and 100 * n_x >= {percent} * n_y
         and (100 + {percent}) * least(n_x - place_x, n_y - place_y) >= {percent} * (n_x + n_y)"""
-    pairs = x.hint("merge").join(meet, ["token", "part_x"]).join(y.hint("merge"), ["token", "part_y"]).filter(fits)
+    pairs = x.hint("merge").join(meet, ["token", "part_x", "class_x"]).join(y.hint("merge"), ["token", "part_y", "class_y"]).filter(fits)
     swap = F.col("id_x") > F.col("id_y")
     side = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(name) for p, q, name in (("id_x", "id_y", "a"), ("id_y", "id_x", "b"), ("part_x", "part_y", "part_a"), ("part_y", "part_x", "part_b"))]
     return pairs.select(*side).distinct()

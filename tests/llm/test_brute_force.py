@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import regex
 
 from scriptorium.llm import near_dup, toxicity
@@ -169,12 +171,32 @@ def test_op5_hits_and_scores_equal_a_plain_search(spark, sample):
 
 
 def test_signatures_of_large_sets_tell_them_apart():
-    random = np.random.default_rng(3)
+    rng = np.random.default_rng(3)
     hasher = near_dup.CirculantMinHash()
-    a, b = (np.unique(random.integers(0, 2**64, 300_000, np.uint64)) for _ in range(2))
+    a, b = (np.unique(rng.integers(0, 2**64, 300_000, np.uint64)) for _ in range(2))
     assert not set(hasher.band_keys(a, 85)) & set(hasher.band_keys(b, 85))
     # At the threshold, on either side of a border between two circles.
     for size in (1000, 65_400):
-        whole = np.unique(random.integers(0, 2**64, int(size / 0.85), np.uint64))
-        part = np.sort(random.permutation(whole)[: int(len(whole) * 0.86)])
+        whole = np.unique(rng.integers(0, 2**64, int(size / 0.85), np.uint64))
+        part = np.sort(rng.permutation(whole)[: int(len(whole) * 0.86)])
         assert set(hasher.band_keys(whole, 85)) & set(hasher.band_keys(part, 85))
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_rare_prefix_pairs_hold_every_link_between_parts(spark, percent):
+    """One passage is in all texts, and sizes lie close together, so that links cross the borders of size classes."""
+    rng = random.Random(percent)
+    passage = [f"p{i}" for i in range(40)]
+    texts = {i: " ".join(passage[: rng.randrange(8, 41)] + [f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 8))]) for i in range(150)}
+    texts |= {i: texts[i - 150] + rng.choice(["", " more"]) for i in range(150, 220)}
+    rows = spark.createDataFrame([(i, i // 2, bytearray(t.encode())) for i, t in texts.items()], "id long, part long, text binary")
+    pairs = {(r.a, r.b) for r in near_dup.rare_prefix_pairs(rows, 3, percent).collect()}
+
+    def shingles(text):
+        words = text.split()
+        return {tuple(words[k : k + 3]) for k in range(len(words) - 2)} or {tuple(words)}
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    links = {(a, b) for a in sets for b in sets if a < b and a // 2 != b // 2 and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert links and links <= pairs
+    assert all(a < b and a // 2 != b // 2 for a, b in pairs)
