@@ -61,6 +61,15 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a table may have to be sent to all executors, some tens of MB in memory if its rows are a few numbers wide.
+BROADCAST_ROWS = 300_000
+
+
+def broadcast_if_small(written: DataFrame) -> DataFrame:
+    """A written table of few narrow columns, marked for broadcast if its rows are counted to be few; else as it is, for a shuffled join."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat, decontaminate, language_id, line_dedup, near_dup, pii, quality, sentencepiece_codec, token_counts, toxicity
+from scriptorium.llm import chat, decontaminate, language_id, line_dedup, near_dup, pii, quality, sentencepiece_codec, token_counts, toxicity, url_filter
 from scriptorium.llm.common import fold, table, work_table
 
 
@@ -80,7 +80,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontaminate, op4_line_dedup, op5_toxicity, op6_chat, op7_sentencepiece, op8_token_counts, op9_near_dup, op10_quality)}
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES).drop("url")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontaminate, op4_line_dedup, op5_toxicity, op6_chat, op7_sentencepiece, op8_token_counts, op9_near_dup, op10_quality, op13_url_filter)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -96,6 +103,28 @@ def _shingles_sql(table_name: str, key: str, size: int) -> str:
         from (select {key}, {_words_sql(f"coalesce({_LOWER}, '')")} as w from {table_name}) where len(w) > 0))"""
 
 
+def _url_sql() -> str:
+    """The rounds written out one after the other, each of them a materialised table."""
+    fits = " union all ".join(f"select page, {len(h + p)} as size, {len(h)} as host_size, '{k}' as verdict, '{h + p}' as rule from u where (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for k, h, p in URL_RULES)
+    back, damping, unit = 100 - url_filter.DAMPING, url_filter.DAMPING, url_filter.UNIT
+    href = url_filter.LINK.replace("'", "''")
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rounds = "".join(
+        f""", m{k} as materialized (select host, kind, cast(sum(mass) as bigint) as mass from (select to_host as host, kind, mass // 100 * {damping} // total * n as mass from moves join m{k - 1} using (kind, host) union all select * from m0) group by all having sum(mass) > 0)"""
+        for k in range(1, url_filter.ROUNDS + 1)
+    )
+    return rf"""with r as materialized (select row_number() over () as page, page_id, html, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+        u as materialized (select page, page_id, coalesce({lower("regexp_extract(rest, '^[^/?#]*', 0)")}, '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from r),
+        fits as ({fits}), best as materialized (select page, verdict, rule from fits qualify row_number() over (partition by page order by size desc, host_size desc, verdict desc) = 1),
+        seeds as (select host, {unit} * count(*) filter (verdict = 'allow') // count(*) as trust, {unit} * count(*) filter (verdict = 'block') // count(*) as distrust from u left join best using (page) where host <> '' group by 1),
+        l as (select distinct page, host as src, {lower("unnest(regexp_extract_all(html, '" + href + "', 1))")} as dst from r join u using (page)),
+        e as materialized (select *, cast(sum(n) over (partition by src) as bigint) as total from (select src, dst, count(*) as n from l where src <> '' and dst <> '' and src <> dst group by all)),
+        moves as materialized (select 't' as kind, src as host, dst as to_host, n, total from e union all select 'd', dst, src, n, total from e),
+        m0 as materialized (select host, kind, mass from (select host, 't' as kind, trust // 100 * {back} as mass from seeds union all select host, 'd', distrust // 100 * {back} from seeds) where mass > 0){rounds},
+        bad as (select host from m{url_filter.ROUNDS} group by 1 having coalesce(sum(mass) filter (kind = 'd'), 0) > coalesce(sum(mass) filter (kind = 't'), 0) and coalesce(sum(mass) filter (kind = 'd'), 0) >= {url_filter.LEAST_DISTRUST})
+        select page_id, host, path, rule, coalesce(verdict, case when host in (select host from bad) then 'block' else 'allow' end) as verdict from u left join best using (page)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     # Items of fewer than five words, which the tables don't have, would need runs of other lengths.
     "op3_decontaminate": f"""with i as {_shingles_sql("benchmark", "item_id", 5)}, d as {_shingles_sql("documents", "doc_id", 5)}, n as (select item_id, count(*) as n_shingles from i group by 1)
@@ -126,4 +155,5 @@ ORACLE_SQL: dict[str, str] = {
         z as (select mean, case when square - mean * mean > 1e-12 then least(greatest(mean * (1 - mean) / (square - mean * mean) - 1, 1.0), 1e6) else 1e6 end as weight from q),
         v as (select source, (bad + mean * weight) / (n + weight) <= 0.5 as good from h, z)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(good, true) as kept from f left join v using (source)""",
+    "op13_url_filter": _url_sql(),
 }
