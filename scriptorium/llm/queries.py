@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat, decontaminate, language_id, line_dedup, near_dup, pii, quality, sentencepiece_codec, token_counts, toxicity, url_filter
+from scriptorium.llm import chat, decontaminate, language_id, lexical_search, line_dedup, near_dup, pii, quality, sentencepiece_codec, token_counts, toxicity, url_filter
 from scriptorium.llm.common import fold, table, work_table
 
 
@@ -80,6 +80,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(measured).select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -87,7 +91,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontaminate, op4_line_dedup, op5_toxicity, op6_chat, op7_sentencepiece, op8_token_counts, op9_near_dup, op10_quality, op13_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontaminate, op4_line_dedup, op5_toxicity, op6_chat, op7_sentencepiece, op8_token_counts, op9_near_dup, op10_quality, op11_lexical_search, op13_url_filter)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -103,6 +107,10 @@ def _shingles_sql(table_name: str, key: str, size: int) -> str:
         from (select {key}, {_words_sql(f"coalesce({_LOWER}, '')")} as w from {table_name}) where len(w) > 0))"""
 
 
+def _terms_sql() -> str:
+    return rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
+
 def _url_sql() -> str:
     """The rounds written out one after the other, each of them a materialised table."""
     fits = " union all ".join(f"select page, {len(h + p)} as size, {len(h)} as host_size, '{k}' as verdict, '{h + p}' as rule from u where (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')" for k, h, p in URL_RULES)
@@ -155,5 +163,12 @@ ORACLE_SQL: dict[str, str] = {
         z as (select mean, case when square - mean * mean > 1e-12 then least(greatest(mean * (1 - mean) / (square - mean * mean) - 1, 1.0), 1e6) else 1e6 end as weight from q),
         v as (select source, (bad + mean * weight) / (n + weight) <= 0.5 as good from h, z)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(good, true) as kept from f left join v using (source)""",
+    "op11_lexical_search": rf"""with d as (select row_number() over () as row, doc_id, {_terms_sql()} as t from documents), i as (select row_number() over () as item, item_id, {_terms_sql()} as t from benchmark),
+        z as (select count(*) filter (len(t) > 0) as docs, cast(sum(len(t)) as bigint) as length from d),
+        p as (select row, doc_id, n, term, count(*) as tf from (select row, doc_id, len(t) as n, unnest(t) as term from d) group by all),
+        w as (select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)::double)) as bigint) as w from (select term, count(*) as df from p group by 1), z),
+        s as (select item, item_id, row, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length)))) as bigint) as score
+            from (select distinct item, item_id, unnest(t) as term from i) join w using (term) join p using (term), z group by all)
+        select item_id, cast(row_number() over (partition by item order by score desc, doc_id nulls last, row) as integer) as rank, doc_id, score from s where score > 0 qualify rank <= {lexical_search.HITS}""",
     "op13_url_filter": _url_sql(),
 }
