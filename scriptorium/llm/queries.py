@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat, decontaminate, language_id, lexical_search, line_dedup, near_dup, pii, quality, sentencepiece_codec, token_counts, toxicity, url_filter
+from scriptorium.llm import chat, decontaminate, language_id, lexical_search, line_dedup, near_dup, pii, quality, sentencepiece_codec, token_alignment, token_counts, toxicity, url_filter
 from scriptorium.llm.common import fold, table, work_table
 
 
@@ -84,6 +84,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = token_alignment.align_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("alignment") == "", "").otherwise(F.sha2(F.col("alignment"), 256))
+    rated = token_alignment.rate_links(aligned.select("doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "link_a", "link_b", "link_times"))
+    return rated.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -91,7 +99,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontaminate, op4_line_dedup, op5_toxicity, op6_chat, op7_sentencepiece, op8_token_counts, op9_near_dup, op10_quality, op11_lexical_search, op13_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_decontaminate, op4_line_dedup, op5_toxicity, op6_chat, op7_sentencepiece, op8_token_counts, op9_near_dup, op10_quality, op11_lexical_search, op12_token_alignment, op13_url_filter)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"[\x20\x09-\x0D]+"
