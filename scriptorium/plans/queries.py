@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import mime
@@ -14,9 +15,10 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import metrics, processors, splitters, state, tasks, validation
 from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, RecursiveRules
 from scriptorium.schema import CONTENT, METADATA, documents
-from scriptorium.session import configure
+from scriptorium.session import configure, work_folder
 from scriptorium.sources import readers
 from scriptorium.streaming import streams
+from scriptorium.streaming.page_tasks import PageTasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -288,6 +290,35 @@ def task_progress(t):
     return tasks.progress(*_tasks(t))
 
 
+@_query("""with p as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) as page, length(coalesce(text, '')) % 3 <> 0 as ok from conversations where conv_id is not null),
+    first as (select conv_id, page, ok from p where conv_id % 7 <> 0 and not (conv_id % 5 = 0 and page = 1)),
+    t as (select conv_id, count(*) as total, count(*) filter (f.ok) as done, count(*) filter (not f.ok) as bad from p left join first f using (conv_id, page) group by 1),
+    second as (select p.conv_id, p.page, f.page is not null or p.ok as ok from p join t using (conv_id) left join first f using (conv_id, page) where not (done + bad >= total and done > 0) and not coalesce(f.ok, false)),
+    s as (select conv_id, count(*) filter (ok) as done2, count(*) filter (not ok) as bad2, count(*) as n from second group by 1),
+    r as (select conv_id, total, done + coalesce(done2, 0) as completed, bad + coalesce(bad2, 0) as failed, done + bad + coalesce(n, 0) as attempts from t left join s using (conv_id))
+    select conv_id as task_id, total, completed, failed, cast(floor((completed + failed) * 100 / total) as bigint) as percentage,
+    case when completed + failed >= total then case when completed = 0 then 'failed' else 'completed' end else 'processing' end as status, attempts from r""")
+def page_tasks(t):
+    """Every turn is a page; some fail at first. Tasks are started (some without their first page), some are cancelled, then all are started again."""
+    pages = t("conversations").filter("conv_id is not null").withColumn("page", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    pages = pages.select(F.col("conv_id").alias("task_id"), "page", F.coalesce("text", F.lit("")).alias("text"))
+    own = pages.groupBy("task_id").agg(F.count(F.lit(1)).alias("total"))
+
+    def process(todo: DataFrame) -> DataFrame:
+        ok = (F.col("attempt") > 1) | (F.length("text") % 3 != 0)
+        made = todo.join(pages, ["task_id", "page"])
+        return made.select("task_id", "page", F.when(ok, tasks.SUCCESS).otherwise(tasks.PAGE_FAILED).alias("status"), F.when(ok, F.col("text")).alias("text"), F.when(~ok, "unreadable").alias("error"), F.lit(0).cast("long").alias("duration_ms"), F.current_timestamp().alias("at"))
+
+    store = PageTasks(own.sparkSession, work_folder(own.sparkSession, "page-tasks"))
+    store.start(own.withColumn("skip", F.when(F.col("task_id") % 5 == 0, F.array(F.lit(1)))))
+    store.cancel(own.filter("task_id % 7 = 0"))
+    store.run_until_idle(process)
+    store.start(own)
+    store.run_until_idle(process)
+    tried = store.attempts().groupBy("task_id").agg(F.count(F.lit(1)).alias("attempts"))
+    return store.progress().drop("at").join(tried, "task_id", "left").na.fill(0, ["attempts"])
+
+
 @_query("""select o_orderkey as task_id, o_orderdate as end_time from orders where o_orderdate is null or o_orderdate >= timestamp '1998-01-01 00:00:00' - interval 7 day""")
 def task_cleanup(t):
     own = t("orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("end_time"))
