@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,13 +90,8 @@ def sentence_pieces(model: Model) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
 
 
-class Aligned:
-    """A segment: its groups as text, the links (an A id and a B id in one number each), and how many tokens and groups."""
-
-    __slots__ = ("a", "b", "groups", "links", "text")
-
-    def __init__(self, text: str, links: bytes, a: int, b: int):
-        self.text, self.links, self.a, self.b, self.groups = text, links, a, b, len(links) // 8
+#: An aligned segment: its groups as text, its links (an A id and a B id in one number each), and how many tokens of A and B.
+Aligned = tuple[str, bytes, int, int]
 
 
 class Aligner:
@@ -113,6 +109,8 @@ class Aligner:
         self.second = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.pieces = byte_level_pieces(self.first), sentence_pieces(model)
         self.sizes = tuple(np.array([len(p) for p in pieces], np.int64) for pieces in self.pieces)
+        # Every id as it is written among the groups: before another one of its side, and as the last of its side.
+        self.written = tuple([f"{k}{mark}" for k in range(len(pieces)) for mark in (",", last)] for pieces, last in zip(self.pieces, "|;", strict=True))
         #: What encoding a space at the end of a text adds; by itself the library makes nothing of it.
         one = self.second.encode("a")
         self.trailing = self.second.encode("a ")[len(one) :]
@@ -128,37 +126,75 @@ class Aligner:
         new = [s for s in distinct if s not in self.memory]
         for k in range(0, len(new), CALL_SEGMENTS):
             part = new[k : k + CALL_SEGMENTS]
-            a = [e.ids for e in self.first.encode_batch_fast(part, add_special_tokens=False)]
+            part, flat_a = self._encode_first(part)
+            if not part:
+                continue
             b = self.second.encode([s[1:] for s in part], num_threads=1)
             if " " in part:
                 b[part.index(" ")] = self.trailing
-            self._align(part, a, b)
+            flat_b = np.fromiter(chain.from_iterable(b), np.int64)
+            self._align(part, flat_a, flat_b, np.fromiter(map(len, b), np.int64, len(b)))
         self.held += sum(map(_weight, new))
 
-    def _align(self, part: list[str], a: list[list[int]], b: list[list[int]]) -> None:
-        same = []
-        for k, s in enumerate(part):
-            raw = s.encode()
-            if all(b"".join(map(pieces.__getitem__, ids[k])) == raw for pieces, ids in zip(self.pieces, (a, b), strict=True)):
-                same.append(k)
-            else:
-                self.memory[s] = None
-        if not same:
+    def _encode_first(self, part: list[str]) -> tuple[list[str], np.ndarray]:
+        """The segments whose bytes A keeps, and its ids of them; the others are remembered as having none.
+
+        Segments that end in something other than white space can't reach into the next one, so they make one text.
+        """
+        part = sorted(part, key=lambda s: s[-1].isspace())
+        closed = sum(not s[-1].isspace() for s in part)
+        joined = self.first.encode_batch_fast(["".join(part[:closed]), *part[closed:]], add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, np.int64) for e in joined])
+        if self._bytes(0, flat) == "".join(part).encode():
+            return part, flat
+        each = [e.ids for e in self.first.encode_batch_fast(part, add_special_tokens=False)]
+        same = [b"".join(map(self.pieces[0].__getitem__, ids)) == s.encode() for s, ids in zip(part, each, strict=True)]
+        self.memory.update((s, None) for s, ok in zip(part, same, strict=True) if not ok)
+        kept = [(s, ids) for s, ids, ok in zip(part, each, same, strict=True) if ok]
+        return [s for s, _ in kept], np.fromiter(chain.from_iterable(ids for _, ids in kept), np.int64)
+
+    def _align(self, part: list[str], flat_a: np.ndarray, flat_b: np.ndarray, tokens_b: np.ndarray) -> None:
+        """Remember what the segments align to; ``tokens_b`` tells how many of B's ids are each one's."""
+        raw = [s.encode() for s in part]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        ends_a, ends_b = self.sizes[0][flat_a].cumsum(), self.sizes[1][flat_b].cumsum()
+        whole, upto = b"".join(raw), np.cumsum(tokens_b)
+        # Whether B's bytes join to the text is told for all segments at once, and if they don't, one by one.
+        if len(ends_b) == 0 or ends_b[-1] != ends[-1] or (ends_b[upto - 1] != ends).any() or (tokens_b == 0).any() or self._bytes(1, flat_b) != whole:
+            start, ids = 0, flat_b.tolist()
+            same = []
+            for k, end in enumerate(upto.tolist()):
+                same.append(b"".join(map(self.pieces[1].__getitem__, ids[start:end])) == raw[k])
+                start = end
+            for k, ok in enumerate(same):
+                if not ok:
+                    self.memory[part[k]] = None
+            if any(same):
+                keep = np.array(same)
+                own_a = np.repeat(keep, np.diff(np.searchsorted(ends_a, ends), prepend=-1))
+                self._align([s for s, ok in zip(part, same, strict=True) if ok], flat_a[own_a], flat_b[np.repeat(keep, tokens_b)], tokens_b[keep])
             return
-        flat_a, flat_b = (np.fromiter((i for k in same for i in ids[k]), np.int64) for ids in (a, b))
-        ends_a, ends_b = (np.cumsum(sizes[flat]) for sizes, flat in zip(self.sizes, (flat_a, flat_b), strict=True))
-        _, upto_a, upto_b = shared_cuts(ends_a, ends_b, int(ends_a[-1]))
-        links = (flat_a[upto_a - 1] << 32) | flat_b[upto_b - 1]
-        # The ends of segments are cuts, so the groups of a segment are those up to its last token's cut.
-        tokens_a = np.cumsum([len(a[k]) for k in same])
-        last = np.searchsorted(upto_a, tokens_a) + 1
-        words_a, words_b = ([str(i) for i in flat.tolist()] for flat in (flat_a, flat_b))
-        from_a, from_b = ([0, *upto.tolist()] for upto in (upto_a, upto_b))
-        groups = [",".join(words_a[i:j]) + "|" + ",".join(words_b[m:n]) for i, j, m, n in zip(from_a, from_a[1:], from_b, from_b[1:], strict=False)]
-        start = 0
-        for k, end in zip(same, last.tolist(), strict=True):
-            self.memory[part[k]] = Aligned(";".join(groups[start:end]), links[start:end].tobytes(), len(a[k]), len(b[k]))
-            start = end
+        _, rank_a, rank_b = shared_cuts(ends_a, ends_b, int(ends[-1]))
+        links = ((flat_a[rank_a - 1] << 32) | flat_b[rank_b - 1]).tobytes()
+        # Each group's ids of A, then of B: where they go in one list, and which of them are the last of their side.
+        last_a, last_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+        last_a[rank_a - 1] = last_b[rank_b - 1] = 1
+        size_a, size_b = np.diff(rank_a, prepend=0), np.diff(rank_b, prepend=0)
+        texts = np.empty(len(flat_a) + len(flat_b), object)
+        texts[np.arange(len(flat_a)) + np.repeat(rank_b - size_b, size_a)] = list(map(self.written[0].__getitem__, (2 * flat_a + last_a).tolist()))
+        texts[np.arange(len(flat_b)) + np.repeat(rank_a, size_b)] = list(map(self.written[1].__getitem__, (2 * flat_b + last_b).tolist()))
+        texts = texts.tolist()
+        # The ends of segments are cuts, so a segment's groups are those up to the cut at its last token.
+        tokens_a = np.searchsorted(ends_a, ends) + 1
+        groups = np.searchsorted(rank_a, tokens_a) + 1
+        rows = zip(part, tokens_a.tolist(), np.diff(tokens_a, prepend=0).tolist(), upto.tolist(), tokens_b.tolist(), groups.tolist(), strict=True)
+        at = seen = 0
+        for s, end_a, a, end_b, b, end in rows:
+            self.memory[s] = ("".join(texts[at : end_a + end_b])[:-1], links[8 * seen : 8 * end], a, b)
+            at, seen = end_a + end_b, end
+
+    def _bytes(self, side: int, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces[side].__getitem__, ids.tolist()))
 
     def align(self, texts: list[str]) -> list[list[Aligned]]:
         """The aligned segments of each text behind a space; none if it is empty or the tokens of either side don't join to it."""
@@ -193,16 +229,21 @@ FIELDS = "n_a long, n_b long, n_groups long, alignment string, link_a array<int>
 
 
 def _columns(found: list[list[Aligned]]) -> list[pa.Array]:
-    a, b, times, ends = [], [], [], [0]
+    texts, count_a, count_b, groups, a, b, times, ends = [], [], [], [], [], [], [], [0]
     for parts in found:
-        codes, n = np.unique(np.frombuffer(b"".join([s.links for s in parts]), np.int64), return_counts=True)
+        text, links, n_a, n_b = zip(*parts, strict=True) if parts else ((), (), (), ())
+        codes = np.frombuffer(b"".join(links), np.int64)
+        texts.append(";".join(text))
+        count_a.append(sum(n_a))
+        count_b.append(sum(n_b))
+        groups.append(len(codes))
+        codes, n = np.unique(codes, return_counts=True)
         a.append(codes >> 32)
         b.append(codes & 0xFFFFFFFF)
         times.append(n)
         ends.append(ends[-1] + len(codes))
-    counts = [pa.array([sum([getattr(s, name) for s in parts]) for parts in found], pa.int64()) for name in ("a", "b", "groups")]
     lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(x).astype(np.int32)) for x in (a, b, times)]
-    return [*counts, pa.array([";".join([s.text for s in parts]) for parts in found], pa.string()), *lists]
+    return [*(pa.array(x, pa.int64()) for x in (count_a, count_b, groups)), pa.array(texts, pa.string()), *lists]
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, threads: int = 1) -> DataFrame:
