@@ -16,7 +16,7 @@ from scriptorium.operators import metrics, processors, splitters, state, tasks,
 from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, RecursiveRules
 from scriptorium.schema import CONTENT, METADATA, documents
 from scriptorium.session import configure, work_folder
-from scriptorium.sources import readers
+from scriptorium.sources import file_source, large_csv, readers
 from scriptorium.streaming import streams
 from scriptorium.streaming.page_tasks import PageTasks
 
@@ -290,6 +290,30 @@ def task_progress(t):
     return tasks.progress(*_tasks(t))
 
 
+@_query("""select cast(doc_id as varchar) as doc_id, 'source: ' || coalesce(source, '') || chr(10) || 'text: ' || coalesce(text, '') as page_content from documents""")
+def csv_blocks(t):
+    """The documents as CSV files, whose texts hold line ends, separators and quotes, read in blocks."""
+    docs = t("documents").select("doc_id", "source", "text")
+    folder = work_folder(docs.sparkSession, "csv-files")
+    docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    made = large_csv.read_csv(docs.sparkSession, folder, metadata_columns=("doc_id",))
+    return made.select(F.col(METADATA)["doc_id"].alias("doc_id"), CONTENT)
+
+
+@_query(r"""select lang, cast(count(*) as bigint) as documents, cast(sum(len(string_split(coalesce(text, ''), chr(10)))) as bigint) as lines, cast(sum(octet_length(encode(coalesce(text, ''))) + 1) as bigint) as bytes from documents group by 1""")
+def file_source_lines(t):
+    """The texts as files in a folder for each language and parity of doc_id, read by the file source, which opens the files of one parity at a time."""
+    docs = t("documents").select("lang", (F.col("doc_id") % 2).alias("odd"), F.coalesce("text", F.lit("")).alias("text"))
+    folder = work_folder(docs.sparkSession, "text-files")
+    docs.select("lang", "odd", F.concat(F.replace("text", F.lit("\x1e"), F.lit(" ")), F.lit("\x1e")).alias("text")).write.option("lineSep", "\n").partitionBy("lang", "odd").text(folder)
+    one = file_source.files(docs.sparkSession, folder, extensions="txt", minLength=1, pathGlob="*/odd=0/*")
+    listed = file_source.files(docs.sparkSession, folder, content="false")
+    both = one.unionByName(file_source.open_files(listed.filter("extension = 'txt' and length > 0 and path like '%/odd=1/%'")))
+    texts = F.split(F.col("content").cast("string"), "\x1e\n")
+    each = both.select(F.nullif(F.regexp_extract("path", "/lang=([^/]*)/", 1), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("lang"), F.explode(F.slice(texts, 1, F.size(texts) - 1)).alias("text"))
+    return each.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size(F.split("text", "\n")).cast("long")).alias("lines"), F.sum((F.octet_length("text") + 1).cast("long")).alias("bytes"))
+
+
 @_query("""with p as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) as page, length(coalesce(text, '')) % 3 <> 0 as ok from conversations where conv_id is not null),
     first as (select conv_id, page, ok from p where conv_id % 7 <> 0 and not (conv_id % 5 = 0 and page = 1)),
     t as (select conv_id, count(*) as total, count(*) filter (f.ok) as done, count(*) filter (not f.ok) as bad from p left join first f using (conv_id, page) group by 1),

@@ -1,16 +1,18 @@
 """Files as a Spark data source: batches and streams, packed into tasks by bytes, filtered before anything is opened.
 
 ``spark.read.format("files").load(folder)`` gives (path, extension, modificationTime, length,
-content, error). Filters on path, extension, length and modificationTime are applied to the
-listing, so a file outside them is never opened. Folders are those that pyarrow.fs opens from
-the driver and every executor; for other stores there is readers.binary_files().
+content, error). Options on extension, length, modification time and path are applied to the
+listing, so a file outside them is never opened; for any other condition list without content, filter,
+and open what is left with open_files(). Spark's own push-down to Python sources isn't used: in Spark 4.1
+the filters of one scan stay with the next scan of the same DataFrame. Folders are those that
+pyarrow.fs opens from the driver and every executor; for other stores there is
+readers.binary_files().
 """
 
 from __future__ import annotations
 
 import fnmatch
-import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote, unquote
@@ -18,7 +20,9 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 
 SCHEMA = "path string, extension string, modificationTime timestamp, length long, content binary, error string"
 _ARROW = pa.schema([("path", pa.string()), ("extension", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
@@ -111,41 +115,37 @@ def read_packed(entries: list[Entry], content: bool, errors: bool) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-_COMPARE = {ds.EqualTo: operator.eq, ds.GreaterThan: operator.gt, ds.GreaterThanOrEqual: operator.ge, ds.LessThan: operator.lt, ds.LessThanOrEqual: operator.le}
-_TEXT = {ds.StringStartsWith: str.startswith, ds.StringEndsWith: str.endswith, ds.StringContains: str.__contains__}
-_LISTED = {("path",): lambda e: e.path, ("extension",): lambda e: e.extension, ("length",): lambda e: e.length, ("modificationTime",): lambda e: e.time}
+def _instant(text: str) -> datetime:
+    """An ISO time; in UTC if it names no zone."""
+    at = datetime.fromisoformat(text)
+    return at if at.tzinfo else at.replace(tzinfo=timezone.utc)
 
 
-def _test(f: ds.Filter):
-    """A function of an entry for a filter that the listing can decide, else None."""
-    if isinstance(f, ds.Not):
-        inner = _test(f.child)
-        return inner and (lambda e: not inner(e))
-    get = _LISTED.get(getattr(f, "attribute", ()))
-    if get is None:
-        return None
-    if isinstance(f, ds.IsNotNull):
-        return lambda e: True
-    if isinstance(f, ds.In):
-        values = set(f.value)
-        return lambda e: get(e) in values
-    compare = _COMPARE.get(type(f)) or _TEXT.get(type(f))
-    return compare and (lambda e: compare(get(e), f.value))
+def _tests(o: dict[str, str]) -> list[Callable[[Entry], bool]]:
+    """What the options ask of a file."""
+    out: list[Callable[[Entry], bool]] = []
+    if "extensions" in o:
+        wanted = {x.strip().lower().removeprefix(".") for x in o["extensions"].split(",")}
+        out.append(lambda e: e.extension in wanted)
+    if "minlength" in o:
+        out.append(lambda e, n=int(o["minlength"]): e.length >= n)
+    if "maxlength" in o:
+        out.append(lambda e, n=int(o["maxlength"]): e.length <= n)
+    if "modifiedafter" in o:
+        out.append(lambda e, t=_instant(o["modifiedafter"]): e.time > t)
+    if "modifiedbefore" in o:
+        out.append(lambda e, t=_instant(o["modifiedbefore"]): e.time < t)
+    if "pathglob" in o:
+        out.append(lambda e: fnmatch.fnmatchcase(unquote(e.path), o["pathglob"]))
+    return out
 
 
 class FileReader(ds.DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.options, self.tests = options, []
+        self.options, self.tests = options, _tests(options)
         self.content = options.get("content", "true").lower() == "true"
         self.errors = options.get("errors", "raise").lower() == "rows"
 
-    def pushFilters(self, filters: list[ds.Filter]):
-        for f in filters:
-            if (test := _test(f)) is None:
-                yield f  # left to Spark
-            else:
-                self.tests.append(test)
-
     def listed(self) -> list[Entry]:
         o = self.options
         found = list_files(o["path"], o.get("recursive", "true").lower() == "true", tuple(x for x in o.get("exclude", "node_modules,.git").split(",") if x), o.get("glob"))
@@ -204,7 +204,7 @@ class FileStreamReader(ds.DataSourceStreamReader):
 
 
 class FileSource(ds.DataSource):
-    """Options: path; recursive (true), exclude (folder names), glob (of the file name); taskBytes, openBytes; content (true; false only lists); errors (``raise`` or ``rows``); for streams settle and filesPerBatch."""
+    """Options: path; recursive (true), exclude (folder names), glob (of the file name), pathGlob (of the whole path), extensions, minLength, maxLength, modifiedAfter, modifiedBefore; taskBytes, openBytes; content (true; false only lists); errors (``raise`` or ``rows``); for streams settle and filesPerBatch."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,9 +221,8 @@ class FileSource(ds.DataSource):
 
 
 def register(spark: SparkSession) -> SparkSession:
-    """Make the source known to a session, and filters reach it."""
+    """Make the source known to a session."""
     spark.dataSource.register(FileSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
 
@@ -232,5 +231,20 @@ def files(spark: SparkSession, folder: str, **options) -> DataFrame:
     return register(spark).read.format("files").options(**options).load(folder)
 
 
+def open_files(listed: DataFrame, errors: str = "raise", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The files of a listing (``content=false``), filtered in any way, with their contents; packed into tasks by bytes anew."""
+    upto = F.sum(F.col("length") + OPEN_BYTES).over(W.orderBy("path"))
+    total = listed.agg(F.coalesce(F.sum(F.col("length") + OPEN_BYTES), F.lit(0)).alias("n")).first().n
+    names = [f.name for f in _ARROW]
+    packed = listed.select(*names, upto.alias("upto")).repartitionByRange(max(1, -(-total // task_bytes)), "upto").select(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entries = [Entry(r["path"], r["modificationTime"], r["length"]) for r in batch.select(["path", "modificationTime", "length"]).to_pylist()]
+            yield from read_packed(entries, True, errors == "rows")
+
+    return packed.mapInArrow(run, SCHEMA)
+
+
 def file_stream(spark: SparkSession, folder: str, **options) -> DataFrame:
     return register(spark).readStream.format("files").options(**options).load(folder)
