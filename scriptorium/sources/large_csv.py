@@ -15,15 +15,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.schema import CONTENT, METADATA, merged, metadata
 from scriptorium.session import work_folder
-
-#: Blocks (or files) whose few numbers may be sent to all tasks; with more of them there is a shuffle.
-BROADCAST_ROWS = 300_000
-OUT, IN = 0, 1
+from scriptorium.sources import blocks
+from scriptorium.sources.blocks import IN, OUT, Blocks
 
 
 def end_state(line: str, state: int, separator: str = ",") -> int:
@@ -55,36 +52,13 @@ def _blank(line: str) -> bool:
     return line in ("", "\r")
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, block, line) in the order of the files within each task."""
-    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
-
-
-class _Blocks:
-    """Runs of rows of one block, from batches that follow one another."""
-
-    def __init__(self, batches: Iterator[pa.RecordBatch]):
-        self.batches = batches
-
-    def __iter__(self) -> Iterator[tuple[tuple, list[str]]]:
-        """(all columns but the last of the block's rows, a part of its lines); parts of a block come in order."""
-        for batch in self.batches:
-            keys = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True))
-            lines = batch.column(batch.num_columns - 1).to_pylist()
-            start = 0
-            for k in range(1, len(keys) + 1):
-                if k == len(keys) or keys[k] != keys[start]:
-                    yield keys[start], lines[start:k]
-                    start = k
-
-
 def _summaries(lines: DataFrame, separator: str) -> DataFrame:
-    """(path, block, ends_out, ends_in, starts_out, starts_in): the state after the block and the records that begin in it, by the state before it."""
+    """blocks.SUMMARY: the state after a block and the records that begin in it, by the state before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         key, states, starts = None, [OUT, IN], [0, 0]
-        for at, part in _Blocks(batches):
+        for at, part in Blocks(batches):
             if at != key:
                 if key is not None:
                     done.append((*key, *states, *starts))
@@ -102,25 +76,9 @@ def _summaries(lines: DataFrame, separator: str) -> DataFrame:
         if key is not None:
             done.append((*key, *states, *starts))
         if done:
-            types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["path", "block", "ends_out", "ends_in", "starts_out", "starts_in"])
-
-    return lines.mapInArrow(run, "path string, block long, ends_out int, ends_in int, starts_out long, starts_in long")
-
+            yield blocks.summary_batch(done)
 
-def block_starts(summaries: DataFrame) -> DataFrame:
-    """(path, block, state, records): the state a block begins in and the records begun before it.
-
-    A block keeps the state, turns it over, or fixes it. So the state is the last fixed one, turned
-    as often as blocks since then turn it: running sums over one row a block.
-    """
-    before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    fixed = F.col("ends_out") == F.col("ends_in")
-    turns = summaries.withColumn("turn", F.when(~fixed & (F.col("ends_out") == IN), 1).otherwise(0)).withColumn("turns", F.coalesce(F.sum("turn").over(before), F.lit(0)))
-    last = F.last(F.when(fixed, F.struct(F.col("ends_out").alias("to"), F.col("turns").alias("at"))), ignorenulls=True).over(before)
-    states = turns.withColumn("last", last).withColumn("state", F.when(F.col("last").isNull(), F.col("turns") % 2).otherwise((F.col("last.to") + F.col("turns") - F.col("last.at")) % 2).cast("int"))
-    begun = F.when(F.col("state") == OUT, F.col("starts_out")).otherwise(F.col("starts_in"))
-    return states.withColumn("records", F.coalesce(F.sum(begun).over(before), F.lit(0)).cast("long")).select("path", "block", "state", "records")
+    return lines.mapInArrow(run, blocks.SUMMARY)
 
 
 def _parse(lines: list[str], separator: str) -> list[list[str]]:
@@ -128,7 +86,7 @@ def _parse(lines: list[str], separator: str) -> list[list[str]]:
 
 
 def _parsed(lines: DataFrame, separator: str) -> DataFrame:
-    """(path, number, fields) of whole records and (path, number, block, seq, part) of parts of records, from (path, block, state, records, line)."""
+    """(path, number, fields) of whole records and (path, number, block, seq, part) of parts of records, from (path, block, state, before, line)."""
     csv.field_size_limit(1 << 62)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +110,7 @@ def _parsed(lines: DataFrame, separator: str) -> DataFrame:
                 rows.append((key[0], number - 1, key[1], seq, None, "\n".join(held) + "\n"))
                 held.clear()
 
-        for at, part in _Blocks(batches):
+        for at, part in Blocks(batches):
             if at != key:
                 if key is not None:
                     end_block()
@@ -199,24 +157,17 @@ def read_records(spark: SparkSession, path: str | list[str], separator: str = ",
     """
     if len(separator) != 1 or separator in '"\n\r':
         raise ValueError("the separator is one character, not a quote or a line end")
-    return records_of(_lines(spark, path), separator)
+    return records_of(blocks.split_texts(spark, path, "\n", "line"), separator)
 
 
 def records_of(lines: DataFrame, separator: str = ",") -> DataFrame:
     """read_records() of (path, block, line); each block's lines stand in order within one task."""
     spark = lines.sparkSession
     place = work_folder(spark, "csv")
-    _summaries(lines, separator).write.parquet(f"{place}/summaries")
-    starts = block_starts(spark.read.parquet(f"{place}/summaries"))
-    starts.write.parquet(f"{place}/starts")
-    starts = spark.read.parquet(f"{place}/starts")
-    if starts.count() <= BROADCAST_ROWS:  # lines then stay where they are, in order
-        entered = lines.join(F.broadcast(starts), ["path", "block"])
-    else:
-        entered = lines.withColumn("n", F.monotonically_increasing_id()).join(starts, ["path", "block"]).repartition("path", "block").sortWithinPartitions("path", "block", "n")
-    _parsed(entered.select("path", "block", "state", "records", "line"), separator).write.parquet(f"{place}/parsed")
+    entered = blocks.entered(lines, _summaries(lines, separator), place)
+    _parsed(entered.select("path", "block", "state", "before", "line"), separator).write.parquet(f"{place}/parsed")
     parsed = spark.read.parquet(f"{place}/parsed")
-    parts = parsed.filter("part is not null").groupBy("path", "number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "part"))), lambda x: x["part"]), "").alias("text"))
+    parts = blocks.joined_parts(parsed.filter("part is not null"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 62)
@@ -240,7 +191,7 @@ def read_csv(spark: SparkSession, path: str | list[str], separator: str = ",", s
     # The place of each column, by the last column of its name.
     last = F.transform("fields", lambda h: F.size("fields") - F.array_position(F.reverse("fields"), h).cast("int"))
     heads = records.filter("number = 0").select("path", F.col("fields").alias("header"), last.alias("at"))
-    rows = records.filter("number > 0").join(F.broadcast(heads) if heads.count() <= BROADCAST_ROWS // 10 else heads, "path").filter(F.size("fields") == F.size("header"))
+    rows = records.filter("number > 0").join(F.broadcast(heads) if heads.count() <= blocks.BROADCAST_ROWS // 10 else heads, "path").filter(F.size("fields") == F.size("header"))
     hidden = F.array(*map(F.lit, [*metadata_columns, *([source_column] if source_column else [])])).cast("array<string>")
     shown = F.filter(F.arrays_zip("header", "at"), lambda c: ~F.array_contains(hidden, c["header"]))
     content = F.array_join(F.transform(shown, lambda c: F.concat(c["header"], F.lit(": "), F.get("fields", c["at"]))), "\n")

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from scriptorium.sources import large_csv, parsing
+from scriptorium.sources import blocks, large_csv, parsing
 from scriptorium.sources.readers import binary_files, read_csv
 
 TEXT = 'id,name,"no\nte",id\n1,"a ""quoted"", word",x,9\n\n2,"two\n\nlines, ""and\n"" more",ab"c,"8"\n3,too,few\n4,"",,\n5,"open "" x" tail,"y\r\n z",7\r\n\r\n6,é😀,"ü\n\n\n\nß",5\n7,last,"row without end\n",4'
@@ -23,12 +23,12 @@ def in_blocks(spark, path, size, separator=","):
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
         rows = large_csv.read_records(spark, path, separator).collect()
-        blocks = large_csv._lines(spark, path).select("block").distinct().count()
+        count = blocks.split_texts(spark, path, "\n", "line").select("block").distinct().count()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted(r.number for r in rows) == list(range(len(rows)))
-    return [r.fields for r in sorted(rows, key=lambda r: r.number)], blocks
+    return [r.fields for r in sorted(rows, key=lambda r: r.number)], count
 
 
 def state_of(text, separator=","):
@@ -79,14 +79,14 @@ def test_every_cut_gives_the_whole_files_records(spark):
 @pytest.mark.parametrize("size", [17, 60, 1000])
 def test_real_splits(spark, tmp_path, size):
     (tmp_path / "one.csv").write_bytes(TEXT.encode())
-    rows, blocks = in_blocks(spark, str(tmp_path / "one.csv"), size)
-    assert rows == whole(TEXT) and blocks > 1
+    rows, count = in_blocks(spark, str(tmp_path / "one.csv"), size)
+    assert rows == whole(TEXT) and count > 1
 
 
 def test_shuffled_blocks_and_separators(spark, tmp_path, monkeypatch):
     text = TEXT.replace(",", ";")
     (tmp_path / "two.csv").write_bytes(text.encode())
-    monkeypatch.setattr(large_csv, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(blocks, "BROADCAST_ROWS", -1)
     assert in_blocks(spark, str(tmp_path / "two.csv"), 40, ";")[0] == whole(text, ";")
     with pytest.raises(ValueError):
         large_csv.read_records(spark, str(tmp_path / "two.csv"), '"')
