@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, MarkdownRules, RecursiveRules, token_windows
-from scriptorium.schema import CONTENT, METADATA, merged, metadata
+from scriptorium.schema import CONTENT, METADATA, merged, metadata, unused
 
 #: Separators of chunk size control: headings first.
 SIZE_SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", " ", "")
@@ -28,12 +28,11 @@ def _text_chunks(split: Callable[[str], list[str]]):
 
 
 def _explode_chunks(docs: DataFrame, chunks) -> DataFrame:
-    cut = docs.withColumn("__chunks", chunks)
+    held, k, text = (unused(n, docs) for n in ("chunks", "chunk_k", "chunk_text"))
     other = [F.col(f"`{c}`") for c in docs.columns if c not in (CONTENT, METADATA, "chunk_index")]
-    cut = cut.select(*other, METADATA, F.posexplode("__chunks").alias("__k", "__text"))
-    index = F.col("__k").cast("bigint")
-    meta = merged(F.col(METADATA), metadata(chunkIndex=index))
-    return cut.select(*other, index.alias("chunk_index"), F.col("__text").alias(CONTENT), meta.alias(METADATA))
+    cut = docs.withColumn(held, chunks).select(*other, METADATA, F.posexplode(held).alias(k, text))
+    index = F.col(k).cast("bigint")
+    return cut.select(*other, index.alias("chunk_index"), F.col(text).alias(CONTENT), merged(F.col(METADATA), metadata(chunkIndex=index)).alias(METADATA))
 
 
 def split_characters(docs: DataFrame, rules: CharacterRules | None = None) -> DataFrame:
@@ -70,9 +69,10 @@ def _scoped_chunks(split: Callable[[str], list[tuple[str, dict[str, str]]]]):
 
 
 def _explode_scoped(docs: DataFrame, chunks) -> DataFrame:
+    held, k, chunk = (unused(n, docs) for n in ("chunks", "chunk_k", "chunk"))
     other = [F.col(f"`{c}`") for c in docs.columns if c not in (CONTENT, METADATA, "chunk_index")]
-    cut = docs.withColumn("__chunks", chunks).select(*other, METADATA, F.posexplode("__chunks").alias("__k", "__c"))
-    return cut.select(*other, F.col("__k").cast("bigint").alias("chunk_index"), F.col("__c.text").alias(CONTENT), merged(F.col(METADATA), F.col("__c.scope")).alias(METADATA))
+    cut = docs.withColumn(held, chunks).select(*other, METADATA, F.posexplode(held).alias(k, chunk))
+    return cut.select(*other, F.col(k).cast("bigint").alias("chunk_index"), F.col(chunk)["text"].alias(CONTENT), merged(F.col(METADATA), F.col(chunk)["scope"]).alias(METADATA))
 
 
 def split_markdown(docs: DataFrame, rules: MarkdownRules | None = None) -> DataFrame:
@@ -92,9 +92,10 @@ def split_html(docs: DataFrame, rules: HtmlRules | None = None) -> DataFrame:
 
 def split_json(docs: DataFrame, rules: JsonRules | None = None) -> DataFrame:
     """Objects of about one size; chunkIndex and totalChunks become metadata. Invalid JSON is an error."""
-    cut = docs.withColumn("__all", _text_chunks((rules or JsonRules()).split)(CONTENT))
-    cut = cut.withColumn(METADATA, merged(F.col(METADATA), metadata(totalChunks=F.size("__all"))))
-    return _explode_chunks(cut.select(*docs.columns, "__all"), F.col("__all")).drop("__all")
+    every = unused("all_chunks", docs)
+    cut = docs.withColumn(every, _text_chunks((rules or JsonRules()).split)(CONTENT))
+    cut = cut.withColumn(METADATA, merged(F.col(METADATA), metadata(totalChunks=F.size(every))))
+    return _explode_chunks(cut.select(*[F.col(f"`{c}`") for c in docs.columns], every), F.col(every)).drop(every)
 
 
 def control_chunk_size(docs: DataFrame, most: int = 1000, overlap: int = 200, force_overlap: bool = True) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+import numpy as np
+
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0              　﻿"
 
 
@@ -17,44 +19,35 @@ def trim(text: str) -> str:
 
 # Separators -----------------------------------------------------------------
 
-_TAIL = ["\n\n", "\n", " ", ""]
-
-#: Words that open a unit of code, by language, each after a line feed and before a blank.
-_KEYWORDS = {
-    "cpp": "class void int float double if for while switch case",
-    "go": "func var const type if for switch case",
-    "java": "class public protected private static if for while switch case",
-    "js": "function const let var class if for while switch case default",
-    "php": "function class if foreach while do switch case",
-    "proto": "message service enum option import syntax",
-    "ruby": "def class if unless while for do begin rescue",
-    "rust": "fn const let if while for loop match",
-    "scala": "class object def val var if for while match case",
-    "swift": "func class struct enum if for while do switch case",
+#: The separators of each language, strongest first.
+SEPARATORS: dict[str, list[str]] = {
+    "cpp": ["\nclass ", "\nvoid ", "\nint ", "\nfloat ", "\ndouble ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "go": ["\nfunc ", "\nvar ", "\nconst ", "\ntype ", "\nif ", "\nfor ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "java": ["\nclass ", "\npublic ", "\nprotected ", "\nprivate ", "\nstatic ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "js": ["\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nclass ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\ndefault ", "\n\n", "\n", " ", ""],
+    "php": ["\nfunction ", "\nclass ", "\nif ", "\nforeach ", "\nwhile ", "\ndo ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "proto": ["\nmessage ", "\nservice ", "\nenum ", "\noption ", "\nimport ", "\nsyntax ", "\n\n", "\n", " ", ""],
+    "python": ["\nclass ", "\ndef ", "\n\tdef ", "\n\n", "\n", " ", ""],
+    "rst": ["\n===\n", "\n---\n", "\n***\n", "\n.. ", "\n\n", "\n", " ", ""],
+    "ruby": ["\ndef ", "\nclass ", "\nif ", "\nunless ", "\nwhile ", "\nfor ", "\ndo ", "\nbegin ", "\nrescue ", "\n\n", "\n", " ", ""],
+    "rust": ["\nfn ", "\nconst ", "\nlet ", "\nif ", "\nwhile ", "\nfor ", "\nloop ", "\nmatch ", "\n\n", "\n", " ", ""],
+    "scala": ["\nclass ", "\nobject ", "\ndef ", "\nval ", "\nvar ", "\nif ", "\nfor ", "\nwhile ", "\nmatch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "swift": ["\nfunc ", "\nclass ", "\nstruct ", "\nenum ", "\nif ", "\nfor ", "\nwhile ", "\ndo ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""],
+    "markdown": ["\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n\n", "\n\n***\n\n", "\n\n---\n\n", "\n\n___\n\n", "\n\n", "\n", " ", ""],
+    "latex": ["\n\\chapter{", "\n\\section{", "\n\\subsection{", "\n\\subsubsection{", "\n\\begin{enumerate}", "\n\\begin{itemize}", "\n\\begin{description}", "\n\\begin{list}", "\n\\begin{quote}", "\n\\begin{quotation}", "\n\\begin{verse}", "\n\\begin{verbatim}", "\n\\begin{align}", "$$", "$", "\n\n", "\n", " ", ""],
+    "html": ["<body>", "<div>", "<p>", "<br>", "<li>", "<h1>", "<h2>", "<h3>", "<h4>", "<h5>", "<h6>", "<span>", "<table>", "<tr>", "<td>", "<th>", "<ul>", "<ol>", "<header>", "<footer>", "<nav>", "<head>", "<style>", "<script>", "<meta>", "<title>", " ", ""],
+    "sol": ["\npragma ", "\nusing ", "\ncontract ", "\ninterface ", "\nlibrary ", "\nconstructor ", "\ntype ", "\nfunction ", "\nevent ", "\nmodifier ", "\nerror ", "\nstruct ", "\nenum ", "\nif ", "\nfor ", "\nwhile ", "\ndo while ", "\nassembly ", "\n\n", "\n", " ", ""],
 }
-#: Separators of languages without such words.
-_MARKS = {
-    "python": ["\nclass ", "\ndef ", "\n\tdef "],
-    "rst": ["\n===\n", "\n---\n", "\n***\n", "\n.. "],
-    "markdown": ["\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n\n", "\n\n***\n\n", "\n\n---\n\n", "\n\n___\n\n"],
-    "latex": [*(f"\n\\{x}{{" for x in ("chapter", "section", "subsection", "subsubsection")), *(f"\n\\begin{{{x}}}" for x in "enumerate itemize description list quote quotation verse verbatim align".split()), "$$", "$"],
-    "sol": [f"\n{x} " for x in [*"pragma using contract interface library constructor type function event modifier error struct enum if for while".split(), "do while", "assembly"]],
-}
-_HTML_TAGS = "body div p br li h1 h2 h3 h4 h5 h6 span table tr td th ul ol header footer nav head style script meta title"
+LANGUAGES = sorted(SEPARATORS)
+#: Separators of text in no particular language.
+_TAIL = ["\n\n", "\n", " ", ""]
 
 
 def separators_for(language: str) -> list[str]:
     """Separators of a programming or markup language, strongest first."""
-    if language in _KEYWORDS:
-        return [f"\n{w} " for w in _KEYWORDS[language].split()] + _TAIL
-    if language in _MARKS:
-        return _MARKS[language] + _TAIL
-    if language == "html":
-        return [f"<{t}>" for t in _HTML_TAGS.split()] + [" ", ""]
-    raise ValueError(f"unknown language: {language}")
-
-
-LANGUAGES = sorted([*_KEYWORDS, *_MARKS, "html"])
+    if language not in SEPARATORS:
+        raise ValueError(f"unknown language: {language}")
+    return list(SEPARATORS[language])
 
 
 # Character splitting ----------------------------------------------------------
@@ -77,38 +70,40 @@ class CharacterRules:
     def split(self, text: str) -> list[str]:
         return self.merge(self.pieces(text, self.separator), "" if self.keep_separator else self.separator)
 
-    def pieces(self, text: str, separator: str) -> list[str]:
-        """The text cut at a separator, which leads its piece if it is kept; no empty pieces."""
+    def pieces(self, text: str, separator: str) -> Sequence[str]:
+        """The text cut at a separator, which leads its piece if it is kept; no empty pieces. Without a separator the text itself stands for its characters."""
         if not separator:
-            return list(text)
+            return text
         cut = text.split(separator)
         if self.keep_separator:
             cut = [cut[0], *(separator + x for x in cut[1:])]
         return [x for x in cut if x]
 
-    def merge(self, pieces: list[str], separator: str) -> list[str]:
+    def merge(self, pieces: Sequence[str], separator: str) -> list[str]:
         """Pieces joined greedily up to the size; each chunk begins with the last pieces of the one before it.
 
         The overlap is measured without separators, and a piece longer than a chunk stays whole.
+        Sums of lengths rise from piece to piece, so the end of a chunk and the start of the next one
+        are searched for in them: a step for each chunk, not for each piece.
         """
+        count, gap = len(pieces), len(separator)
+        if not count:
+            return []
+        each = np.ones(count, np.int64) if isinstance(pieces, str) and self.length is len else np.fromiter(map(self.length, pieces), np.int64, count)
+        upto = np.concatenate(([0], np.cumsum(each)))
+        spaced = upto + gap * np.arange(count + 1)  # the length before a piece with all separators before it
+        full = spaced[1:] - gap  # the length with a piece, by the separators before it
         chunks: list[str] = []
-        held: list[tuple[str, int]] = []
-        total = 0
-        for piece in pieces:
-            n = self.length(piece)
-
-            def over(n=n) -> bool:
-                return total + n + len(held) * len(separator) > self.size
-
-            if held and over():
-                chunks.append(trim(separator.join(p for p, _ in held)))
-                while total > self.overlap or total > 0 and over():
-                    total -= held.pop(0)[1]
-            held.append((piece, n))
-            total += n
-        chunks.append(trim(separator.join(p for p, _ in held)))
-        return [c for c in chunks if c]
-
+        start = end = 0
+        while True:
+            end = max(end + 1, int(np.searchsorted(full, self.size + spaced[start], "right")))
+            part = pieces[start:end]
+            chunks.append(trim(part if isinstance(part, str) and not separator else separator.join(part)))
+            if end >= count:
+                return [c for c in chunks if c]
+            small = np.searchsorted(upto, upto[end] - self.overlap)
+            fitting = min(np.searchsorted(spaced, full[end] - self.size), np.searchsorted(upto, upto[end]))
+            start = max(start, int(small), int(fitting))
 
 @dataclass(frozen=True)
 class RecursiveRules(CharacterRules):
@@ -128,6 +123,8 @@ class RecursiveRules(CharacterRules):
         at = next((k for k, s in enumerate(separators) if s in text), len(separators) - 1)
         separator, weaker = separators[at], separators[at + 1 :] if separators[at] else []
         joint = "" if self.keep_separator else separator
+        if not separator and self.length is len and self.size > 1:  # every character fits
+            return self.merge(text, "")
         chunks: list[str] = []
         fitting: list[str] = []
         for piece in self.pieces(text, separator):

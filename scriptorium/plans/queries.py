@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from scriptorium.operators import metrics, processors, splitters, state, tasks,
 from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, RecursiveRules
 from scriptorium.schema import CONTENT, METADATA, documents
 from scriptorium.session import configure, work_folder
-from scriptorium.sources import file_source, large_csv, readers
+from scriptorium.sources import file_source, large_csv, large_json, readers
 from scriptorium.streaming import streams
 from scriptorium.streaming.page_tasks import PageTasks
 
@@ -300,6 +301,27 @@ def csv_blocks(t):
     return made.select(F.col(METADATA)["doc_id"].alias("doc_id"), CONTENT)
 
 
+@_query("""select cast(doc_id as varchar) as doc_id, coalesce(text, '') as page_content from documents""")
+def json_blocks(t):
+    """The documents as files of one JSON array each, read in blocks."""
+    docs = t("documents").select(F.to_json(F.struct("doc_id", "source", "text")).alias("value"))
+    folder = work_folder(docs.sparkSession, "json-files")
+
+    def array(batches):
+        any_yet = False
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([("," if any_yet or k else "[") + r for k, r in enumerate(rows)], pa.string())], names=["value"])
+                any_yet = True
+        if any_yet:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
+
+    docs.mapInArrow(array, "value string").write.text(folder)
+    made = large_json.read_json(docs.sparkSession, folder, content_key="text", metadata_keys=("doc_id",))
+    return made.select(F.col(METADATA)["doc_id"].alias("doc_id"), CONTENT)
+
+
 @_query(r"""select lang, cast(count(*) as bigint) as documents, cast(sum(len(string_split(coalesce(text, ''), chr(10)))) as bigint) as lines, cast(sum(octet_length(encode(coalesce(text, ''))) + 1) as bigint) as bytes from documents group by 1""")
 def file_source_lines(t):
     """The texts as files in a folder for each language and parity of doc_id, read by the file source, which opens the files of one parity at a time."""

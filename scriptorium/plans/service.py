@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as tx
 from scriptorium.operators.control import DocumentLoadError, Options
 from scriptorium.operators.processors import Processor, pipeline
+from scriptorium.operators.splitters import split_recursively
 from scriptorium.operators.validation import errors_of
 from scriptorium.schema import METADATA, merged, metadata
 from scriptorium.sources.parsing import Providers
@@ -37,6 +38,11 @@ def process_buffers(files: DataFrame, *steps: Processor, options: Options = Opti
     return Result(docs, refused)
 
 
+def load_and_split(docs: DataFrame, split: Processor = split_recursively) -> DataFrame:
+    """Documents of any reader, cut into chunks; by default recursively, in chunks of 1,000 with an overlap of 200."""
+    return split(docs)
+
+
 def not_cached(files: DataFrame, cache: DataFrame) -> DataFrame:
     """The files whose name and content hash have no row in the cache table (key, ..., cached_at)."""
     keyed = files.withColumn("key", tx.cache_key("filename", "content"))

@@ -44,3 +44,11 @@ def documents(df: DataFrame, doc_id: Column | str, content: Column | str, meta:
 def chunk_id(*parts: str) -> Column:
     """A stable id for a derived row, in place of a random one."""
     return F.sha2(F.concat_ws(":", *parts), 256)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the tables is called so."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

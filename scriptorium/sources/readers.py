@@ -13,6 +13,7 @@ from scriptorium.functions import text as tx
 from scriptorium.functions.mime import format_of
 from scriptorium.operators.splitting import trim
 from scriptorium.schema import CONTENT, METADATA, merged, metadata
+from scriptorium.session import work_folder
 from scriptorium.sources import parsing
 from scriptorium.sources.parsing import Parsed, Providers
 
@@ -151,45 +152,76 @@ def _looks_scanned(found: Parsed) -> bool:
     return average < 100 or special > 0.3 or readable < 0.5 or average < 200 and special > 0.2
 
 
-def read_files(files: DataFrame, providers: Providers = Providers(), overrides: dict[str, Callable[[DataFrame], DataFrame]] | None = None, skip_errors: bool = False) -> DataFrame:
-    """Every file by the reader of its extension; unknown ones as text. Formats without a provider are left out.
-
-    All files go through one scan, as a branch for each format would open every file once
-    more. Readers given in ``overrides`` take tables, so each of them scans for its own.
-    """
-    overrides = overrides or {}
-    texts = {k: p for k, p in {"csv": parsing.csv_rows, "json": parsing.json_documents, "html": _page}.items() if k not in overrides}
-    binaries: dict[str, Callable[[bytes], Parsed]] = {"docx": parsing.docx_text, "xlsx": parsing.xlsx_documents}
+def _parse_files(files: DataFrame, providers: Providers, skip: set[str], reader_options: dict[str, dict] | None, skip_errors: bool) -> DataFrame:
+    """(path, found, error): what one scan makes of every file; with ``skip_errors`` a file that fails has a null found and tells why."""
+    given = {"csv": {}, "json": {}, "html": {}, "xlsx": {}, "text": {}} | (reader_options or {})
+    own_csv = dict(given["csv"])
+    encoding = given["text"].get("encoding", "utf-8")
+    csv_parser = parsing.csv_rows if own_csv.pop("split_rows", True) else lambda t, separator=",", **_: parsing.csv_table(t, separator)
+    texts: dict[str, Callable[[str], Parsed]] = {"csv": lambda t: csv_parser(t, **own_csv), "json": lambda t: parsing.json_documents(t, **given["json"]), "html": _page}
+    binaries: dict[str, Callable[[bytes], Parsed]] = {"docx": parsing.docx_text, "xlsx": lambda c: parsing.xlsx_documents(c, **given["xlsx"])}
     if providers.pdf or providers.ocr:
         binaries["pdf"] = _pdf_parser(providers, True)
     binaries |= {kind: provider for kind in ("doc", "xls") if (provider := getattr(providers, kind))}
-    binaries = {k: p for k, p in binaries.items() if k not in overrides}
-    plain = [k for k in ("text", "markdown") if k not in overrides]
+    texts, binaries = ({k: p for k, p in held.items() if k not in skip} for held in (texts, binaries))
+    plain = [k for k in ("text", "markdown") if k not in skip]
 
-    def documents(kind: str, text: str | None, content: bytes | None) -> list[dict]:
+    def documents(kind: str, text: str | None, content: bytes | None) -> tuple[list[dict] | None, str | None]:
         try:
             found = texts[kind](text) if kind in texts else binaries[kind](content) if kind in binaries else []
-            return [{"content": c, "meta": m} for c, m in found]
-        except Exception:
-            if not skip_errors or kind == "html":
+            return [{"content": c, "meta": m} for c, m in found], None
+        except Exception as e:  # whatever is in the file, or in the caller's converter
+            if not skip_errors:
                 raise
-            return []
+            return None, f"{type(e).__name__}: {e}"
 
-    @F.pandas_udf("array<struct<content:string,meta:map<string,string>>>")
-    def parse(kinds: pd.Series, held: pd.Series, raw: pd.Series) -> pd.Series:
-        return pd.Series([documents(*x) for x in zip(kinds, held, raw, strict=True)], dtype=object)
+    @F.pandas_udf("found array<struct<content:string,meta:map<string,string>>>, error string")
+    def parse(kinds: pd.Series, held: pd.Series, raw: pd.Series) -> pd.DataFrame:
+        made = [documents(*x) for x in zip(kinds, held, raw, strict=True)]
+        return pd.DataFrame({"found": pd.Series([f for f, _ in made], dtype=object), "error": pd.Series([e for _, e in made], dtype=object)})
 
-    typed = files.withColumn("format", format_of("path"))
-    wanted = _texts(typed.filter(F.col("format").isin(*plain, *texts, *binaries)), "utf-8")
+    kind = format_of("path")
+    typed = files.withColumn("format", kind).filter(~F.col("format").isin(*skip) if skip else F.lit(True))
+    readable = F.col("format").isin(*plain, *texts, *binaries)
+    wanted = _texts(typed, encoding)
     kind = F.col("format")
     made = parse(kind, F.when(kind.isin(*texts), F.col("text")), F.when(kind.isin(*binaries), F.col("content")))
     whole = F.array(F.struct(F.col("text").alias("content"), metadata(format=kind, encoding=F.col("encoding")).alias("meta")))
-    cut = wanted.select("path", F.posexplode(F.when(kind.isin(*plain), whole).otherwise(made)).alias("k", "d"))
-    parts = [_document(cut, F.col("d.content"), F.col("d.meta"), F.col("k"))]
-    parts += [reader(typed.filter(F.col("format") == kind).drop("format")) for kind, reader in overrides.items()]
+    missing = F.when(~readable, F.concat(F.lit("no reader for "), kind))
+    return wanted.withColumn("made", F.when(readable & ~kind.isin(*plain), made)).select("path", F.when(kind.isin(*plain), whole).otherwise(F.col("made.found")).alias("found"), F.coalesce(F.col("made.error"), missing).alias("error"))
+
+
+def _documents(parsed: DataFrame) -> DataFrame:
+    cut = parsed.select("path", F.posexplode("found").alias("k", "d"))
+    return _document(cut, F.col("d.content"), F.col("d.meta"), F.col("k"))
+
+
+def read_files(files: DataFrame, providers: Providers = Providers(), overrides: dict[str, Callable[[DataFrame], DataFrame]] | None = None, skip_errors: bool = False, reader_options: dict[str, dict] | None = None) -> DataFrame:
+    """Every file by the reader of its extension; unknown ones as text. Formats without a provider are left out.
+
+    ``reader_options`` has the options of csv (separator, source_column, metadata_columns, split_rows), json (path, content_key,
+    metadata_keys, pretty), xlsx and text (encoding). All files go through one scan, as a branch for each format would open every file once
+    more. Readers given in ``overrides`` take tables, so each of them scans for its own.
+    """
+    overrides = overrides or {}
+    parts = [_documents(_parse_files(files, providers, set(overrides), reader_options, skip_errors))]
+    parts += [reader(files.filter(format_of("path") == kind)) for kind, reader in overrides.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_or_refuse(files: DataFrame, providers: Providers = Providers(), reader_options: dict[str, dict] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, refused): the documents of the files that can be read, and (path, error) of those that can't, from one pass over the files.
+
+    Refused are files that fail to parse and those whose format has no reader. What the pass finds is written once, to
+    the folder that executors share.
+    """
+    spark = files.sparkSession
+    place = work_folder(spark, "read")
+    _parse_files(files, providers, set(), reader_options, True).write.parquet(place)
+    parsed = spark.read.parquet(place)
+    return _documents(parsed.filter("error is null")), parsed.filter("error is not null").select("path", "error")
+
+
 def read_directory(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True, exclude: str = EXCLUDED, ignore_errors: bool = False, **options) -> DataFrame:
     """The files under a folder; with ``ignore_errors`` those that can't be read or parsed are left out."""
     return read_files(binary_files(spark, path, glob, recursive, exclude, ignore_errors), skip_errors=ignore_errors, **options)

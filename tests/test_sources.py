@@ -151,3 +151,19 @@ def test_limit_stream(spark, tmp_path):
         assert [r.allowed for r in spark.table("limits").orderBy("at_ms").collect()] == [True, True, False, True]
     finally:
         query.stop()
+
+
+def test_refused_files_and_reader_options(spark, tmp_path):
+    from scriptorium.plans.service import load_and_split
+
+    for name, raw in {"a.csv": b"k;v\n1;2\n", "b.json": b"{broken", "c.json": b'{"items": [{"t": "one", "n": 5}]}', "d.txt": b"text", "e.docx": b"no zip", "f.pdf": b"%PDF-"}.items():
+        (tmp_path / name).write_bytes(raw)
+    options = {"csv": {"separator": ";", "metadata_columns": ("k",)}, "json": {"path": "items[]", "content_key": "t", "metadata_keys": ("n",)}}
+    docs, refused = readers.read_or_refuse(readers.binary_files(spark, str(tmp_path)), reader_options=options)
+    assert {(r.doc_id.rsplit("/", 1)[1], r.page_content) for r in docs.collect()} == {("a.csv", "v: 2"), ("c.json", "one"), ("d.txt", "text")}
+    why = {r.path.rsplit("/", 1)[1]: r.error for r in refused.collect()}
+    assert set(why) == {"b.json", "e.docx", "f.pdf"} and why["f.pdf"] == "no reader for pdf" and why["b.json"].startswith("JSONDecodeError")
+    listed = readers.read_directory(spark, str(tmp_path), ignore_errors=True, reader_options=options)
+    assert listed.count() == 3 and {r.metadata.get("k") or r.metadata.get("n") for r in listed.collect()} == {"1", "5", None}
+    long = spark.createDataFrame([("x", "word " * 500, {})], "doc_id string, page_content string, metadata map<string,string>")
+    assert [len(r.page_content) <= 1000 for r in load_and_split(long).collect()] == [True] * 3

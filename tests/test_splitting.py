@@ -1,10 +1,15 @@
 import json
+import random
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from scriptorium.operators import splitters
 from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, MarkdownRules, RecursiveRules, separators_for, to_json, token_windows
+from scriptorium.schema import documents
 
 
 def test_merge_counts_separators_and_keeps_overlap():
@@ -100,3 +105,44 @@ def test_json_rules():
 
 def test_json_text_orders_indexes_first():
     assert to_json({"b": 1, "10": 2, "9": 3.0, "01": 4}) == '{"9":3,"10":2,"b":1,"01":4}'
+
+
+def plain_merge(pieces, separator, size, overlap, length):
+    """The rule as a loop: a chunk is full when the next piece would exceed the size; then pieces are dropped from its front."""
+    chunks, held = [], []
+
+    def total():
+        return sum(map(length, held))
+
+    for piece in pieces:
+        over = lambda p=piece: total() + length(p) + len(held) * len(separator) > size
+        if held and over():
+            chunks.append(separator.join(held).strip())
+            while total() > overlap or total() > 0 and over():
+                held.pop(0)
+        held.append(piece)
+    return [c for c in [*chunks, separator.join(held).strip()] if c]
+
+
+def test_merging_by_sums_equals_the_loop():
+    rng = random.Random(7)
+    for _ in range(3000):
+        pieces = rng.choices(["a", "bb", "ccc dd", "eeeeeeeee", "é"], k=rng.randrange(30))
+        size = rng.randrange(1, 20)
+        overlap, separator, length = rng.randrange(size), rng.choice(["", "\n", "--"]), rng.choice([len, lambda x: 2 * len(x), lambda x: len(x) // 2])
+        rules = CharacterRules(size, overlap, separator, length=length)
+        assert rules.merge(pieces, separator) == plain_merge(pieces, separator, size, overlap, length)
+        assert rules.merge("".join(pieces), "") == plain_merge(list("".join(pieces)), "", size, overlap, length)
+
+
+def test_very_long_texts_take_a_step_for_each_chunk():
+    began = time.process_time()
+    assert len(RecursiveRules().split("x" * 5_000_000)) == 6250
+    assert sum(map(len, RecursiveRules(overlap=0).split("ab cd " * 500_000))) > 2_900_000
+    assert time.process_time() - began < 20
+
+
+def test_columns_named_as_internal_ones(spark):
+    docs = documents(spark.createDataFrame([(1, "# a\n\nb c", "own")], "doc_id long, text string, __text string"), "doc_id", "text").withColumn("chunks", F.lit("own")).withColumn("chunk_text", F.lit("own")).withColumn("__text", F.lit("own"))
+    for split in (splitters.split_windows, splitters.split_recursively, splitters.split_markdown, splitters.split_html):
+        assert {(r.chunks, r.chunk_text, r["__text"]) for r in split(docs).collect()} == {("own", "own", "own")}
