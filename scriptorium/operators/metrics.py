@@ -2,37 +2,104 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.session import work_folder
+
 PERCENTILES = (50, 95, 99)
 
 
-#: Buckets of a value's magnitude, for each time that it grows e-fold.
-_BUCKETS = 200
+#: Buckets of a value's magnitude, for each time that it grows e-fold; parts that a bucket of too many rows is cut into; rows that are ranked in one task at most.
+_BUCKETS, _PARTS, CELL_ROWS = 200, 1024, 1_000_000
+
+
+def magnitude(value: Column) -> Column:
+    """The bucket of a value, half a percent wide; NaN has its own, above all others."""
+    size = F.floor(F.log(1 + F.abs(value)) * _BUCKETS).cast("double") * F.signum(value)
+    return F.when(F.isnan(value), value).otherwise(size)
 
 
-def exact_percentiles(rows: DataFrame, key: str, value: str, percents: tuple[int, ...] = PERCENTILES) -> DataFrame:
+def _ranks(percents: tuple[int, ...]) -> Column:
+    """An array of (p, rank) of the nearest ranks among ``total`` values."""
+    return F.array(*[F.struct(F.lit(p).alias("p"), F.expr(f"greatest(1, (total * {p} + 99) div 100)").alias("rank")) for p in percents])
+
+
+def exact_percentiles(rows: DataFrame, key: str, value: str, percents: tuple[int, ...] = PERCENTILES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Nearest-rank percentiles of each key as columns p50 and so on; null values don't count.
 
-    A first pass counts values in buckets of their magnitude, whose number doesn't grow with
-    the rows, and finds the bucket of each rank; a second one ranks the distinct values of
-    those buckets. So no task ever holds all values of a key.
+    A first pass counts values in buckets of their magnitude and finds the bucket of each
+    rank. While such a bucket holds more than ``cell_rows`` rows and more than one value, another pass counts
+    it in equal parts between its least and largest value, and goes on with the part of the rank. What is left is ranked
+    by its distinct values. Counts are combined before they are sent, so no task gets more than ``cell_rows`` values of a key, however
+    narrowly they lie; most tables need no pass between the first and the last.
     """
-    size = F.floor(F.log1p(F.abs("v")) * _BUCKETS).cast("double") * F.signum("v")
-    bucket = F.when(F.isnan("v"), float("inf")).otherwise(size)
-    held = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null").withColumn("b", bucket)
+    spark = rows.sparkSession
+    place = work_folder(spark, "percentiles")
+    held = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null").withColumn("b", magnitude(F.col("v")))
+    span = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
     upto = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("n").over(Window.partitionBy("k"))
-    counts = held.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n")).select("k", "b", "n", F.sum("n").over(upto).alias("upto"), n.alias("total"))
-    ranks = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.expr(f"greatest(1, (total * {p} + 99) div 100)").alias("rank")) for p in percents]))
-    wanted = counts.select("k", "b", "n", "upto", ranks.alias("r")).filter("r.rank <= upto and r.rank > upto - n")
-    wanted = wanted.select(F.col("k").alias("wk"), F.col("b").alias("wb"), F.col("r.p").alias("p"), (F.col("r.rank") - F.col("upto") + F.col("n")).alias("rank"))
-    at = F.col("k").eqNullSafe(F.col("wk")) & (F.col("b") == F.col("wb"))
-    values = held.join(wanted.select("wk", "wb").distinct(), at, "left_semi").groupBy("k", "b", "v").agg(F.count(F.lit(1)).alias("n"))
-    within = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("upto", F.sum("n").over(within)).join(wanted, at).filter("rank <= upto and rank > upto - n")
-    return values.groupBy(F.col("k").alias(key)).agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
+    counts = held.groupBy("k", "b").agg(*span).withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy("k")))
+    wanted = counts.withColumn("r", F.explode(_ranks(percents))).filter("r.rank <= upto and r.rank > upto - n")
+    wanted = wanted.select("k", "b", "lo", "hi", "n", F.col("r.p").alias("p"), (F.col("r.rank") - F.col("upto") + F.col("n")).alias("rank"))
+    cell = ["k", "b", "lo", "hi"]
+
+    def inside(cells: DataFrame) -> DataFrame:
+        """The rows of some cells; a cell's bucket is found by equality, the cell within it by comparison."""
+        named = cells.select(*[F.col(c).alias(f"c_{c}") for c in cell]).distinct()
+        found = held.join(named, F.col("k").eqNullSafe(F.col("c_k")) & (F.col("b") == F.col("c_b")) & F.col("v").between(F.col("c_lo"), F.col("c_hi")))
+        return found.select("v", *[F.col(f"c_{c}").alias(c) for c in cell])
+
+    for number in itertools.count():
+        wanted.write.parquet(f"{place}/{number}")
+        wanted = spark.read.parquet(f"{place}/{number}")
+        large = (F.col("n") > cell_rows) & (F.col("lo") < F.col("hi"))
+        if wanted.filter(large).isEmpty():
+            break
+        part = F.least(F.lit(_PARTS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _PARTS)).alias("part")
+        parts = inside(wanted.filter(large)).groupBy(*cell, part).agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("from"), F.max("v").alias("to"))
+        parts = parts.withColumn("upto", F.sum("m").over(Window.partitionBy(*cell).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)))
+        finer = _same_cell(parts, wanted.filter(large), "p", "rank").filter("rank <= upto and rank > upto - m")
+        finer = finer.select("k", "b", F.col("from").alias("lo"), F.col("to").alias("hi"), F.col("m").alias("n"), "p", (F.col("rank") - F.col("upto") + F.col("m")).alias("rank"))
+        wanted = wanted.filter(~large).unionByName(finer)
+
+    one = F.col("lo") == F.col("hi")
+    values = inside(wanted.filter(~one)).groupBy(*cell, "v").agg(F.count(F.lit(1)).alias("m"))
+    values = values.withColumn("upto", F.sum("m").over(Window.partitionBy(*cell).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    values = _same_cell(values, wanted.filter(~one), "p", "rank").filter("rank <= upto and rank > upto - m").select("k", "p", "v")
+    every = wanted.filter(one).select("k", "p", F.col("lo").alias("v")).unionByName(values)
+    return every.groupBy(F.col("k").alias(key)).agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
+
+
+def _same_cell(left: DataFrame, cells: DataFrame, *more: str) -> DataFrame:
+    right = cells.select(*[F.col(c).alias(f"w_{c}") for c in ("k", "b", "lo", "hi")], *more)
+    on = F.col("k").eqNullSafe(F.col("w_k"))
+    for c in ("b", "lo", "hi"):
+        on = on & (F.col(c) == F.col(f"w_{c}"))
+    return left.join(right, on).drop(*[f"w_{c}" for c in ("k", "b", "lo", "hi")])
+
+
+def histograms(operations: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(operation, window_start, bucket, count, failure_count, total, least, most): a roll-up table of durations by magnitude; works on streams too.
+
+    Rows of several windows, or of several tables, merge by adding them up; see merged_percentiles().
+    """
+    timed = operations.withWatermark("ended", late) if operations.isStreaming else operations
+    timed = timed.filter("duration is not null")
+    by = timed.groupBy(F.window("ended", window).alias("window"), "operation", magnitude(F.col("duration").cast("double")).alias("bucket"))
+    rolled = by.agg(F.count(F.lit(1)).alias("count"), F.sum((~F.col("success")).cast("bigint")).alias("failure_count"), F.sum("duration").alias("total"), F.min("duration").alias("least"), F.max("duration").alias("most"))
+    return rolled.select("operation", F.col("window.start").alias("window_start"), "bucket", "count", "failure_count", "total", "least", "most")
+
+
+def merged_percentiles(rolled: DataFrame, percents: tuple[int, ...] = PERCENTILES) -> DataFrame:
+    """(operation, count, p50, ...) of histogram rows put together: the largest value of the bucket of each nearest rank, so at most a bucket's width above it."""
+    merged = rolled.groupBy("operation", "bucket").agg(F.sum("count").alias("n"), F.max("most").alias("most"))
+    upto = Window.partitionBy("operation").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    counts = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy("operation")))
+    found = counts.withColumn("r", F.explode(_ranks(percents))).filter("r.rank <= upto and r.rank > upto - n")
+    return found.groupBy("operation").agg(F.max("total").alias("count"), *[F.max(F.when(F.col("r.p") == p, F.col("most"))).alias(f"p{p}") for p in percents])
 
 
 def _rollup(operations: DataFrame, *more: Column) -> DataFrame:

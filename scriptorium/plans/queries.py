@@ -242,6 +242,17 @@ def op_metrics_realtime(t):
     return _rounded(metrics.realtime_metrics(_operations(t), F.lit("2024-01-20 00:00:00").cast("timestamp"), 86_400))
 
 
+@_query(f"""with {_OPS}, h as (select operation, floor(ln(1 + abs(duration)) * 200) * sign(duration) as bucket, count(*) as n, max(duration) as most from o where duration is not null group by all),
+    c as (select *, sum(n) over (partition by operation order by bucket) as upto, sum(n) over (partition by operation) as total from h)
+    select operation, cast(max(total) as bigint) as count, {", ".join(f"max(most) filter (greatest(1, (total * {p} + 99) // 100) <= upto and greatest(1, (total * {p} + 99) // 100) > upto - n) as p{p}" for p in (50, 95, 99))} from c group by 1""")
+def op_histograms(t):
+    """Percentiles from a roll-up table of hourly histograms."""
+    rolled = metrics.histograms(_operations(t))
+    folder = work_folder(rolled.sparkSession, "histograms")
+    rolled.write.parquet(folder)
+    return metrics.merged_percentiles(rolled.sparkSession.read.parquet(folder))
+
+
 @_query(f"with {_OPS} select event_id, operation, duration from o where duration > 100")
 def slow_operations(t):
     return metrics.slow_operations(_operations(t), 100).select("event_id", "operation", "duration")
