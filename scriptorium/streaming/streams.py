@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from scriptorium.operators.processors import Processor
+
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -36,6 +39,36 @@ def process_stream(files: DataFrame, read: Callable[[DataFrame], DataFrame], pro
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+#: Nodes of a logical plan that make one row of several, or let rows meet.
+_MEETING = re.compile(r"^[\s:|+-]*(Aggregate|Distinct|Deduplicate\w*|Window\w*|Join|LateralJoin|Intersect|Except|GlobalLimit|LocalLimit|Tail|Offset|Sample|Pivot|\w*Groups\w*|TransformWithState\w*|MapGroups\w*|WindowInPandas)\b", re.MULTILINE)
+
+
+def meets_rows(step: Processor, docs: DataFrame) -> str | None:
+    """What in a step makes one document of several, or lets documents meet, so that it can't run on one document at a time; None if nothing does.
+
+    A step may say so itself by an attribute ``merges``; else the analysed plan of what it makes
+    of an empty table like ``docs`` is searched.
+    """
+    if getattr(step, "merges", False):
+        return "declared"
+    empty = docs.sparkSession.createDataFrame([], docs.schema)
+    found = _MEETING.search(step(empty)._jdf.queryExecution().analyzed().toString())
+    return found[1] if found else None
+
+
+def process_each(docs: DataFrame, *steps: Processor) -> DataFrame:
+    """A stream (or table) of documents through steps that look at one document at a time; others are refused.
+
+    So the result doesn't depend on which documents come in one micro-batch. Steps may
+    split a document or leave it out.
+    """
+    for step in steps:
+        if why := meets_rows(step, docs):
+            raise ValueError(f"{getattr(step, '__name__', step)} merges documents ({why}); use process_stream, which gives it whole batches")
+        docs = step(docs)
+    return docs
+
+
 def sliding_metrics(operations: DataFrame, window: str = "60 seconds", slide: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
     """Counts, failures, durations and throughput by operation over sliding windows of their end; works on tables too."""
     timed = operations.withWatermark("ended", late) if operations.isStreaming else operations
