@@ -15,6 +15,7 @@ from scriptorium.functions import mime
 from scriptorium.functions import text as tx
 from scriptorium.operators import metrics, processors, splitters, state, tasks, validation
 from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, RecursiveRules
+from scriptorium.plans.result_cache import ResultCache
 from scriptorium.schema import CONTENT, METADATA, documents
 from scriptorium.session import configure, work_folder
 from scriptorium.sources import file_source, large_csv, large_json, readers
@@ -333,6 +334,18 @@ def json_blocks(t):
     return made.select(F.col(METADATA)["doc_id"].alias("doc_id"), CONTENT)
 
 
+@_query("""select cast(doc_id as varchar) || '.txt' as doc_id, cast(length(coalesce(text, '')) as bigint) as characters, doc_id % 3 = 0 as cached from documents""")
+def result_cache(t):
+    """Texts as files, of which a third is in the cache, a third is there with other content, and a third is new."""
+    docs = t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), "doc_id")
+    cache = ResultCache(docs.sparkSession, work_folder(docs.sparkSession, "result-cache"))
+    files = docs.select("path", "content")
+    before = docs.filter("doc_id % 3 = 0 or doc_id % 3 = 1").withColumn("content", F.when(F.col("doc_id") % 3 == 1, F.concat("content", F.lit("changed since").cast("binary"))).otherwise(F.col("content")))
+    cache.process(before.select("path", "content"), readers.read_files)
+    out = cache.process(files, readers.read_files)
+    return out.select("doc_id", F.length(CONTENT).cast("long").alias("characters"), "cached")
+
+
 @_query(r"""select lang, cast(count(*) as bigint) as documents, cast(sum(len(string_split(coalesce(text, ''), chr(10)))) as bigint) as lines, cast(sum(octet_length(encode(coalesce(text, ''))) + 1) as bigint) as bytes from documents group by 1""")
 def file_source_lines(t):
     """The texts as files in a folder for each language and parity of doc_id, read by the file source, which opens the files of one parity at a time."""
