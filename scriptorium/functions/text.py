@@ -115,13 +115,12 @@ def normalize_encoding(name: Column | str) -> Column:
 
 
 def decode_as(content: Column | str, encoding: Column | str) -> Column:
-    """Text of bytes in one of the encodings that normalize_encoding() gives; an odd last byte of UTF-16 becomes U+FFFD."""
+    """Text of bytes in one of the encodings that normalize_encoding() gives; an odd last byte of UTF-16 is no unit and is left out."""
     content, name = _col(content), normalize_encoding(encoding)
     even = F.substring(content, F.lit(1), (F.length(content) - F.length(content) % 2).cast("int"))
-    odd = F.when(F.length(content) % 2 == 1, "�").otherwise("")
     return (
-        F.when(name == "utf-16le", F.concat(F.decode(even, "UTF-16LE"), odd))
-        .when(name == "utf-16be", F.concat(F.decode(even, "UTF-16BE"), odd))
+        F.when(name == "utf-16le", F.decode(even, "UTF-16LE"))
+        .when(name == "utf-16be", F.decode(even, "UTF-16BE"))
         .when(name == "latin1", F.decode(content, "ISO-8859-1"))
         .otherwise(decode_bytes(content))
     )

@@ -35,6 +35,8 @@ def test_html(spark):
     (b"\xef\xbb\xbfab", "utf-8", "﻿ab"),
     (b"\xff\xfea\x00", "utf-16le", "﻿a"),
     (b"\xfe\xff\x00a", "utf-16be", "﻿a"),
+    (b"\xff\xfea\x00b", "utf-16le", "\ufeffa"),
+    (b"\xfe\xff\x00a\x00", "utf-16be", "\ufeffa"),
     (b"abc", "utf-8", "abc"),
     (b"a\xffb", None, "a�b"),
 ])
