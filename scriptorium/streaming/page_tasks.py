@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import datetime, timezone
 from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -68,8 +68,8 @@ class _Steps(StatefulProcessor):
         self.task = handle.getValueState("task", "total long, cancelled boolean, next long, waiting long, completed long, failed long, only array<long>, skip array<long>, listed boolean", ttl)
         self.pages = handle.getMapState("pages", "page long", "succeeded boolean, failed boolean, attempts int", ttl)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = [e for part in rows for e in part.to_dict("records")]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = [r.asDict() for r in rows]
         names = ("total", "cancelled", "next", "waiting", "completed", "failed", "only", "skip", "listed")
         held = dict(zip(names, self.task.get(), strict=True)) if self.task.exists() else None
         deleted = False
@@ -78,12 +78,12 @@ class _Steps(StatefulProcessor):
                 self._record(held, int(e["page"]), e["status"] == SUCCESS)
         for e in sorted((e for e in events if e["kind"] != "attempt"), key=lambda e: e["at"]):
             held, deleted = self._command(held, deleted, e)
-        now = pd.Timestamp.now("UTC").tz_localize(None)
+        now = datetime.now(timezone.utc)
         if held is None:
             self.task.clear()
             self.pages.clear()
             if deleted:
-                yield pd.DataFrame([(key[0], None, None, 0, 0, 0, DELETED, now)], columns=_STEP_NAMES).astype(_STEP_TYPES)
+                yield _STEP_ROW(key[0], None, None, 0, 0, 0, DELETED, now)
             return
         out = [] if held["waiting"] else list(islice(self._left(held), self.portion))
         held["waiting"] += len(out)
@@ -91,7 +91,9 @@ class _Steps(StatefulProcessor):
         status = status_of(held["total"], held["completed"], held["failed"], held["cancelled"])
         status = PROCESSING if status == PENDING and held["waiting"] else status
         last = (held["total"], held["completed"], held["failed"], status, now)
-        yield pd.DataFrame([(key[0], None, None, *last), *((key[0], page, attempt, *last) for page, attempt in out)], columns=_STEP_NAMES).astype(_STEP_TYPES)
+        yield _STEP_ROW(key[0], None, None, *last)
+        for page, attempt in out:
+            yield _STEP_ROW(key[0], page, attempt, *last)
 
     def _record(self, held: dict, page: int, succeeded: bool) -> None:
         old = self.pages.getValue((page,)) or (False, False, 0)
@@ -131,8 +133,7 @@ class _Steps(StatefulProcessor):
         pass
 
 
-_STEP_NAMES = [f.split()[0] for f in STEP.split(", ")]
-_STEP_TYPES = {"page": "Int64", "attempt": "Int32", "total": "int64", "completed": "int64", "failed": "int64"}
+_STEP_ROW = Row(*[f.split()[0] for f in STEP.split(", ")])
 
 
 class PageTasks:
@@ -145,7 +146,6 @@ class PageTasks:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._handed_out = False
         for name, schema in (("commands", COMMAND), ("attempts", RESULT), ("steps", STEP)):
             if not self._exists(name):
                 spark.createDataFrame([], schema).write.mode("append").parquet(self._batch(name, -1))
@@ -195,10 +195,10 @@ class PageTasks:
 
     # Work
 
-    def run(self, process: Callable[[DataFrame], DataFrame], portion: int = PORTION, days: int = DAYS, on_batch: Callable[[DataFrame, int], None] | None = None, every: str | None = "5 seconds") -> StreamingQuery:
+    def run(self, process: Callable[[DataFrame], DataFrame], portion: int = PORTION, days: int = DAYS, on_batch: Callable[[DataFrame, int], None] | None = None, every: str = "5 seconds") -> StreamingQuery:
         """Work on what is asked for until the query is stopped; restarted, it goes on where it was.
 
-        A micro-batch starts ``every`` so often; without ``every`` the query handles what there is when it starts, and ends.
+        A micro-batch starts ``every`` so often.
 
         ``process`` makes rows of (task_id, page, status, text, error, duration_ms, at) from (task_id, page,
         attempt), one for each; see tasks.process_pages(). ``on_batch`` is called with each portion's attempts once they are written;
@@ -209,7 +209,7 @@ class PageTasks:
         commands = stream("commands", COMMAND).select("task_id", "kind", "total", "only", "skip", F.lit(None).cast("long").alias("page"), F.lit(None).cast("string").alias("status"), "at")
         none = F.lit(None)
         attempts = stream("attempts", RESULT).select("task_id", F.lit("attempt").alias("kind"), none.cast("long").alias("total"), none.cast("array<long>").alias("only"), none.cast("array<long>").alias("skip"), "page", "status", "at")
-        steps = commands.unionByName(attempts).groupBy("task_id").transformWithStateInPandas(_Steps(portion, days), STEP, "append", "ProcessingTime")
+        steps = commands.unionByName(attempts).groupBy("task_id").transformWithState(_Steps(portion, days), STEP, "append", "ProcessingTime")
 
         def each(batch: DataFrame, number: int) -> None:
             here = batch.sparkSession
@@ -220,7 +220,6 @@ class PageTasks:
                 if written.isEmpty():  # a batch that only looked for what has expired
                     self._remove("steps", number)
                 return
-            self._handed_out = True
             # By page, so that the pages of one large task are spread over the cluster.
             process(todo.select("task_id", "page", "attempt").repartition("task_id", "page")).select(*_RESULT_NAMES).write.mode("overwrite").parquet(self._batch("attempts", number))
             if on_batch:
@@ -228,14 +227,15 @@ class PageTasks:
 
         writer = steps.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", f"{self.folder}/checkpoint")
         with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKS, NO_DATA: "false"}):  # which the query copies as it starts
-            return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+            return writer.trigger(processingTime=every).start()
 
     def run_until_idle(self, process: Callable[[DataFrame], DataFrame], **options) -> None:
         """Work until no command and no page is left."""
-        self._handed_out = True
-        while self._handed_out:
-            self._handed_out = False
-            self.run(process, every=None, **options).awaitTermination()
+        query = self.run(process, every="0 seconds", **options)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
 
     # What came of it
 
