@@ -28,6 +28,8 @@ from scriptorium.llm.common import mix64, rows_from_texts, shingle_hashes, unuse
 HASHES = 48
 #: Items and bytes of text of a block, about; its index is a few tens of MB.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16_000_000
+#: Bytes of the indexes that are sent out for one scan of the documents, about; at least one block.
+SCAN_BYTES = 128_000_000
 _SEEDS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64))
 #: Shingles that are hashed together, so that they stay in a core's cache.
 _STEP = 32_768
@@ -38,11 +40,13 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def item_shingles(text: bytes, size: int) -> set[bytes]:
-    """The distinct runs of ``size`` words, as text between single spaces; all words if they are fewer."""
-    w = words(text)
+def shingle_places(w: list[bytes], size: int) -> np.ndarray:
+    """Where each distinct run of ``size`` words stands first; that of all words if they are fewer."""
     n = min(size, len(w))
-    return {b" " + b" ".join(w[i : i + n]) + b" " for i in range(len(w) - n + 1)} if n else set()
+    first: dict[tuple[bytes, ...], int] = {}
+    for i in range(len(w) - n + 1 if n else 0):
+        first.setdefault(tuple(w[i : i + n]), i)
+    return np.fromiter(first.values(), np.int32, len(first))
 
 
 def min_hashes(shingles: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -68,28 +72,58 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, bytes]], size: int, percent: int):
         self.size, self.percent = size, percent
         self.ids = [i for i, _ in items]
-        self.shingles = [item_shingles(t, size) for _, t in items]
-        self.hashes = [np.unique(shingle_hashes(word_hashes(t), size)) for _, t in items]
+        self.texts = [t for _, t in items]
+        #: Of every item: its number of words, and the places and hashes of its distinct shingles.
+        self.lengths: list[int] = []
+        self.places: list[np.ndarray] = []
+        self.hashes: list[np.ndarray] = []
         by_scale: dict[int, list[tuple[int, np.ndarray]]] = {}
         by_length: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, text) in enumerate(items):
-            n = len(words(text))
-            if n >= size:
-                hashed = shingle_hashes(word_hashes(text), size)
+        for k, text in enumerate(self.texts):
+            w, hashed = words(text), shingle_hashes(word_hashes(text), size)
+            self.lengths.append(len(w))
+            self.places.append(shingle_places(w, size))
+            self.hashes.append(hashed[self.places[k]])
+            if len(w) >= size:
                 by_scale.setdefault(max(1, int(len(hashed) - 1).bit_length()), []).append((k, hashed))
-            elif n:
-                by_length.setdefault(n, []).append((int(self.hashes[k][0]), k))
-        self.is_short = frozenset(k for x in by_length.values() for _, k in x)
-        #: Items shorter than a shingle: by length, their sorted hashes and whose they are.
-        self.short = {n: (np.array([h for h, _ in sorted(x)], np.uint64), [k for _, k in sorted(x)]) for n, x in by_length.items()}
+            elif w:
+                by_length.setdefault(len(w), []).append((int(hashed[0]), k))
+        self._finish_short({n: ([h for h, _ in x], [k for _, k in x]) for n, x in by_length.items()})
         self.partitions = {}
         for scale, members in sorted(by_scale.items()):
-            values = np.concatenate([self._keys(min_hashes(hashed, np.zeros(1, np.int64))).ravel() for _, hashed in members])
-            owner = np.repeat(np.array([k for k, _ in members]), HASHES)
-            order = np.argsort(values, kind="stable")
-            seen = np.zeros(1 << _FILTER_LOG2, bool)
-            seen[values >> np.uint64(64 - _FILTER_LOG2)] = True
-            self.partitions[scale] = values[order], owner[order], seen
+            ends = np.cumsum([len(hashed) for _, hashed in members])
+            values = self._keys(min_hashes(np.concatenate([hashed for _, hashed in members]), np.concatenate(([0], ends[:-1]))))
+            self._finish_partition(scale, values.ravel(), np.tile(np.array([k for k, _ in members], np.int32), HASHES))
+
+    def _finish_short(self, by_length: dict[int, tuple[list[int], list[int]]]) -> None:
+        """Items shorter than a shingle: by length, their sorted hashes and whose they are."""
+        self.short = {}
+        for n, (hashes, owner) in by_length.items():
+            order = np.argsort(np.array(hashes, np.uint64), kind="stable")
+            self.short[n] = np.array(hashes, np.uint64)[order], np.array(owner)[order].tolist()
+
+    def _finish_partition(self, scale: int, values: np.ndarray, owner: np.ndarray) -> None:
+        order = np.argsort(values, kind="stable")
+        seen = np.zeros(1 << _FILTER_LOG2, bool)
+        seen[values >> np.uint64(64 - _FILTER_LOG2)] = True
+        self.partitions[scale] = values[order], owner[order], seen
+
+    @classmethod
+    def merged(cls, blocks: list[ItemIndex]) -> ItemIndex:
+        """One index of the items of several."""
+        if len(blocks) == 1:
+            return blocks[0]
+        out = cls([], blocks[0].size, blocks[0].percent)
+        shift = np.cumsum([0, *(len(b.ids) for b in blocks)]).tolist()
+        for name in ("ids", "texts", "lengths", "places", "hashes"):
+            setattr(out, name, [x for b in blocks for x in getattr(b, name)])
+        parts = [(b, at) for b, at in zip(blocks, shift, strict=False)]
+        lengths = {n for b in blocks for n in b.short}
+        out._finish_short({n: ([int(h) for b, _ in parts if n in b.short for h in b.short[n][0]], [k + at for b, at in parts if n in b.short for k in b.short[n][1]]) for n in lengths})
+        for scale in sorted({scale for b in blocks for scale in b.partitions}):
+            held = [(b.partitions[scale], at) for b, at in parts if scale in b.partitions]
+            out._finish_partition(scale, np.concatenate([p[0] for p, _ in held]), np.concatenate([p[1] + np.int32(at) for p, at in held]))
+        return out
 
     @staticmethod
     def _keys(values: np.ndarray) -> np.ndarray:
@@ -153,30 +187,57 @@ class ItemIndex:
         return out
 
     def _verified(self, at: int, text: bytes, hashed: np.ndarray, items: list[int]) -> list[tuple[int, int, int, int]]:
-        """The candidates that the text holds: by hash first, then word for word."""
-        out, flat, known = [], None, np.unique(hashed)
+        """The candidates that the text holds: by hash first, then word for word at the places that the hashes name.
+
+        Takes time in proportion to the text and to each candidate.
+        """
+        out, flat = [], None
+        runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: order of the text's runs, and their sorted hashes
         for item in items:
-            wanted = self.shingles[item]
-            if item not in self.is_short and 100 * np.isin(self.hashes[item], known, assume_unique=True).sum() < self.percent * len(self.hashes[item]):
+            n = min(self.size, self.lengths[item])
+            if n not in runs:
+                of_text = hashed if n == self.size else shingle_hashes(word_hashes(text), n)
+                order = np.argsort(of_text, kind="stable")
+                runs[n] = order, of_text[order]
+            order, known = runs[n]
+            lo, hi = (np.searchsorted(known, self.hashes[item], side) for side in ("left", "right"))
+            met, total = np.flatnonzero(hi > lo), len(self.hashes[item])
+            if 100 * len(met) < self.percent * total:
                 continue
-            flat = flat or b" " + b" ".join(words(text)) + b" "
-            held = sum(s in flat for s in wanted)
-            if held and 100 * held >= self.percent * len(wanted):
-                out.append((at, self.ids[item], held, len(wanted)))
+            flat, wanted = flat or words(text), words(self.texts[item])
+            held = 0
+            for place, first, last in zip(self.places[item][met].tolist(), lo[met].tolist(), hi[met].tolist(), strict=True):
+                run = wanted[place : place + n]
+                held += any(flat[p : p + n] == run for p in order[first:last])
+            if held and 100 * held >= self.percent * total:
+                out.append((at, self.ids[item], held, total))
         return out
 
 
+def scans(sizes: dict[int, int], limit: int) -> list[list[int]]:
+    """Blocks, given with their bytes, in runs of at most ``limit`` bytes, or of one block."""
+    out: list[list[int]] = []
+    room = 0
+    for block, size in sorted(sizes.items()):
+        if not out or size > room:
+            out.append([])
+            room = limit
+        out[-1].append(block)
+        room -= size
+    return out
+
+
 OVERLAPS = "doc_id long, item_id long, n_held long, n_shingles long"
 
 
-def benchmark_overlaps(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def benchmark_overlaps(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80, block_items: int = BLOCK_ITEMS, scan_bytes: int = SCAN_BYTES) -> DataFrame:
     """(doc_id, item_id, n_held, n_shingles, containment) of the items that documents contain.
 
     ``docs`` needs doc_id (integer) and text, ``items`` item_id (integer) and text. An item
     is contained if the document holds at least ``percent`` % of its distinct runs of
     ``shingle`` words (A-Z lower-cased, words between ASCII white space). Executors index the
-    items in blocks; each block is sent out, scans the documents once, without a shuffle,
-    writes what it found and is dropped before the next one. Defined cases: an item of fewer
+    items in blocks; as many blocks as ``scan_bytes`` hold are sent out, scan the documents
+    once, without a shuffle, write what they found and are dropped before the next ones. Defined cases: an item of fewer
     words is one run of them all; an item without words or id, and a null or empty text,
     match nothing; rows of one doc_id and items of one id give one row per pair, the
     fullest; no items or documents give an empty table. Other columns are not read.
@@ -194,14 +255,12 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, shingle: int = 5, perc
     index = work_table(by_block.groupBy("block").applyInPandas(build, "block long, payload binary"), "item-index")
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     found = [spark.sql("select 0L as doc_id, 0L as item_id, 0L as n_held, 0L as n_shingles where false")]
-    for block in range(blocks):
-        row = index.filter(F.col("block") == block).first()
-        if row is None:
-            continue
-        shared = spark.sparkContext.broadcast(bytes(row.payload))
+    sizes = {r.block: r.n for r in index.select("block", F.length("payload").alias("n")).collect()}  # one small row a block
+    for scan in scans(sizes, scan_bytes):
+        shared = spark.sparkContext.broadcast([bytes(r.payload) for r in index.filter(F.col("block").isin(scan)).collect()])
 
         def make(shared=shared):
-            held = pickle.loads(shared.value)
+            held = ItemIndex.merged([pickle.loads(payload) for payload in shared.value])
 
             def search(part: pa.RecordBatch) -> list[pa.Array]:
                 hits = held.search(part.column(1).to_pylist())

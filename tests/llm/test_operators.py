@@ -232,8 +232,45 @@ def test_many_short_items_cost_little():
 def test_items_in_many_blocks(spark):
     items = spark.range(600).selectExpr("id as item_id", "concat_ws(' ', 'x', id, id + 1, id + 2, id + 3, id + 4, 'y') as text")
     docs = spark.range(600).selectExpr("id as doc_id", "concat_ws(' ', 'some words ahead x', id, id + 1, id + 2, id + 3, id + 4, 'y and behind') as text")
-    out = decontaminate.benchmark_overlaps(docs, items, block_items=150)
-    assert out.count() == 600 and out.filter("doc_id <> item_id").count() == 0
+    for scan_bytes in (1, 10**9):
+        out = decontaminate.benchmark_overlaps(docs, items, block_items=150, scan_bytes=scan_bytes)
+        assert out.count() == 600 and out.filter("doc_id <> item_id").count() == 0
+
+
+def test_blocks_share_scans():
+    assert decontaminate.scans({0: 50, 1: 40, 2: 70, 3: 200, 4: 1}, 100) == [[0, 1], [2], [3], [4]] and decontaminate.scans({}, 9) == []
+    items = [(k, " ".join(f"m{(k * 7 + j) % 900}" for j in range(k % 30)).encode()) for k in range(400)]
+    texts = [t + b" and more words behind" for _, t in items]
+    whole = decontaminate.ItemIndex(items, 5, 80)
+    parts = decontaminate.ItemIndex.merged([decontaminate.ItemIndex(items[k : k + 90], 5, 80) for k in range(0, 400, 90)])
+    assert sorted(parts.search(texts)) == sorted(whole.search(texts)) and parts.search(texts)
+
+
+def test_a_long_item_in_a_long_text_takes_linear_time():
+    random_ = random.Random(3)
+    words = [f"w{k}" for k in range(50_000)]
+    item, around = (" ".join(random_.choices(words, k=n)).encode() for n in (50_000, 200_000))
+    index = decontaminate.ItemIndex([(1, item)], 5, 80)
+    start = time.process_time()
+    ((_, found, held, total),) = index.search([around + b" " + item + b" " + around])
+    assert time.process_time() - start < 10 and found == 1 and held == total > 49_000
+
+
+def test_items_at_the_threshold_are_found():
+    """Items of which a long text holds exactly 80 % of the runs, in one piece, and in two far apart."""
+    random_ = random.Random(4)
+    words = [f"q{k}" for k in range(200_000)]
+    items, texts = [], []
+    for k in range(1000):
+        w = random_.sample(words, random_.choice([24, 54, 104, 204]))
+        held = (len(w) - 4) * 4 // 5
+        cut = held // 2
+        pieces = [w[: held + 4]] if k % 2 else [w[: cut + 4], w[len(w) - 4 - held + cut :]]
+        filler = [random_.choices(words, k=random_.randint(0, 300)) for _ in range(3)]
+        items.append((k, " ".join(w).encode()))
+        texts.append(" ".join(x for a, b in zip(filler, [*pieces, []], strict=False) for x in (*a, *b)).encode())
+    found = {(at, item) for at, item, held, total in decontaminate.ItemIndex(items, 5, 80).search(texts) if 100 * held == 80 * total}
+    assert len(found & {(k, k) for k in range(1000)}) >= 999
 
 
 def test_items_are_found_in_long_documents(spark):
