@@ -1,8 +1,8 @@
 """Toxicity scores from a learned lexicon, matched with its misspellings.
 
 A lexicon of words and stems is learned from labelled documents. Its trie is intersected
-with Levenshtein automata of distance one and determinised; the resulting table is run over
-all words of many texts at once, one letter a step. Every match is weighed by its context:
+with Levenshtein automata of distance one and determinised while words are read, so that
+only states that a text reaches are ever made. Every match is weighed by its context:
 a window of words tells whether it is aimed at somebody or only quoted. A logistic model
 over the weights gives the score.
 """
@@ -66,106 +66,124 @@ def word_edges(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Automaton:
-    """The lexicon's trie, intersected with Levenshtein automata, as one table of transitions.
+    """The lexicon's trie, intersected with Levenshtein automata, determinised as far as texts lead.
 
-    A state is a set of (trie node, errors); symbol 0 stands for letters in no term. Words and
-    stems of FUZZY_FROM letters or more match with one error.
+    A state holds the trie node that its letters spell, the nodes that they reach with one
+    error, and the nodes any child of which they reach with one error; past a stem anything
+    goes. So a lexicon of any alphabet takes memory in proportion to its letters. States
+    and verdicts on words are remembered by each worker within fixed bounds; only the terms are
+    sent to it. Words and stems of FUZZY_FROM letters or more match with one error.
     """
 
+    #: Steps of states, and letters of words, that a worker remembers.
+    STEPS, LETTERS = 200_000, 1_000_000
+
     def __init__(self, words: list[str], stems: list[str]):
-        letters = sorted({c for t in [*words, *stems] for c in t})
-        self.letters = np.array([ord(c) for c in letters], np.uint32)
-        self.near = np.zeros(65536, np.int32)  # symbols of the first plane's letters
-        first = self.letters < 65536
-        self.near[self.letters[first]] = np.flatnonzero(first) + 1
-        children: list[dict[int, int]] = [{}]
-        ends: dict[int, set[tuple[int, int]]] = {}
+        self.terms = words, stems
+        self.children: list[dict[str, int]] = [{}]
+        self.exact: set[int] = set()
+        self.stems: set[int] = set()
+        long, long_stems = set(), set()
         for kind, terms in ((EXACT, words), (STEM, stems)):
             for term in terms:
                 node = 0
                 for c in term:
-                    step = int(self.symbols(np.array([ord(c)]))[0])
-                    if step not in children[node]:
-                        children.append({})
-                        children[node][step] = len(children) - 1
-                    node = children[node][step]
-                ends.setdefault(node, set()).add((kind, len(term)))
-        stem_nodes = {n: length >= FUZZY_FROM for n, kinds in ends.items() for k, length in kinds if k == STEM}
-
-        def closed(found: set[tuple[int, int]]) -> frozenset:
-            """With letters of the trie that the text lacks."""
-            return frozenset(found | {(child, 1) for node, errors in found if not errors for child in children[node].values()})
-
-        def after(state: frozenset, symbol: int) -> frozenset:
-            out = set()
-            for node, errors in state:
-                if node == -1 or node in stem_nodes and (not errors or stem_nodes[node]):
-                    out.add((-1, errors))  # past a stem anything goes
-                if node == -1:
-                    continue
-                if symbol in children[node]:
-                    out.add((children[node][symbol], errors))
-                if not errors:
-                    out.add((node, 1))
-                    out.update((child, 1) for child in children[node].values())
-            return closed({x for x in out if x[0] != -1}) | {x for x in out if x[0] == -1}
-
-        def verdict(state: frozenset) -> int:
-            kinds = {(k, errors, n) for node, errors in state for k, n in ends.get(node, ())}
-            if any(k == EXACT and not errors for k, errors, _ in kinds):
-                return EXACT
-            if (-1, 0) in state or any(k == STEM and not errors for k, errors, _ in kinds):
-                return STEM
-            return FUZZY if (-1, 1) in state or any(n >= FUZZY_FROM for *_, n in kinds) else 0
-
-        start = closed({(0, 0)})
-        numbers, todo, rows, verdicts = {frozenset(): 0, start: 1}, [start], [[0] * (len(letters) + 1)], [0, verdict(start)]
-        for state in todo:
-            row = []
-            for symbol in range(len(letters) + 1):
-                target = after(state, symbol)
-                if target not in numbers:
-                    numbers[target] = len(numbers)
-                    todo.append(target)
-                    verdicts.append(verdict(target))
-                row.append(numbers[target])
-            rows.append(row)
-        self.table, self.verdicts = np.array(rows, np.int32), np.array(verdicts, np.int8)
-
-    def symbols(self, points: np.ndarray) -> np.ndarray:
-        """The number of each letter, from 1; 0 for what is in no term."""
-        out = self.near[np.minimum(points, 65535)]
-        far = np.flatnonzero(points >= 65535)
-        if len(far) and len(self.letters):
-            at = np.minimum(np.searchsorted(self.letters, points[far]), len(self.letters) - 1)
-            out[far] = np.where(self.letters[at] == points[far], at + 1, 0)
-        return out
+                    if c not in self.children[node]:
+                        self.children.append({})
+                        self.children[node][c] = len(self.children) - 1
+                    node = self.children[node][c]
+                (self.exact if kind == EXACT else self.stems).add(node)
+                if len(term) >= FUZZY_FROM:
+                    long.add(node)
+                    if kind == STEM:
+                        long_stems.add(node)
+        self.long, self.long_stems = long, long_stems
+        #: Of every node: the grandchildren by their letter, and whether a child ends a long term, or stem.
+        self.grandchildren: list[dict[str, list[int]]] = []
+        for kids in self.children:
+            by_letter: dict[str, list[int]] = {}
+            for child in kids.values():
+                for c, node in self.children[child].items():
+                    by_letter.setdefault(c, []).append(node)
+            self.grandchildren.append(by_letter)
+        self.before_long = {n for n, kids in enumerate(self.children) if not long.isdisjoint(kids.values())}
+        self.before_long_stem = {n for n, kids in enumerate(self.children) if not long_stems.isdisjoint(kids.values())}
+        self._forget_states()
+        self.known: dict[str, int] = {}
+        self.known_letters = 0
+
+    def __reduce__(self):
+        return Automaton, self.terms
+
+    def _forget_states(self) -> None:
+        """Keep the state of no letters, as number 1; 0 is the dead state."""
+        start = (0, frozenset(), (0,), False, False)
+        self.states, self.numbers = [None, start], {start: 1}
+        self.steps: list[dict[str, int]] = [{}, {}]
+        self.verdicts, self.remembered = [0, 0], 0
+
+    def _step(self, number: int, letter: str) -> int:
+        node, late, near, past, late_past = self.states[number]
+        after = {self.children[n][letter] for n in late if letter in self.children[n]}
+        for n in near:
+            after.update(self.grandchildren[n].get(letter, ()))
+        late_past = late_past or not self.long_stems.isdisjoint(late) or not self.before_long_stem.isdisjoint(near)
+        past = past or node in self.stems
+        child, near = -1, ()
+        if node >= 0:
+            after.add(node)  # the letter is one too many
+            child = self.children[node].get(letter, -1)
+            near = (node,) if child < 0 else (node, child)  # the letter stands for another, or the next one is lacking
+        target = 0
+        if after or child >= 0 or past or late_past:
+            state = (child, frozenset(after), near, past, late_past)
+            target = self.numbers.get(state)
+            if target is None:
+                target = self.numbers[state] = len(self.states)
+                self.states.append(state)
+                self.steps.append({})
+                self.verdicts.append(self._verdict(*state))
+        self.steps[number][letter] = target
+        self.remembered += 1
+        return target
+
+    def _verdict(self, node: int, late: frozenset, near: tuple[int, ...], past: bool, late_past: bool) -> int:
+        if node in self.exact:
+            return EXACT
+        if past or node in self.stems:
+            return STEM
+        return FUZZY if late_past or not self.long.isdisjoint(late) or not self.before_long.isdisjoint(near) else 0
+
+    def kind(self, word: str) -> int:
+        """How a word matches: 0, EXACT, FUZZY or STEM."""
+        if self.remembered > self.STEPS:
+            self._forget_states()
+        state = 1
+        for letter in word:
+            target = self.steps[state].get(letter)
+            state = self._step(state, letter) if target is None else target
+            if not state:
+                return 0
+        return self.verdicts[state]
 
     def match(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words; numbers and kinds of the words that match."""
         starts, ends = word_edges(points)
-        symbols = self.symbols(points)
-        alive = np.arange(len(starts))
-        state = np.ones(len(starts), np.int32)
-        numbers, kinds = [], []
-        step = 0
-        while len(alive):
-            state = self.table[state, symbols[starts[alive] + step]]
-            step += 1
-            alive, state = alive[state > 0], state[state > 0]
-            over = starts[alive] + step == ends[alive]
-            found = self.verdicts[state[over]]
-            numbers.append(alive[over][found > 0])
-            kinds.append(found[found > 0])
-            alive, state = alive[~over], state[~over]
-        numbers, kinds = np.concatenate([*numbers, np.zeros(0, int)]), np.concatenate([*kinds, np.zeros(0, np.int8)])
-        order = np.argsort(numbers, kind="stable")
-        return starts, ends, numbers[order], kinds[order]
+        low = points.tobytes().decode("utf-32-le", "replace")
+        if self.known_letters > self.LETTERS:
+            self.known, self.known_letters = {}, 0
+        words = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for word in set(words).difference(self.known):
+            self.known[word] = self.kind(word)
+            self.known_letters += len(word)
+        kinds = np.array([self.known[w] for w in words], np.int8)
+        numbers = np.flatnonzero(kinds)
+        return starts, ends, numbers, kinds[numbers]
 
 
 @dataclass
 class Model:
-    """A fitted scorer: plain values that are sent to the executors, a few MB at most."""
+    """A fitted scorer. Terms and plain values are sent to the executors: no more than the telling terms of the sample, whose size is bounded."""
 
     automaton: Automaton
     ordinary: frozenset[str]
@@ -285,7 +303,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
     work table. Term counts go by
     families of documents (by one MinHash value of their word triples), so that the words of
     one text with many copies don't pass for a lexicon. Every term that is telling enough
-    is considered. The driver gets the counts of those, and two numbers a document. Defined
+    is considered: words of four letters or more, and stems of three to eight, as the
+    shorter ones have too many other uses to be told by counts alone. The driver gets the counts of those, and two numbers a document. Defined
     cases: labels other than 0 and 1, and those without a doc_id or a document, are not
     learned from; null texts are empty; a label repeated for a document counts once, and
     one that contradicts it for both classes; rows repeated under one doc_id count each, as

@@ -1,6 +1,7 @@
 """Corpus operators on small tables made for them: rules, odd input, and brute force."""
 
 import hashlib
+import pickle
 import random
 import time
 
@@ -356,6 +357,32 @@ def test_base_spans_of_odd_strings(spark, text):
     assert row.base_sha256 == base_digest(text)[0]
 
 
+def test_a_lexicon_of_many_letters_stays_small():
+    random_ = random.Random(11)
+    letters = [chr(0x4E00 + k) for k in range(2900)] + [chr(0x20000 + k) for k in range(100)]
+    terms = ["".join(random_.choices(letters, k=random_.choice([4, 5, 6]))) for _ in range(2000)]
+    start = time.process_time()
+    automaton = toxicity.Automaton(terms[:1500], terms[1500:])
+    assert time.process_time() - start < 5 and len(pickle.dumps(automaton)) < 20_000_000
+    asked = [(w[:2] + "x" + w[3:], toxicity.FUZZY if len(w) >= toxicity.FUZZY_FROM else 0) for w in terms[:1500]]
+    asked += [(w, toxicity.EXACT) for w in terms[:1500]] + [(w + "xyz", toxicity.STEM) for w in terms[1500:]]
+    asked += [("".join(random_.choices(letters, k=random_.randint(2, 8))), 0) for _ in range(5000)]
+    _, _, numbers, kinds = automaton.match(toxicity.code_points(" ".join(w for w, _ in asked)))
+    got = dict(zip(numbers.tolist(), kinds.tolist(), strict=True))
+    assert [got.get(k, 0) for k in range(len(asked))] == [kind for _, kind in asked]
+
+
+def test_what_a_worker_remembers_is_bounded():
+    automaton = toxicity.Automaton(["idiot", "stupid"], ["cretin"])
+    points = toxicity.code_points("idiot idjot stupd cretinous other words")
+    want = [x.tolist() for x in automaton.match(points)]
+    automaton.STEPS = automaton.LETTERS = 3
+    for _ in range(3):
+        assert [x.tolist() for x in automaton.match(points)] == want
+        assert [x.tolist() for x in automaton.match(toxicity.code_points("quite other ones"))][2] == []
+    assert automaton.remembered <= 3 + 60 and len(automaton.known) <= 9
+
+
 def test_long_runs_stay_linear(spark):
     texts = ["a" * 300_000, "1" * 300_000, "a@" + "a." * 100_000, "+1" + " 2" * 100_000, "." * 100_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
