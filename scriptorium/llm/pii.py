@@ -1,7 +1,7 @@
 """Personal data by patterns and by bootstrapped context, in DataFrame operations only.
 
-Regular expressions find the seeds: addresses, IPs, cards and phones, and secrets that show
-what they are. The words around seeds make lexical patterns. Patterns and the identifiers
+Regular expressions find the seeds: addresses, IPs, cards and phones, and what has the form
+of a secret. The words around seeds make lexical patterns. Patterns and the identifiers
 they surround form a graph, on which confidence flows from the seeds to patterns and from
 patterns to identifiers that no expression knows, a few rounds; patterns that end up sure
 enough mark such identifiers.
@@ -24,18 +24,20 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What could be an identifier: a run of digit groups with blanks, dots, dashes and brackets between
-#: them, or a run of letters, digits and joining signs with a digit, an @ or an (at) among its first 64.
+#: them that no letters go on, or a run of letters, digits and joining signs with a digit, an @ or an (at) in it or behind its
+#: letters. The look-ahead begins only where a run does, so that every letter is looked at once.
 PATTERNS["candidate"] = (
-    r"(?<![A-Za-z0-9_@.+:/-])(?:[+(]?[0-9](?:[0-9().\x20-]*[0-9])?(?![A-Za-z0-9_@])"
-    r"|(?=[A-Za-z_.+:/-]{0,64}+(?:[0-9@]|[(\[]at[)\]]))[A-Za-z0-9](?:[A-Za-z0-9_@.+:/()\[\]-]*[A-Za-z0-9])?)"
+    r"(?<![A-Za-z0-9_@.+:/-])(?:[+(]?[0-9](?:[0-9().\x20-]*[0-9])?(?![A-Za-z0-9_@]|[.+:/-]++[A-Za-z])"
+    r"|(?=[A-Za-z_.+:/-]*+(?:[0-9@]|[(\[]at[)\]]))[A-Za-z0-9](?:[A-Za-z0-9_@.+:/()\[\]-]*[A-Za-z0-9])?)"
 )
 #: What must be in a text for the expression to be worth a try.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]", "candidate": r"[0-9@]|[(\[]at[)\]]"}
-#: A candidate that is a secret by itself: 16 letters and digits or more with three of each at least, or a public key format.
+#: A candidate that makes a seed by its form alone: 16 letters and digits or more with three of each at least, or a public key format.
 SECRET = r"^(?:(?=(?:[^0-9]*+[0-9]){3})(?=(?:[^A-Za-z]*+[A-Za-z]){3})[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36,})$"
-#: Code points of context on either side of a span, up to the next match of its kind.
+#: Code points of context on either side of a span, up to the next match of its kind; a word that goes on beyond them is no context.
 LEFT, RIGHT = 80, 40
 #: Patterns by type: two words before; one before that a mark ties to the slot; one before and one after.
+#: What stands further away than these numbers of signs that are no letters, in a table, say, isn't taken for context.
 CONTEXTS = {
     "before": (r"(\p{L}+[^\p{L}]{1,8}\p{L}+[^\p{L}]{0,6})$", None),
     "label": (r"(\p{L}+[^\p{L}]{0,4}[=:#][^\p{L}]{0,4})$", None),
@@ -72,8 +74,10 @@ def matches(kind: str) -> Column:
     p = f"r'{PATTERNS[kind]}'"
     values, between = f"regexp_extract_all(text, {p}, 0)", f"split(text, {p}, -1)"
     pairs = f"zip_with({values}, {between}, (v, b) -> named_struct('v', v, 'b', b))"
+    left = rf"if(length(y.x.b) > {LEFT}, regexp_replace(substring(y.x.b, -{LEFT + 1}, {LEFT + 1}), r'^\p{{L}}+', ''), y.x.b)"
+    right = rf"if(length(y.a) > {RIGHT}, regexp_replace(substring(y.a, 1, {RIGHT + 1}), r'\p{{L}}+$', ''), y.a)"
     found = F.expr(f"""filter(transform(zip_with({pairs}, slice({between}, 2, size({between})), (x, a) -> named_struct('x', x, 'a', a)), (y, i) -> named_struct(
-        'kind', '{kind}', 'at', i, 'gap', length(y.x.b), 'value', y.x.v, 'left', substring(y.x.b, -{LEFT}, {LEFT}), 'right', substring(y.a, 1, {RIGHT}))), z -> z.value is not null)""")
+        'kind', '{kind}', 'at', i, 'gap', length(y.x.b), 'value', y.x.v, 'left', {left}, 'right', {right})), z -> z.value is not null)""")
     return F.when(F.col("text").rlike(HINTS[kind]), found)
 
 
@@ -99,7 +103,7 @@ def placed(found: DataFrame) -> DataFrame:
 def patterns_of(spans: DataFrame) -> DataFrame:
     """One row for every span and each of its patterns: (row, kind, start, end, value, type, pattern).
 
-    Kind is null for a candidate; one that is a secret by itself has the kind ``secret``.
+    Kind is null for a candidate; one that has the form of a secret has the kind ``secret``.
     """
 
     def plain(side: str) -> Column:
@@ -160,9 +164,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     ``docs`` needs doc_id and text; other columns are not read. ``base`` are the valid
     matches of the four expressions. ``found`` are the identifiers that trusted patterns
-    mark, whose kind is ``ctx_`` and the surest pattern's kind, and of kind ``secret`` those
-    that show what they are where no pattern is sure; values are in lower case. Places are in code
-    points, end exclusive. Defined cases: null text is empty; rows are told apart by their
+    mark, whose kind is ``ctx_`` and the surest pattern's kind; values are in lower case. What
+    only looks like a secret is a seed and no finding until a trusted pattern surrounds it.
+    Places are in code points, end exclusive. A context is what stands up to LEFT code points before and RIGHT
+    after a span, without words that go on beyond, in the numbers of signs that CONTEXTS
+    names. Defined cases: null text is empty; rows are told apart by their
     place, so doc_id may be null or repeated; an empty table stays empty; equal texts have
     equal spans; what touches a base span is never marked.
     """
@@ -173,9 +179,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     spans = work_table(placed(found.filter(F.size("matches") > 0)), "pii-spans")
     mentions = work_table(patterns_of(spans), "pii-mentions")
     sure = trusted_patterns(mentions)
-    own = F.coalesce(F.concat(F.lit("ctx_"), "kind"), "own")
-    marked = mentions.filter("kind is null or kind = 'secret'").withColumnRenamed("kind", "own").join(sure, "pattern", "left").filter("own is not null or kind is not null")
-    marked = marked.groupBy("row", "start", "end", "value").agg(F.max_by(own, F.struct(F.coalesce("confidence", F.lit(0.0)), F.coalesce("pattern", F.lit("")))).alias("kind"))
+    marked = mentions.filter("kind is null or kind = 'secret'").drop("kind").join(sure, "pattern")
+    marked = marked.groupBy("row", "start", "end", "value").agg(F.max_by(F.concat(F.lit("ctx_"), "kind"), F.struct("confidence", "pattern")).alias("kind"))
     each = marked.select("row", F.lit(1).alias("part"), "start", "end", "kind", "value").unionByName(spans.filter("kind <> 'candidate'").select("row", F.lit(0).alias("part"), "start", "end", "kind", "value"))
     by_row = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("part", "start", "end", "kind", "value"))).alias("spans"))
     joined = found.select("row", "doc_id").join(by_row, "row", "left")

@@ -52,8 +52,8 @@ def test_op1_equals_plain_kernel_ridge(spark, sample):
 
 
 CANDIDATE = regex.compile(
-    r"(?<![A-Za-z0-9_@.+:/-])(?:[+(]?[0-9](?:[0-9().\x20-]*[0-9])?(?![A-Za-z0-9_@])"
-    r"|(?=[A-Za-z_.+:/-]{0,64}+(?:[0-9@]|[(\[]at[)\]]))[A-Za-z0-9](?:[A-Za-z0-9_@.+:/()\[\]-]*[A-Za-z0-9])?)"
+    r"(?<![A-Za-z0-9_@.+:/-])(?:[+(]?[0-9](?:[0-9().\x20-]*[0-9])?(?![A-Za-z0-9_@]|[.+:/-]++[A-Za-z])"
+    r"|(?=[A-Za-z_.+:/-]*+(?:[0-9@]|[(\[]at[)\]]))[A-Za-z0-9](?:[A-Za-z0-9_@.+:/()\[\]-]*[A-Za-z0-9])?)"
 )
 
 
@@ -62,6 +62,21 @@ def secret(value):
     return bool(regex.fullmatch(r"[A-Za-z0-9]{16,}", value) and digits >= 3 and letters >= 3 or regex.fullmatch(r"AKIA[A-Z0-9]{16}|gh[opsu]_[A-Za-z0-9]{36,}", value))
 
 
+def context(left, right):
+    """80 code points before and 40 after, without words that go on beyond."""
+    if len(left) > 80:
+        k = len(left) - 81
+        while k < len(left) and regex.match(r"\p{L}", left[k]):
+            k += 1
+        left = left[k:]
+    if len(right) > 40:
+        k = 41
+        while k and regex.match(r"\p{L}", right[k - 1]):
+            k -= 1
+        right = right[:k]
+    return left, right
+
+
 def patterns(left, right):
     plain = lambda t: regex.sub("[0-9]", "9", regex.sub(r"[\x20\x09-\x0D]+", " ", t.lower()))
     left, right = plain(left), plain(right)
@@ -102,8 +117,7 @@ def test_op2_equals_plain_bootstrapping(spark, sample):
             for k, m in enumerate(found, 1):
                 if kind == "candidate" and any(a < m.end() and m.start() < b for a, b, *_ in base if _[0] != "candidate") or kind != "candidate" and not valid(kind, m[0]):
                     continue
-                context = text[bounds[k - 1][1] : m.start()][-80:], text[m.end() : bounds[k + 1][0]][:40]
-                base.append((*m.span(), kind, m[0], list(patterns(*context))))
+                base.append((*m.span(), kind, m[0], list(patterns(*context(text[bounds[k - 1][1] : m.start()], text[m.end() : bounds[k + 1][0]])))))
         spans[i] = base
         for *_, kind, value, around in base:
             seed = kind if kind != "candidate" else "secret" if secret(value) else None
@@ -130,7 +144,7 @@ def test_op2_equals_plain_bootstrapping(spark, sample):
         for a, b, kind, value, around in spans[r.doc_id]:
             if kind == "candidate":
                 hits = [(*sure[p], p) for _, p in around if p in sure]
-                kind = "ctx_" + max((c, p, k) for c, k, p in hits)[2] if hits else "secret" if secret(value) else None
+                kind = "ctx_" + max((c, p, k) for c, k, p in hits)[2] if hits else None
             if kind:
                 want.append((a, order.index(kind) if kind in order else len(order), kind, b))
         assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(want)), r.doc_id

@@ -349,6 +349,33 @@ def test_contexts_find_unknown_identifiers(spark):
     assert found[100] == [("ctx_card", "zx99-441")] and found[101] == []
 
 
+def test_seeds_are_no_findings_without_a_context(spark):
+    """Things that look like secrets in prose stay; a value of any length is found in a context that others share."""
+    letters = "abcdefghij" * 7
+    rows = [(k, f'config has token = "{hashlib.sha1(bytes([k])).hexdigest()[:20]}" set') for k in range(5)] + [(5, f'config has token = "{letters}1234" set')]
+    rows += [(6, "see commit 3ace5500fa1b2c3d4e5f for the fix and part AB12CD34EF56GH78 in store"), (7, f'{"w" * 75}config has token = "short-1" set')]
+    found = {r.doc_id: [(s.kind, s.value) for s in r.found] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[6] == [] and found[5] == [("ctx_secret", f"{letters}1234")] and found[7] == [("ctx_secret", "short-1")]
+    assert all(len(found[k]) == 1 for k in range(5))
+
+
+def test_values_that_no_seed_names_are_found(spark):
+    """Half of the values have the form of a seed; of the others at least 95 % are found by their contexts, and no other run of digits is."""
+    random_ = random.Random(8)
+    frames = ["my account key: {} please keep it", "the account key: {} was reset today", "use passphrase={} for the vault", "old passphrase={} is void"]
+    docs, hidden = [], set()
+    for k in range(400):
+        seed = k % 2 == 0
+        value = hashlib.sha1(bytes([k % 256, k // 256])).hexdigest()[:24] if seed else f"{random_.randrange(10**4):04d}-q{random_.randrange(100)}"
+        docs.append((k, "some words ahead, " + random_.choice(frames).format(value) + f", seen in {random_.randrange(1990, 2024)} by all"))
+        if not seed:
+            hidden.add((k, value))
+    found = {(r.doc_id, s.value) for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect() for s in r.found}
+    assert len(hidden & found) >= 0.95 * len(hidden)
+    values = {v for _, v in found}
+    assert not any(v.isdigit() and len(v) == 4 for v in values)
+
+
 @pytest.mark.parametrize("text", ["a@b.c_d@e.fg", "x@y.z.w@q.r", "1.2.3.4.5.6.7.8", "999.1.1.1 0000255.1.1.1", "+1 (2) 3-4.5 6789 0", "4111-1111 1111 1111", "a@b.c" * 3, "++12 345 678 90+", "1.2.3.4a@1.2.3.4", "é@a.b😀c@d.e"])
 def test_base_spans_of_odd_strings(spark, text):
     from tests.llm.test_queries import base_digest
