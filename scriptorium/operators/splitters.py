@@ -1,7 +1,7 @@
 """Splitters of document tables: one document in, its chunks out, each with its parent's columns.
 
-Rules that need a parser or a running state work on Arrow batches of (text) in a scalar
-pandas UDF, so all other columns stay in the JVM.
+Rules that need a parser or a running state work on portions of about 1 MB of text, so all
+other columns stay in the JVM and a Python worker holds the chunks of one portion at a time.
 """
 
 from __future__ import annotations
@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.portions import per_text
 from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, MarkdownRules, RecursiveRules, token_windows
 from scriptorium.schema import CONTENT, METADATA, merged, metadata, unused
 
@@ -19,12 +21,11 @@ from scriptorium.schema import CONTENT, METADATA, merged, metadata, unused
 SIZE_SEPARATORS = ("\n## ", "\n### ", "\n\n", "\n", " ", "")
 
 
-def _text_chunks(split: Callable[[str], list[str]]):
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return pd.Series([split(t) if t is not None else [] for t in texts], dtype=object)
+def _text_chunks(split: Callable[[str], list[str]]) -> Callable[[str], Column]:
+    def chunks(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([split(t) if t is not None else [] for t in texts.to_pylist()], pa.list_(pa.string()))]
 
-    return chunks
+    return lambda column: per_text("chunks array<string>", lambda: chunks)(column)["chunks"]
 
 
 def _explode_chunks(docs: DataFrame, chunks) -> DataFrame:

@@ -146,3 +146,30 @@ def test_columns_named_as_internal_ones(spark):
     docs = documents(spark.createDataFrame([(1, "# a\n\nb c", "own")], "doc_id long, text string, __text string"), "doc_id", "text").withColumn("chunks", F.lit("own")).withColumn("chunk_text", F.lit("own")).withColumn("__text", F.lit("own"))
     for split in (splitters.split_windows, splitters.split_recursively, splitters.split_markdown, splitters.split_html):
         assert {(r.chunks, r.chunk_text, r["__text"]) for r in split(docs).collect()} == {("own", "own", "own")}
+
+
+def most_held(spark, split_with, many=2000):
+    """How many results of ``split`` a Python worker holds at most, of ``many`` texts of 10,000 characters in one Arrow batch."""
+
+    class Held(list):
+        now = 0
+
+        def __init__(self, made):
+            super().__init__(made)
+            Held.now += 1
+
+        def __del__(self):
+            Held.now -= 1
+
+    def counted(make):
+        return lambda text: Held(make(str(Held.now)))
+
+    texts = spark.range(0, many, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    return max(int(r[0]) for r in split_with(documents(texts, "doc_id", "text"), counted).collect())
+
+
+def test_text_chunks_are_held_for_a_portion_only(spark):
+    def split(docs, counted):
+        return docs.select(F.explode(splitters._text_chunks(counted(lambda n: [n]))("page_content")))
+
+    assert most_held(spark, split) <= 200
