@@ -1,5 +1,6 @@
 import json
 import random
+import sys
 import time
 
 import pytest
@@ -173,3 +174,22 @@ def test_text_chunks_are_held_for_a_portion_only(spark):
         return docs.select(F.explode(splitters._text_chunks(counted(lambda n: [n]))("page_content")))
 
     assert most_held(spark, split) <= 200
+
+
+def few_held(limit):
+    """A check, for use in a Python worker, that the interpreter holds at most ``limit`` objects more than at first."""
+    first = []
+
+    def check():
+        first.append(sys.getallocatedblocks()) if not first else None
+        return sys.getallocatedblocks() - first[0] <= limit
+
+    return check
+
+
+@pytest.mark.parametrize(("size", "overlap", "windows"), [(1000, 200, 13)])
+def test_windows_are_held_for_a_portion_only(spark, monkeypatch, size, overlap, windows):
+    few = few_held(1000 * windows)
+    monkeypatch.setattr(splitters, "token_windows", lambda *of: token_windows(*of) if few() else 0)
+    texts = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    assert splitters.split_windows(documents(texts, "doc_id", "text"), size, overlap).count() == 2000 * windows
