@@ -187,7 +187,7 @@ def few_held(limit):
     return check
 
 
-@pytest.mark.parametrize(("size", "overlap", "windows"), [(1000, 200, 13)])
+@pytest.mark.parametrize(("size", "overlap", "windows"), [(1000, 200, 13), (100, 30, 143)])
 def test_windows_are_held_for_a_portion_only(spark, monkeypatch, size, overlap, windows):
     few = few_held(1000 * windows)
     monkeypatch.setattr(splitters, "token_windows", lambda *of: token_windows(*of) if few() else 0)
