@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,12 +60,14 @@ def split_windows(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Data
     return _explode_chunks(docs, _text_chunks(lambda t: [t[k * stride : k * stride + size] for k in range(token_windows(len(t), size, overlap))])(CONTENT))
 
 
-def _scoped_chunks(split: Callable[[str], list[tuple[str, dict[str, str]]]]):
-    @F.pandas_udf("array<struct<text:string,scope:map<string,string>>>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"text": c, "scope": scope} for c, scope in split(t)] if t is not None else [] for t in texts], dtype=object)
+_SCOPED = pa.list_(pa.struct([("text", pa.string()), ("scope", pa.map_(pa.string(), pa.string()))]))
 
-    return chunks
+
+def _scoped_chunks(split: Callable[[str], list[tuple[str, dict[str, str]]]]) -> Callable[[str], Column]:
+    def chunks(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([[{"text": c, "scope": list(scope.items())} for c, scope in split(t)] if t is not None else [] for t in texts.to_pylist()], _SCOPED)]
+
+    return lambda column: per_text("chunks array<struct<text:string,scope:map<string,string>>>", lambda: chunks)(column)["chunks"]
 
 
 def _explode_scoped(docs: DataFrame, chunks) -> DataFrame:

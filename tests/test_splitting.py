@@ -193,3 +193,11 @@ def test_windows_are_held_for_a_portion_only(spark, monkeypatch, size, overlap,
     monkeypatch.setattr(splitters, "token_windows", lambda *of: token_windows(*of) if few() else 0)
     texts = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 1000).alias("text"))
     assert splitters.split_windows(documents(texts, "doc_id", "text"), size, overlap).count() == 2000 * windows
+
+
+def test_chunks_with_headings_are_held_for_a_portion_only(spark):
+    few = few_held(50_000)
+    chunks = splitters._scoped_chunks(lambda text: [(f"{k} {few()}", {f"Header {k}": "a"}) for k in range(50)])
+    texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    made = texts.select(F.explode(chunks("text")).alias("c")).select("c.text")
+    assert made.count() == 2000 * 50 and made.filter("text like '%False'").isEmpty()
