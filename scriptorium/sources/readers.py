@@ -6,11 +6,13 @@ from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.functions.mime import format_of
+from scriptorium.functions.portions import per_text
 from scriptorium.operators.splitting import trim
 from scriptorium.schema import CONTENT, METADATA, merged, metadata
 from scriptorium.session import work_folder
@@ -53,22 +55,25 @@ def read_markdown(files: DataFrame, encoding: str | None = "utf-8") -> DataFrame
     return read_text(files, encoding, "markdown")
 
 
+_PARSED = pa.list_(pa.struct([("content", pa.string()), ("meta", pa.map_(pa.string(), pa.string()))]))
+
+
 def _parsed(files: DataFrame, column: str, parse: Callable[[object], Parsed], skip_errors: bool = False) -> DataFrame:
     """The documents that ``parse`` makes of each file; only its column goes to Python. A file it fails on is an error, or left out."""
 
     def documents(value) -> list[dict]:
         try:
-            return [{"content": c, "meta": m} for c, m in parse(value)] if value is not None else []
+            return [{"content": c, "meta": list(m.items())} for c, m in parse(value)] if value is not None else []
         except Exception:
             if not skip_errors:
                 raise
             return []
 
-    @F.pandas_udf("array<struct<content:string,meta:map<string,string>>>")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([documents(v) for v in values], dtype=object)
+    def run(values: pa.Array) -> list[pa.Array]:
+        return [pa.array([documents(v) for v in values.to_pylist()], _PARSED)]
 
-    cut = files.select("path", F.posexplode(run(column)).alias("k", "d"))
+    found = per_text("found array<struct<content:string,meta:map<string,string>>>", lambda: run)(column)["found"]
+    cut = files.select("path", F.posexplode(found).alias("k", "d"))
     return _document(cut, F.col("d.content"), F.col("d.meta"), F.col("k"))
 
 
@@ -98,14 +103,17 @@ def _page(html: str) -> Parsed:
     return [(parsing.html_to_markdown(html), {"format": "markdown", "originalFormat": "html", "convertedBy": "html-parser"})]
 
 
+_ELEMENTS = pa.list_(pa.struct([("tag", pa.string()), ("position", pa.int32()), ("inner", pa.string())]))
+
+
 def html_elements(pages: DataFrame, key: str, html: str, tags: tuple[str, ...] = parsing.HTML_TAGS) -> DataFrame:
     """Non-empty elements of pages, tag by tag in the order given, with their position in the page without scripts."""
 
-    @F.pandas_udf("array<struct<tag:string,position:int,inner:string>>")
-    def elements(texts: pd.Series) -> pd.Series:
-        return pd.Series([parsing.elements(t, tags) if t is not None else [] for t in texts], dtype=object)
+    def found(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([parsing.elements(t, tags) if t is not None else [] for t in texts.to_pylist()], _ELEMENTS)]
 
-    page = pages.select(F.col(key).alias("path"), elements(tx.drop_scripts(html)).alias("found"))
+    elements = per_text("found array<struct<tag:string,position:int,inner:string>>", lambda: found)
+    page = pages.select(F.col(key).alias("path"), elements(tx.drop_scripts(html))["found"].alias("found"))
     each = page.select("path", F.posexplode("found").alias("k", "e"))
     each = each.withColumn("text", tx.strip_tags("e.inner")).filter("text <> ''")
     return _document(each, F.col("text"), metadata(format="html", element=F.col("e.tag"), position=F.col("e.position")), F.col("k"))

@@ -1,11 +1,13 @@
 import io
 import re
+import sys
 import time
 import zipfile
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from scriptorium.operators.processors import clean_text, enrich
 from scriptorium.plans.service import fresh, not_cached, process_buffers
@@ -167,3 +169,19 @@ def test_refused_files_and_reader_options(spark, tmp_path):
     assert listed.count() == 3 and {r.metadata.get("k") or r.metadata.get("n") for r in listed.collect()} == {"1", "5", None}
     long = spark.createDataFrame([("x", "word " * 500, {})], "doc_id string, page_content string, metadata map<string,string>")
     assert [len(r.page_content) <= 1000 for r in load_and_split(long).collect()] == [True] * 3
+
+
+def test_elements_are_held_for_a_portion_of_pages_only(spark):
+    class Tags(tuple):
+        """Tags that are looked at for each page, and then tell whether the interpreter holds many more objects than at first."""
+
+        first: list = []
+
+        def __iter__(self):
+            Tags.first.append(sys.getallocatedblocks())
+            if Tags.first[-1] - Tags.first[0] > 1_000_000:
+                raise MemoryError("the elements of too many pages are held")
+            return super().__iter__()
+
+    pages = spark.range(0, 2000, 1, 1).select(F.col("id"), F.repeat(F.lit("<p>0123456789</p>"), 500).alias("html"))
+    assert readers.html_elements(pages, "id", "html", Tags(("h1", "p"))).count() == 2000 * 500
