@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import mime
 from scriptorium.functions import text as tx
+from scriptorium.functions.portions import per_text
 from scriptorium.operators import metrics, processors, splitters, state, tasks, validation
 from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, RecursiveRules
 from scriptorium.plans.result_cache import ResultCache
@@ -459,11 +459,10 @@ def outline(text: str) -> str:
 
 
 def _outlined(t) -> DataFrame:
-    @F.pandas_udf("string")
-    def marked(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(outline)
+    def marked(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([outline(x or "") for x in texts.to_pylist()], pa.string())]
 
-    return documents(t("documents"), "doc_id", marked("text"))
+    return documents(t("documents"), "doc_id", per_text("text string", lambda: marked)("text")["text"])
 
 
 @_query()

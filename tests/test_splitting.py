@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import splitters
 from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, MarkdownRules, RecursiveRules, separators_for, to_json, token_windows
+from scriptorium.plans import queries
 from scriptorium.schema import documents
 
 
@@ -201,3 +202,12 @@ def test_chunks_with_headings_are_held_for_a_portion_only(spark):
     texts = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
     made = texts.select(F.explode(chunks("text")).alias("c")).select("c.text")
     assert made.count() == 2000 * 50 and made.filter("text like '%False'").isEmpty()
+
+
+def test_outlined_texts_are_held_for_a_portion_only(spark, monkeypatch):
+    """A worker makes the lines of a portion of texts and hands them on; what it holds is told by a mark."""
+    few = few_held(2500)
+    monkeypatch.setattr(queries, "outline", lambda text: f"# {few()} {text}")
+    texts = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    made = queries._outlined(lambda name: texts)
+    assert made.count() == 4000 and made.filter("page_content like '# False%'").isEmpty()
