@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits, whitespace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as scripts on the web know it: Unicode's, and the byte order mark.
 _BLANK = r"[\s\x{FEFF}]"
+#: The same as characters.
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def _col(x: Column | str) -> Column:
@@ -14,8 +18,8 @@ def _col(x: Column | str) -> Column:
 
 
 def trim_all(text: Column | str) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(_col(text), rf"(?U)\A{_BLANK}+", ""), rf"(?U){_BLANK}+\z", "")
+    """Without white space of any kind at both ends; only the ends are looked at, whatever runs of blanks the text holds."""
+    return F.trim(_col(text), F.lit(_BLANKS))
 
 
 def clean(text: Column | str) -> Column:
@@ -45,21 +49,33 @@ def line_count(text: Column | str) -> Column:
     return F.size(F.split(_col(text), "\n", -1)).cast("bigint")
 
 
+def _share_without(text: Column, plain: str, others: str) -> Column:
+    """Share of characters that aren't in a class, which is given by its ASCII characters and a pattern; null for an empty text.
+
+    The ASCII ones go first, without a match for each run of them. The result stands in no
+    branch, so that Spark computes it once for all that use it in a row.
+    """
+    size = F.length(text)
+    left = F.length(F.regexp_replace(F.translate(text, plain, ""), f"{others}++", ""))
+    return left / F.when(size > 0, size)
+
+
 def special_ratio(text: Column | str) -> Column:
     """Share of characters that are neither ASCII word characters, white space nor CJK; 0 for an empty text."""
     text = _col(text)
-    special = F.length(F.regexp_replace(text, r"[\w\s\x{4E00}-\x{9FA5}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]", ""))
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(special / F.length(text))
+    share = _share_without(text, ascii_letters + digits + whitespace + "_", r"[\w\s\x{4E00}-\x{9FA5}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]")
+    return F.coalesce(share, F.when(F.length(text) == 0, 0.0))
 
 
 def looks_scanned(text: Column | str, pages: Column | str) -> Column:
     """Whether a PDF's extracted text suggests that its pages are images."""
     text, pages = _col(text), _col(pages)
     trimmed = trim_all(text)
-    average = F.length(trimmed) / pages
+    size = F.length(trimmed)
+    average = F.when(size > 0, size / pages)
     special = special_ratio(trimmed)
-    readable = F.length(F.regexp_replace(trimmed, r"[^a-zA-Z0-9\x{4E00}-\x{9FA5}]", "")) / F.length(trimmed)
-    return F.when(F.length(trimmed) == 0, True).otherwise((average < 100) | (special > 0.3) | (readable < 0.5) | ((average < 200) & (special > 0.2)))
+    unreadable = _share_without(trimmed, ascii_letters + digits, r"[\x{4E00}-\x{9FA5}]")
+    return (size == 0) | (average < 100) | (special > 0.3) | (unreadable > 0.5) | ((average < 200) & (special > 0.2))
 
 
 def pdf_info(text: Column | str, pages: Column | str) -> Column:

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -19,6 +20,26 @@ def test_clean(spark):
     assert one(spark, tx.clean("t"), t="") == ""
 
 
+def test_trim_takes_what_the_pattern_for_white_space_takes(spark):
+    blank = r"[\s\x{FEFF}]"
+    points = spark.range(1, 0x10000).filter("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    texts = points.select(F.concat("c", "c", F.lit("x"), "c", F.lit("y"), "c").alias("t"))
+    pattern = F.regexp_replace(F.regexp_replace("t", rf"(?U)\A{blank}+", ""), rf"(?U){blank}+\z", "")
+    assert texts.filter(~tx.trim_all("t").eqNullSafe(pattern)).isEmpty()
+
+
+def test_trim_and_scan_of_long_runs_of_blanks_take_linear_time(spark):
+    began = time.time()
+    runs = spark.range(1).select(F.concat(F.lit("x"), F.repeat(F.lit(" "), 300_000), F.lit("y")).alias("t"))
+    assert runs.select(F.length(tx.trim_all("t")), tx.special_ratio(tx.trim_all("t")), tx.looks_scanned("t", F.lit(1))).first() == (300_002, 0.0, True)
+    assert time.time() - began < 10
+
+
+def test_scan_heuristic_of_empty_and_missing_values(spark):
+    found = spark.createDataFrame([("", 0), (" ", 0), (None, 1), ("a" * 300, 1), ("#é" * 300, 1)], "t string, p int")
+    assert [tuple(r) for r in found.select(tx.looks_scanned("t", "p"), tx.special_ratio("t")).collect()] == [(True, 0.0), (True, 0.0), (None, None), (False, 0.0), (True, 1.0)]
+
+
 def test_counts(spark):
     assert one(spark, tx.word_count("t"), t=" a b　c\n") == 3
     assert one(spark, tx.word_count("t"), t=" \n") == 0
