@@ -12,6 +12,7 @@ after a failure replaces what it wrote, and each page is worked on once.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime, timezone
@@ -31,6 +32,8 @@ STEP = "task_id long, page long, attempt int, total long, completed long, failed
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: How long a task is remembered after it was last touched, and pages handed out to a task at a time.
 DAYS, PORTION = 7, 1000
+#: Pages whose outcomes are one value of the state.
+BLOCK = 1000
 #: Batches without input would follow one another without end; what has expired goes with the next input.
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 
@@ -66,13 +69,16 @@ class _Steps(StatefulProcessor):
         ttl = self.days * 86_400_000
         # next: how many pages of the run's list have been looked at; waiting: pages handed out whose attempts haven't come back.
         self.task = handle.getValueState("task", "total long, cancelled boolean, next long, waiting long, completed long, failed long, only array<long>, skip array<long>, listed boolean", ttl)
-        self.pages = handle.getMapState("pages", "page long", "succeeded boolean, failed boolean, attempts int", ttl)
+        # The pages of a block in one value, as each access is a call to the JVM: for a page its attempts times four, 2 if one failed, 1 if one succeeded.
+        self.pages = handle.getMapState("pages", "block long", "pages binary", ttl)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         events = [r.asDict() for r in rows]
         names = ("total", "cancelled", "next", "waiting", "completed", "failed", "only", "skip", "listed")
-        held = dict(zip(names, self.task.get(), strict=True)) if self.task.exists() else None
+        found = self.task.get()
+        held = dict(zip(names, found, strict=True)) if found is not None else None
         deleted = False
+        self.blocks, self.changed = {}, set()
         for e in (e for e in events if e["kind"] == "attempt"):
             if held:
                 self._record(held, int(e["page"]), e["status"] == SUCCESS)
@@ -81,13 +87,15 @@ class _Steps(StatefulProcessor):
         now = datetime.now(timezone.utc)
         if held is None:
             self.task.clear()
-            self.pages.clear()
+            self._forget()
             if deleted:
                 yield _STEP_ROW(key[0], None, None, 0, 0, 0, DELETED, now)
             return
         out = [] if held["waiting"] else list(islice(self._left(held), self.portion))
         held["waiting"] += len(out)
         self.task.update(tuple(held[n] for n in names))
+        for block in self.changed:
+            self.pages.updateValue((block,), (self.blocks[block].tobytes(),))
         status = status_of(held["total"], held["completed"], held["failed"], held["cancelled"])
         status = PROCESSING if status == PENDING and held["waiting"] else status
         last = (held["total"], held["completed"], held["failed"], status, now)
@@ -95,12 +103,27 @@ class _Steps(StatefulProcessor):
         for page, attempt in out:
             yield _STEP_ROW(key[0], page, attempt, *last)
 
+    def _page(self, page: int) -> tuple[array, int]:
+        """The block that holds a page, read once for the rows at hand, and the page's place in it."""
+        block, place = divmod(page, BLOCK)
+        if block not in self.blocks:
+            found = self.pages.getValue((block,))
+            self.blocks[block] = array("Q", bytes(found[0]) if found else b"")
+        return self.blocks[block], place
+
+    def _forget(self) -> None:
+        self.pages.clear()
+        self.blocks, self.changed = {}, set()
+
     def _record(self, held: dict, page: int, succeeded: bool) -> None:
-        old = self.pages.getValue((page,)) or (False, False, 0)
+        pages, place = self._page(page)
+        pages.extend([0] * (place + 1 - len(pages)))
+        old, new = pages[place], 1 if succeeded else 2
         held["waiting"] = max(0, held["waiting"] - 1)
-        held["completed"] += succeeded and not old[0]
-        held["failed"] += not succeeded and not old[1]
-        self.pages.updateValue((page,), (old[0] or succeeded, old[1] or not succeeded, old[2] + 1))
+        held["completed"] += succeeded and not old & 1
+        held["failed"] += not succeeded and not old & 2
+        pages[place] = (old | new) + 4
+        self.changed.add(page // BLOCK)
 
     def _command(self, held: dict | None, deleted: bool, e: dict) -> tuple[dict | None, bool]:
         if e["kind"] == "delete":
@@ -110,7 +133,7 @@ class _Steps(StatefulProcessor):
             return (held | {"cancelled": True} if held and not over else held), deleted
         if held is None:
             if deleted:
-                self.pages.clear()
+                self._forget()
             held = {"total": int(e["total"]), "cancelled": False, "waiting": 0, "completed": 0, "failed": 0}
         if over:
             return held, deleted
@@ -125,9 +148,10 @@ class _Steps(StatefulProcessor):
         while held["next"] < size and not held["cancelled"]:
             page = int(held["only"][held["next"]]) if held["listed"] else held["next"] + 1
             held["next"] += 1
-            old = (self.pages.getValue((page,)) if seen else None) or (False, False, 0)
-            if page not in skip and not old[0]:
-                yield page, old[2] + 1
+            pages, place = self._page(page) if seen else ((), 0)
+            old = pages[place] if place < len(pages) else 0
+            if page not in skip and not old & 1:
+                yield page, old // 4 + 1
 
     def close(self) -> None:
         pass

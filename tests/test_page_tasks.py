@@ -1,9 +1,10 @@
 """Page tasks: resumed, stopped, replayed and forgotten."""
 
 import pytest
+from pyspark.sql import Row
 
 from scriptorium.operators import tasks
-from scriptorium.streaming.page_tasks import PageTasks, status_of
+from scriptorium.streaming.page_tasks import PageTasks, _Steps, status_of
 
 
 @pytest.fixture
@@ -102,3 +103,46 @@ def test_deleted_tasks_begin_anew(spark, store):
 
 def test_status_rule():
     assert [status_of(*x) for x in ((0, 0, 0, False), (3, 0, 0, False), (3, 1, 1, False), (3, 2, 1, False), (3, 0, 3, False), (3, 3, 0, True))] == ["pending", "pending", "processing", "completed", "failed", "cancelled"]
+
+
+class _Value:
+    """Stands for a value or a map of the state, and counts the calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("update", "updateValue"):
+                self.held[args[:-1]] = args[-1]
+            elif name == "clear":
+                self.held.clear()
+            elif name == "exists":
+                return bool(self.held)
+            else:
+                return self.held.get(args)
+
+        return call
+
+
+def test_calls_to_the_state_do_not_grow_with_pages():
+    steps = _Steps(2000, 7)
+    steps.task, steps.pages = _Value(), _Value()
+    start = {"kind": "start", "total": 1500, "only": None, "skip": None, "page": None, "status": None, "at": 0}
+    out = list(steps.handleInputRows((1,), iter([Row(**start)]), None))
+    assert [r.page for r in out[1:]] == list(range(1, 1501))
+    tried = [Row(**start | {"kind": "attempt", "page": r.page, "status": "failed" if r.page % 3 == 0 else "success"}) for r in out[1:]]
+    assert [tuple(r)[3:7] for r in steps.handleInputRows((1,), iter(tried), None)] == [(1500, 1000, 500, "completed")]
+    assert steps.task.calls + steps.pages.calls <= 12
+
+
+def test_pages_of_several_blocks_are_tried_again_and_counted_once():
+    steps = _Steps(5000, 7)
+    steps.task, steps.pages = _Value(), _Value()
+    start = {"kind": "start", "total": 2500, "only": None, "skip": [2], "page": None, "status": None, "at": 0}
+    attempt = lambda page, status: Row(**start | {"kind": "attempt", "page": page, "status": status})
+    list(steps.handleInputRows((1,), iter([Row(**start)]), None))
+    list(steps.handleInputRows((1,), iter([attempt(p, "failed" if p in (999, 1000, 2500) else "success") for p in range(1, 2501) if p != 2]), None))
+    out = list(steps.handleInputRows((1,), iter([Row(**start | {"skip": None})]), None))
+    assert [(r.page, r.attempt) for r in out[1:]] == [(2, 1), (999, 2), (1000, 2), (2500, 2)]
