@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.portions import per_text
-from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, MarkdownRules, RecursiveRules, token_windows
+from scriptorium.operators.splitting import CharacterRules, HtmlRules, JsonRules, MarkdownRules, RecursiveRules, token_windows  # noqa: F401: the number of windows is taken from here
 from scriptorium.schema import CONTENT, METADATA, merged, metadata, unused
 
 #: Separators of chunk size control: headings first.
@@ -30,7 +30,8 @@ def _text_chunks(split: Callable[[str], list[str]]) -> Callable[[str], Column]:
 def _explode_chunks(docs: DataFrame, chunks) -> DataFrame:
     held, k, text = (unused(n, docs) for n in ("chunks", "chunk_k", "chunk_text"))
     other = [F.col(f"`{c}`") for c in docs.columns if c not in (CONTENT, METADATA, "chunk_index")]
-    cut = docs.withColumn(held, chunks).select(*other, METADATA, F.posexplode(held).alias(k, text))
+    # Of an inner posexplode Spark would filter by the size of its array, making it twice.
+    cut = docs.withColumn(held, chunks).select(*other, METADATA, F.posexplode_outer(held).alias(k, text)).filter(F.col(k).isNotNull())
     index = F.col(k).cast("bigint")
     return cut.select(*other, index.alias("chunk_index"), F.col(text).alias(CONTENT), merged(F.col(METADATA), metadata(chunkIndex=index)).alias(METADATA))
 
@@ -50,14 +51,16 @@ def split_language(docs: DataFrame, language: str, **options) -> DataFrame:
 
 
 def split_windows(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Windows of ``size`` code points with ``overlap``, untrimmed; the number of windows has a closed form.
+    """Windows of ``size`` code points with ``overlap``, untrimmed; token_windows() tells their number.
 
-    One Arrow pass, as an expression would walk from a text's start to each of its windows.
+    A pattern, so that no text leaves the JVM: each match looks ahead for a window and goes on by
+    a stride, or to the end if the window reaches it. Possessive counts neither go back nor recurse,
+    so that the time is linear in the text; substrings would be sought from a text's start each.
     """
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the chunk size")
-    stride = size - overlap
-    return _explode_chunks(docs, _text_chunks(lambda t: [t[k * stride : k * stride + size] for k in range(token_windows(len(t), size, overlap))])(CONTENT))
+    windows = f"(?s)(?=(.{{1,{size}}}+))(?:.{{{size - overlap}}}(?=.{{{overlap + 1}}})|.++)"
+    return _explode_chunks(docs, F.regexp_extract_all(CONTENT, F.lit(windows), F.lit(1)))
 
 
 _SCOPED = pa.list_(pa.struct([("text", pa.string()), ("scope", pa.map_(pa.string(), pa.string()))]))

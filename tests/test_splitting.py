@@ -196,6 +196,19 @@ def test_windows_are_held_for_a_portion_only(spark, monkeypatch, size, overlap,
     assert splitters.split_windows(documents(texts, "doc_id", "text"), size, overlap).count() == 2000 * windows
 
 
+@pytest.mark.parametrize(("size", "overlap"), [(1000, 200), (100, 30), (5, 0), (1, 0), (7, 6)])
+def test_windows_are_cut_without_python(spark, size, overlap):
+    rng = random.Random(size)
+    stride = size - overlap
+    lengths = [0, 1, stride, size - 1, size, size + 1, size + stride - 1, size + stride, size + stride + 1, 5 * size + 3]
+    texts = ["".join(rng.choices("aé日😀\n\r\u2028 \0", k=n)) for n in lengths for _ in range(3)] + [None]
+    docs = documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    made = splitters.split_windows(docs, size, overlap)
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    want = [(i, k, t[k * stride : k * stride + size]) for i, t in enumerate(texts) if t for k in range(token_windows(len(t), size, overlap))]
+    assert sorted(map(tuple, made.select("doc_id", "chunk_index", "page_content").collect())) == want
+
+
 def test_chunks_with_headings_are_held_for_a_portion_only(spark):
     few = few_held(50_000)
     chunks = splitters._scoped_chunks(lambda text: [(f"{k} {few()}", {f"Header {k}": "a"}) for k in range(50)])
