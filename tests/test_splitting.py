@@ -209,6 +209,13 @@ def test_windows_are_cut_without_python(spark, size, overlap):
     assert sorted(map(tuple, made.select("doc_id", "chunk_index", "page_content").collect())) == want
 
 
+def test_windows_of_a_very_long_text_take_linear_time(spark):
+    docs = documents(spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a日😀\n"), 5_000_000).alias("text")), "doc_id", "text")
+    began = time.monotonic()
+    assert splitters.split_windows(docs, 100, 30).count() == token_windows(20_000_000, 100, 30)
+    assert time.monotonic() - began < 30
+
+
 def test_chunks_with_headings_are_held_for_a_portion_only(spark):
     few = few_held(50_000)
     chunks = splitters._scoped_chunks(lambda text: [(f"{k} {few()}", {f"Header {k}": "a"}) for k in range(50)])
