@@ -11,6 +11,7 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,6 +177,53 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
+# Segments ---------------------------------------------------------------
+
+#: The UTF-8 bytes of white space beyond ASCII, of the space mark of SentencePiece too, as numbers.
+_WIDE = np.array([0xC285, 0xC2A0, 0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080, 0xE29681])
+_NARROW = np.zeros(256, dtype=bool)
+_NARROW[[*WHITE, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+
+
+def space_segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts (strings) behind a space each, cut before every space that follows something else than white space or a space mark.
+
+    Returns the distinct segments, for every segment which of them it is, and where each text's
+    segments start and end; null and empty texts have none.
+    """
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pc.fill_null(texts, "")), "")
+    raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[: lengths.sum()]
+    filled = lengths > 0
+    raw = np.insert(raw, (np.cumsum(lengths) - lengths)[filled], 32)
+    bounds = np.concatenate(([0], np.cumsum(lengths + filled)))
+    at = np.flatnonzero(raw == 32)
+    before = raw[at - 1].astype(np.int64)
+    white = _NARROW[before]
+    wide = np.flatnonzero(before >= 128)
+    two = (raw[at[wide] - 2].astype(np.int64) << 8) | before[wide]
+    white[wide] = np.isin(two, _WIDE) | np.isin((raw[at[wide] - 3].astype(np.int64) << 16) | two, _WIDE)
+    white[np.searchsorted(at, bounds[:-1][filled])] = False
+    starts = at[~white]
+    offsets = np.append(starts, len(raw)).astype(np.int32)
+    coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.searchsorted(starts, bounds)
+
+
+def gather(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of ``values``, one after the other; run k is values[starts[k]:starts[k + 1]]."""
+    sizes = np.diff(starts)[which]
+    return values[np.arange(sizes.sum()) + np.repeat(starts[which] - (np.cumsum(sizes) - sizes), sizes)]
+
+
+def valid_strings(texts: pa.Array) -> pa.Array:
+    """Bytes as strings; what isn't UTF-8 is replaced."""
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") if t is not None else None for t in texts.to_pylist()], pa.string())
+
+
 def worker_threads(count: int) -> None:
     """Threads that the tokenizers library may use in this Python worker."""
     os.environ["RAYON_NUM_THREADS"] = str(count)

@@ -9,25 +9,21 @@ encoded and aligned once as long as it is remembered, many of them in one pass o
 
 from __future__ import annotations
 
-import re
-from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import add_fields, broadcast_if_small, per_text, unused, utf8, work_table, worker_threads
+from scriptorium.llm.common import add_fields, broadcast_if_small, gather, per_text, space_segments, unused, utf8, valid_strings, work_table, worker_threads
 from scriptorium.llm.sentencepiece_codec import BPE, BYTE, MARK, USER, Model
 from scriptorium.llm.token_counts import load_tokenizer
 
-#: Segments aligned in one go, bytes of segments remembered in a worker, about, and characters of the longest one remembered.
-CALL_SEGMENTS, MEMORY_BYTES, MEMORY_CHARS = 10_000, 64_000_000, 256
-_INNER = re.compile(r"(?<=\S)(?= )")
-_ODD = re.compile(r"\s |\x1f")
-_CUT = "\x1f"
+#: Segments aligned in one go, those that B gets as one text, bytes of segments remembered in a worker, about, and characters of the longest one remembered.
+CALL_SEGMENTS, JOINED, MEMORY_BYTES, MEMORY_CHARS = 10_000, 100, 160_000_000, 256
 
 
 # Bitsets ----------------------------------------------------------------
@@ -90,8 +86,8 @@ def sentence_pieces(model: Model) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
 
 
-#: An aligned segment: its groups as text, its links (an A id and a B id in one number each), and how many tokens of A and B.
-Aligned = tuple[str, bytes, int, int]
+#: An aligned segment: its groups as text, its links (an A id and a B id in one number each), and how many tokens of A and B (in one number, too).
+Aligned = tuple[str, bytes, int]
 
 
 class Aligner:
@@ -109,40 +105,38 @@ class Aligner:
         self.second = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.pieces = byte_level_pieces(self.first), sentence_pieces(model)
         self.sizes = tuple(np.array([len(p) for p in pieces], np.int64) for pieces in self.pieces)
-        # Every id as it is written among the groups: before another one of its side, and as the last of its side.
-        self.written = tuple([f"{k}{mark}" for k in range(len(pieces)) for mark in (",", last)] for pieces, last in zip(self.pieces, "|;", strict=True))
+        # Every id as it is written among the groups: before another one of its side, and as the last of its side; B's come after A's.
+        self.written = [f"{k}{mark}" for pieces, last in zip(self.pieces, "|;", strict=True) for k in range(len(pieces)) for mark in (",", last)]
+        self.widths = np.array([len(w) for w in self.written], np.int64)
         #: What encoding a space at the end of a text adds; by itself the library makes nothing of it.
         one = self.second.encode("a")
         self.trailing = self.second.encode("a ")[len(one) :]
         #: Segments with what they align to, None where the tokens of one side don't join to the text.
         self.memory: dict[str, Aligned | None] = {}
         self.held = 0
-
-    def learn(self, distinct: set[str]) -> None:
-        """Align the segments that aren't remembered; each starts with a space."""
-        if self.held > MEMORY_BYTES:  # what these texts need is most likely to be needed again
-            self.memory = {s: self.memory[s] for s in distinct if s in self.memory}
-            self.held = sum(map(_weight, self.memory))
-        new = [s for s in distinct if s not in self.memory]
+        self.again: set[str] = set()  # segments that were needed again since memory was last emptied
+
+    def learn(self, distinct: set[str]) -> list[str]:
+        """Align the segments that aren't remembered; each starts with a space. Returns the new ones."""
+        if self.held > MEMORY_BYTES:  # what these texts need, and what was needed again, is most likely to be needed again
+            keep = distinct | self.again if 2 * len(self.again) < len(self.memory) else distinct
+            self.memory = {s: self.memory[s] for s in keep if s in self.memory}
+            self.held, self.again = _weight(self.memory), set()
+        new = list(distinct.difference(self.memory))
+        self.again.update(distinct.difference(new))
         for k in range(0, len(new), CALL_SEGMENTS):
-            part = new[k : k + CALL_SEGMENTS]
-            part, flat_a = self._encode_first(part)
-            if not part:
-                continue
-            b = self.second.encode([s[1:] for s in part], num_threads=1)
-            if " " in part:
-                b[part.index(" ")] = self.trailing
-            flat_b = np.fromiter(chain.from_iterable(b), np.int64)
-            self._align(part, flat_a, flat_b, np.fromiter(map(len, b), np.int64, len(b)))
-        self.held += sum(map(_weight, new))
+            part, flat_a = self._encode_first(new[k : k + CALL_SEGMENTS])
+            if part:
+                self._align(part, flat_a, self._encode_second(part))
+        self.held += _weight(new)
+        return new
 
     def _encode_first(self, part: list[str]) -> tuple[list[str], np.ndarray]:
         """The segments whose bytes A keeps, and its ids of them; the others are remembered as having none.
 
         Segments that end in something other than white space can't reach into the next one, so they make one text.
         """
-        part = sorted(part, key=lambda s: s[-1].isspace())
-        closed = sum(not s[-1].isspace() for s in part)
+        part, closed = _closed_first(part)
         joined = self.first.encode_batch_fast(["".join(part[:closed]), *part[closed:]], add_special_tokens=False)
         flat = np.concatenate([np.array(e.ids, np.int64) for e in joined])
         if self._bytes(0, flat) == "".join(part).encode():
@@ -153,26 +147,33 @@ class Aligner:
         kept = [(s, ids) for s, ids, ok in zip(part, each, same, strict=True) if ok]
         return [s for s, _ in kept], np.fromiter(chain.from_iterable(ids for _, ids in kept), np.int64)
 
-    def _align(self, part: list[str], flat_a: np.ndarray, flat_b: np.ndarray, tokens_b: np.ndarray) -> None:
-        """Remember what the segments align to; ``tokens_b`` tells how many of B's ids are each one's."""
+    def _encode_second(self, part: list[str]) -> np.ndarray:
+        """B's ids of all segments in their order, in which those that end in white space come last; the others are joined, as for A."""
+        part, closed = _closed_first(part)
+        joined = ["".join(part[k : min(k + JOINED, closed)])[1:] for k in range(0, closed, JOINED)]
+        ids = self.second.encode(joined, num_threads=1) + self._encode_second_each(part[closed:])
+        return np.fromiter(chain.from_iterable(ids), np.int64)
+
+    def _encode_second_each(self, part: list[str]) -> list[list[int]]:
+        ids = self.second.encode([s[1:] for s in part], num_threads=1)
+        if " " in part:
+            ids[part.index(" ")] = self.trailing
+        return ids
+
+    def _align(self, part: list[str], flat_a: np.ndarray, flat_b: np.ndarray) -> None:
+        """Remember what the segments align to."""
         raw = [s.encode() for s in part]
         ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
         ends_a, ends_b = self.sizes[0][flat_a].cumsum(), self.sizes[1][flat_b].cumsum()
-        whole, upto = b"".join(raw), np.cumsum(tokens_b)
         # Whether B's bytes join to the text is told for all segments at once, and if they don't, one by one.
-        if len(ends_b) == 0 or ends_b[-1] != ends[-1] or (ends_b[upto - 1] != ends).any() or (tokens_b == 0).any() or self._bytes(1, flat_b) != whole:
-            start, ids = 0, flat_b.tolist()
-            same = []
-            for k, end in enumerate(upto.tolist()):
-                same.append(b"".join(map(self.pieces[1].__getitem__, ids[start:end])) == raw[k])
-                start = end
-            for k, ok in enumerate(same):
-                if not ok:
-                    self.memory[part[k]] = None
+        if not np.isin(ends, ends_b, assume_unique=True).all() or self._bytes(1, flat_b) != b"".join(raw):
+            each = self._encode_second_each(part)
+            same = [b"".join(map(self.pieces[1].__getitem__, ids)) == text for ids, text in zip(each, raw, strict=True)]
+            self.memory.update((s, None) for s, ok in zip(part, same, strict=True) if not ok)
             if any(same):
-                keep = np.array(same)
-                own_a = np.repeat(keep, np.diff(np.searchsorted(ends_a, ends), prepend=-1))
-                self._align([s for s, ok in zip(part, same, strict=True) if ok], flat_a[own_a], flat_b[np.repeat(keep, tokens_b)], tokens_b[keep])
+                own_a = np.repeat(np.array(same), np.diff(np.searchsorted(ends_a, ends), prepend=-1))
+                kept = [(s, ids) for s, ids, ok in zip(part, each, same, strict=True) if ok]
+                self._align([s for s, _ in kept], flat_a[own_a], np.fromiter(chain.from_iterable(ids for _, ids in kept), np.int64))
             return
         _, rank_a, rank_b = shared_cuts(ends_a, ends_b, int(ends[-1]))
         links = ((flat_a[rank_a - 1] << 32) | flat_b[rank_b - 1]).tobytes()
@@ -180,47 +181,55 @@ class Aligner:
         last_a, last_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
         last_a[rank_a - 1] = last_b[rank_b - 1] = 1
         size_a, size_b = np.diff(rank_a, prepend=0), np.diff(rank_b, prepend=0)
-        texts = np.empty(len(flat_a) + len(flat_b), object)
-        texts[np.arange(len(flat_a)) + np.repeat(rank_b - size_b, size_a)] = list(map(self.written[0].__getitem__, (2 * flat_a + last_a).tolist()))
-        texts[np.arange(len(flat_b)) + np.repeat(rank_a, size_b)] = list(map(self.written[1].__getitem__, (2 * flat_b + last_b).tolist()))
-        texts = texts.tolist()
+        marks = np.empty(len(flat_a) + len(flat_b), np.int64)
+        marks[np.arange(len(flat_a)) + np.repeat(rank_b - size_b, size_a)] = 2 * flat_a + last_a
+        marks[np.arange(len(flat_b)) + np.repeat(rank_a, size_b)] = 2 * (len(self.pieces[0]) + flat_b) + last_b
+        text = "".join(map(self.written.__getitem__, marks.tolist()))
         # The ends of segments are cuts, so a segment's groups are those up to the cut at its last token.
-        tokens_a = np.searchsorted(ends_a, ends) + 1
-        groups = np.searchsorted(rank_a, tokens_a) + 1
-        rows = zip(part, tokens_a.tolist(), np.diff(tokens_a, prepend=0).tolist(), upto.tolist(), tokens_b.tolist(), groups.tolist(), strict=True)
-        at = seen = 0
-        for s, end_a, a, end_b, b, end in rows:
-            self.memory[s] = ("".join(texts[at : end_a + end_b])[:-1], links[8 * seen : 8 * end], a, b)
-            at, seen = end_a + end_b, end
+        upto_a, upto_b = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1
+        tokens = (np.diff(upto_a, prepend=0) << 32) | np.diff(upto_b, prepend=0)
+        chars = [0, *self.widths[marks].cumsum()[upto_a + upto_b - 1].tolist()]
+        bytes_ = [0, *(8 * np.searchsorted(rank_a, upto_a) + 8).tolist()]
+        rows = zip(part, chars, chars[1:], bytes_, bytes_[1:], tokens.tolist(), strict=False)
+        self.memory.update([(s, (text[a : b - 1], links[c:d], n)) for s, a, b, c, d, n in rows])
 
     def _bytes(self, side: int, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces[side].__getitem__, ids.tolist()))
 
     def align(self, texts: list[str]) -> list[list[Aligned]]:
         """The aligned segments of each text behind a space; none if it is empty or the tokens of either side don't join to it."""
-        cut = [segments(t) if t and MARK not in t else [] for t in texts]
-        distinct = set().union(*cut)
-        self.learn(distinct)
-        known = self.memory.__getitem__
-        out = [list(map(known, parts)) for parts in cut]
-        for s in distinct:
-            if len(s) > MEMORY_CHARS:
-                del self.memory[s]
-                self.held -= _weight(s)
-        return [[] if None in parts else parts for parts in out]
-
-
-def segments(text: str) -> list[str]:
-    """A space and the text, cut before every space that follows a character other than white space."""
-    if text[0] == " " or _ODD.search(text):
-        return _INNER.split(" " + text)
-    first, *rest = text.replace(" ", _CUT + " ").split(_CUT)
-    return [" " + first, *rest]
-
-
-def _weight(segment: str) -> int:
-    """Bytes that remembering a segment takes, about."""
-    return 450 + 30 * len(segment)
+        aligned, which, bounds = self.align_segments(pa.array(texts, pa.string()))
+        return [[aligned[k] for k in which[a:b].tolist()] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def align_segments(self, texts: pa.Array) -> tuple[list[Aligned], np.ndarray, np.ndarray]:
+        """The distinct segments of all texts aligned, for every segment which of them it is, and where each text's segments start and end."""
+        distinct, which, bounds = space_segments(pc.if_else(pc.match_substring(texts, MARK), "", texts))
+        new = self.learn(set(distinct))
+        aligned = list(map(self.memory.__getitem__, distinct))
+        long = [s for s in new if len(s) > MEMORY_CHARS]
+        for s in long:
+            del self.memory[s]
+        self.held -= _weight(long)
+        lost = np.array([x is None for x in aligned], bool)
+        if lost.any():
+            gone = np.diff(np.concatenate(([0], np.cumsum(lost[which])))[bounds]) > 0
+            which = which[np.repeat(~gone, np.diff(bounds))]
+            bounds = np.concatenate(([0], np.cumsum(np.where(gone, 0, np.diff(bounds)))))
+            aligned = [x or ("", b"", 0) for x in aligned]
+        return aligned, which, bounds
+
+
+def _closed_first(part: list[str]) -> tuple[list[str], int]:
+    """The segments, those that end in white space last, and how many others there are."""
+    still_open = [s for s in part if s[-1].isspace()]
+    if not still_open:
+        return part, len(part)
+    return [s for s in part if not s[-1].isspace()] + still_open, len(part) - len(still_open)
+
+
+def _weight(segments: Collection[str]) -> int:
+    """Bytes that remembering segments takes, about."""
+    return 450 * len(segments) + 30 * sum(map(len, segments))
 
 
 # Tables -----------------------------------------------------------------
@@ -228,22 +237,26 @@ def _weight(segment: str) -> int:
 FIELDS = "n_a long, n_b long, n_groups long, alignment string, link_a array<int>, link_b array<int>, link_times array<int>"
 
 
-def _columns(found: list[list[Aligned]]) -> list[pa.Array]:
-    texts, count_a, count_b, groups, a, b, times, ends = [], [], [], [], [], [], [], [0]
-    for parts in found:
-        text, links, n_a, n_b = zip(*parts, strict=True) if parts else ((), (), (), ())
-        codes = np.frombuffer(b"".join(links), np.int64)
-        texts.append(";".join(text))
-        count_a.append(sum(n_a))
-        count_b.append(sum(n_b))
-        groups.append(len(codes))
-        codes, n = np.unique(codes, return_counts=True)
-        a.append(codes >> 32)
-        b.append(codes & 0xFFFFFFFF)
-        times.append(n)
-        ends.append(ends[-1] + len(codes))
-    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(x).astype(np.int32)) for x in (a, b, times)]
-    return [*(pa.array(x, pa.int64()) for x in (count_a, count_b, groups)), pa.array(texts, pa.string()), *lists]
+def _columns(aligner: Aligner, texts: pa.Array) -> list[pa.Array]:
+    aligned, which, bounds = aligner.align_segments(texts)
+    text, links, tokens = zip(*aligned, strict=True) if aligned else ((), (), ())
+
+    def per_document(of_segments: np.ndarray) -> np.ndarray:
+        return np.diff(np.concatenate(([0], np.cumsum(of_segments[which])))[bounds])
+
+    tokens = np.array(tokens, np.int64)
+    starts = np.cumsum([0, *map(len, links)]) // 8
+    groups = per_document(np.diff(starts))
+    alignment = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(text, pa.string()).take(pa.array(which))), ";")
+    # Distinct links of every document: document and both ids in one number, sorted.
+    codes = gather(np.frombuffer(b"".join(links), np.int64), starts, which)
+    size_a, size_b = map(len, aligner.pieces)
+    codes, times = np.unique((np.repeat(np.arange(len(groups)), groups) * size_a + (codes >> 32)) * size_b + (codes & 0xFFFFFFFF), return_counts=True)
+    rest, b = np.divmod(codes, size_b)
+    document, a = np.divmod(rest, size_a)
+    ends = pa.array(np.searchsorted(document, np.arange(len(groups) + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (a, b, times)]
+    return [*(pa.array(x, pa.int64()) for x in (per_document(tokens >> 32), per_document(tokens & 0xFFFFFFFF), groups)), alignment, *lists]
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, threads: int = 1) -> DataFrame:
@@ -265,7 +278,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, threads: int = 1)
     def make() -> Callable[[pa.Array], list[pa.Array]]:
         worker_threads(threads)
         aligner = Aligner(path_a, path_b)
-        return lambda part: _columns(aligner.align([t.decode("utf-8", "replace") for t in part.to_pylist()]))
+        return lambda part: _columns(aligner, valid_strings(part))
 
     return add_fields(docs, per_text(FIELDS, make)(utf8("text")), [f.split()[0] for f in FIELDS.split(", ")])
 

@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scriptorium.llm import token_alignment
+from scriptorium.llm.common import space_segments
 from scriptorium.llm.queries import QUERIES, tokenizer_path
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -129,3 +132,33 @@ def test_a_first_tokenizer_that_loses_bytes(libraries, tmp_path):
     aligner = token_alignment.Aligner(str(tmp_path / "lossy.json"), tokenizer_path(B))
     found = aligner.align(["the end", "a q here", "quick", "the here"])
     assert [";".join(s[0] for s in parts) for parts in found] == [shown(plain(libraries, [t])[0][2]) if "q" not in t else "" for t in ("the end", "a q here", "quick", "the here")]
+
+
+class Counting:
+    """A SentencePiece processor that counts the texts it is given."""
+
+    def __init__(self, made):
+        self.made, self.texts = made, 0
+
+    def encode(self, texts, **options):
+        self.texts += 1 if isinstance(texts, str) else len(texts)
+        return self.made.encode(texts, **options)
+
+
+def test_new_segments_are_encoded_many_at_a_time(libraries):
+    aligner = token_alignment.Aligner(tokenizer_path(A), tokenizer_path(B))
+    aligner.second = Counting(aligner.second)
+    texts = [" ".join(f"word{k}-{n}" for n in range(50)) for k in range(100)] + ["ends in white \n", "two  spaces", " "]
+    assert [";".join(s[0] for s in parts) for parts in aligner.align(texts)] == [shown(g) for _, _, g, _ in plain(libraries, texts)]
+    assert aligner.second.texts <= 60
+
+
+def test_segments_are_those_of_the_pattern():
+    rng = random.Random(5)
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = ["".join(rng.choices(["a", "é", "日", "😀", " ", "  ", "\n", "▁", *spaces], [40, 9, 9, 9, 40, 9, 9, 9, *[1] * len(spaces)], k=rng.randrange(30))) for _ in range(3000)]
+    sliced = pa.array([None, "x", *texts, None, ""], pa.string()).slice(2)
+    distinct, which, bounds = space_segments(sliced)
+    want = [re.split(r"(?<=[^\s▁])(?= )", " " + t) if t else [] for t in [*texts, None, ""]]
+    assert [[distinct[k] for k in which[a:b]] for a, b in zip(bounds, bounds[1:], strict=False)] == want
+    assert len(set(distinct)) == len(distinct) and space_segments(pa.array([None, ""], pa.string()))[0] == []
