@@ -14,7 +14,7 @@ import hashlib
 import re
 import struct
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from itertools import accumulate, chain
 
 import numpy as np
@@ -26,8 +26,8 @@ from scriptorium.llm.common import add_fields, per_text, utf8, worker_threads
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Segments encoded in one go, bytes of segments remembered in a worker, about, and characters of the longest one remembered.
-CALL_SEGMENTS, MEMORY_BYTES, MEMORY_CHARS = 10_000, 64_000_000, 256
+#: Segments encoded in one go, those that the libraries get as one text, bytes of segments remembered in a worker, about, and characters of the longest one remembered.
+CALL_SEGMENTS, JOINED, MEMORY_BYTES, MEMORY_CHARS = 10_000, 100, 100_000_000, 256
 PROBES = ("", " ", "a", " a", "a ", "  two  spaces ", "Hello, world!", "line\nbreak\ttab\r\n", "Éçà über ñandú", "日本語 テキスト", "😀👩‍🚀", "<s> </s> <unk> <0x0A>", f"{MARK}mark{MARK}", "\x00\x7f​", "é", "1234567890" * 7, "ﬁ ½ Ⅳ")
 
 
@@ -135,6 +135,11 @@ class Codec:
         self.plain = [back[lead:] for back in self.tokenizer.decode_batch([[apart, k] for k in range(len(model.pieces))], skip_special_tokens=False)]
         self.plain = [MARK * 2 if kind in (BYTE, UNKNOWN, CONTROL) else text for text, (_, _, kind) in zip(self.plain, model.pieces, strict=True)]
         self.bytes = frozenset(k for k, (_, _, kind) in enumerate(model.pieces) if kind == BYTE)
+        #: The bytes of each piece, and whether it decodes to something else by itself, or by neighbours.
+        self.raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
+        self.sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.apart = np.array([r != text.encode() for r, text in zip(self.raw, self.plain, strict=True)])
+        self.joinable = model.kind == BPE and self.segmented and model.dummy_prefix
         #: Ids of segments, what the sentencepiece library makes of them, those whose decoding depends on neighbours or differs, and the size of all.
         self.memory: dict[str, bytes] = {}
         self.truth: dict[str, bytes] = {}
@@ -164,43 +169,80 @@ class Codec:
             return _SEGMENT.findall(text)
         return text.replace(" ", _CUT + " ").split(_CUT)[1:]
 
-    def learn(self, distinct: set[str]) -> None:
-        """Encode the segments that aren't remembered, by both libraries, and decode them again."""
+    def learn(self, distinct: set[str]) -> list[str]:
+        """Encode the segments that aren't remembered, by both libraries, and decode them again. Returns the new ones."""
         if self.held > MEMORY_BYTES:
             keep = distinct | self.again if 2 * len(self.again) < len(self.memory) else distinct
             self.memory, self.truth = ({s: m[s] for s in keep if s in m} for m in (self.memory, self.truth))
             self.odd &= self.memory.keys()
-            self.held, self.again = sum(map(_weight, self.memory)), set()
-        new = [s for s in distinct if s not in self.memory]
-        self.again.update(distinct.intersection(self.memory))
+            self.held, self.again = _weight(self.memory), set()
+        new = list(distinct.difference(self.memory))
+        self.again.update(distinct.difference(new))
+        # A segment between others is encoded as by itself if no piece can go on into the next one: it begins with a space and doesn't end in one.
+        joinable = [s for s in new if s[0] == " " != s[-1] and MARK not in s] if self.joinable else []
+        for k in range(0, len(joinable), CALL_SEGMENTS):
+            part = joinable[k : k + CALL_SEGMENTS]
+            if not self._learn_joined(part):
+                self._learn_each(part)
+        rest = list(set(new).difference(joinable))
+        for k in range(0, len(rest), CALL_SEGMENTS):
+            self._learn_each(rest[k : k + CALL_SEGMENTS])
+        self.held += _weight(new)
+        return new
+
+    def _learn_joined(self, part: list[str]) -> bool:
+        """Encode segments many at a time; nothing is learnt if the libraries differ or their tokens don't join to the segments."""
+        joined = ["".join(part[k : k + JOINED]) for k in range(0, len(part), JOINED)]
+        encoded = self.tokenizer.encode_batch_fast([t.replace(" ", MARK) for t in joined], add_special_tokens=False)
+        known = self.oracle.encode([t[1:] for t in joined], num_threads=1)
+        if [e.ids for e in encoded] != known:
+            return False
+        flat = np.fromiter(chain.from_iterable(known), np.int32)
+        raw = [s.encode() for s in part]
+        ends, token_ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))), self.sizes[flat].cumsum()
+        last = np.searchsorted(token_ends, ends)
+        if token_ends[-1] != ends[-1] or (token_ends[last] != ends).any() or b"".join(map(self.raw.__getitem__, flat.tolist())) != b"".join(raw):
+            return False
+        upto = np.concatenate(([0], last + 1))
+        ids, cuts = flat.tobytes(), (4 * upto).tolist()
+        packed = [(s, ids[a:b]) for s, a, b in zip(part, cuts, cuts[1:], strict=False)]
+        self.memory.update(packed)
+        self.truth.update(packed)
+        # Pieces that decode by themselves to what they stand for have done so in the comparison of bytes.
+        apart = np.concatenate(([0], np.cumsum(self.apart[flat])))[upto]
+        self._check_decoding([(part[k], flat[upto[k] : upto[k + 1]].tolist()) for k in np.flatnonzero(np.diff(apart)).tolist()])
+        return True
+
+    def _learn_each(self, part: list[str]) -> None:
+        """Encode segments one by one."""
         ahead = int(self.model.dummy_prefix)
-        for k in range(0, len(new), CALL_SEGMENTS):
-            part = new[k : k + CALL_SEGMENTS]
-            marked = [s.replace(" ", MARK) for s in part]  # cheaper here than in the library's normaliser, which does the same
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
-            known = self.oracle.encode([s[ahead:] for s in part], num_threads=1) if self.model.kind == BPE else encoded
-            if " " in part and self.model.kind == BPE and ahead:  # the library puts no space ahead of an empty text
-                known[part.index(" ")] = self.oracle.encode("a ")[len(self.oracle.encode("a")) :]
-            ends = list(accumulate(map(len, encoded), initial=0))
-            flat = array("i", chain.from_iterable(encoded)).tobytes()
-            packed = {s: flat[4 * a : 4 * b] for s, a, b in zip(part, ends, ends[1:], strict=False)}
-            self.memory.update(packed)
-            if known != encoded:
-                packed = {s: packed[s] if ids == true else array("i", true).tobytes() for s, ids, true in zip(part, encoded, known, strict=True)}
-            self.truth.update(packed)
-            # Pieces other than bytes decode one by one, so the library's decoder is asked for the rest only.
-            rest = [(s, ids) for s, ids in zip(part, encoded, strict=True) if "".join(map(self.plain.__getitem__, ids)) != s]
-            backs = self.decode([ids for _, ids in rest])
-            self.odd.update(s for (s, ids), back in zip(rest, backs, strict=True) if ids[0] in self.bytes or back != s[ahead:] or MARK in s)
-        self.held += sum(map(_weight, new))
-
-    def forget_long(self, distinct: set[str]) -> None:
-        for s in distinct:
-            if len(s) > MEMORY_CHARS:
-                del self.memory[s], self.truth[s]
-                self.odd.discard(s)
-                self.again.discard(s)
-                self.held -= _weight(s)
+        marked = [s.replace(" ", MARK) for s in part]  # cheaper here than in the library's normaliser, which does the same
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+        known = self.oracle.encode([s[ahead:] for s in part], num_threads=1) if self.model.kind == BPE else encoded
+        if " " in part and self.model.kind == BPE and ahead:  # the library puts no space ahead of an empty text
+            known[part.index(" ")] = self.oracle.encode("a ")[len(self.oracle.encode("a")) :]
+        ends = list(accumulate(map(len, encoded), initial=0))
+        flat = array("i", chain.from_iterable(encoded)).tobytes()
+        packed = {s: flat[4 * a : 4 * b] for s, a, b in zip(part, ends, ends[1:], strict=False)}
+        self.memory.update(packed)
+        if known != encoded:
+            packed = {s: packed[s] if ids == true else array("i", true).tobytes() for s, ids, true in zip(part, encoded, known, strict=True)}
+        self.truth.update(packed)
+        # Pieces other than bytes decode one by one, so the library's decoder is asked for the rest only.
+        self._check_decoding([(s, ids) for s, ids in zip(part, encoded, strict=True) if "".join(map(self.plain.__getitem__, ids)) != s])
+
+    def _check_decoding(self, rest: list[tuple[str, list[int]]]) -> None:
+        """Note the segments whose decoding depends on neighbours or differs."""
+        ahead = int(self.model.dummy_prefix)
+        backs = self.decode([ids for _, ids in rest])
+        self.odd.update(s for (s, ids), back in zip(rest, backs, strict=True) if ids[0] in self.bytes or back != s[ahead:] or MARK in s)
+
+    def forget_long(self, new: list[str]) -> None:
+        long = [s for s in new if len(s) > MEMORY_CHARS]
+        for s in long:
+            del self.memory[s], self.truth[s]
+        self.odd.difference_update(long)
+        self.held -= _weight(long)
 
     def encode_packed(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool]]:
         """Of every text its ids, four bytes each, whether decoding gives the normalised text back, and whether the library agrees.
@@ -210,7 +252,7 @@ class Codec:
         normal = [self.normalize(t) for t in texts]
         cut = [self.segments(t) for t in normal]
         distinct = set().union(*cut)
-        self.learn(distinct)
+        new = self.learn(distinct)
         packed = [b"".join(map(self.memory.__getitem__, segments)) for segments in cut]
         wrong = {s for s in distinct if self.memory[s] is not self.truth[s] and self.memory[s] != self.truth[s]}
         odd = distinct & self.odd
@@ -224,7 +266,7 @@ class Codec:
                 packed[k] = array("i", self.oracle.encode(text)).tobytes()
         plain = [parity[k] and (not odd or odd.isdisjoint(segments)) and not (self.reserved and self.reserved.search(texts[k])) for k, segments in enumerate(cut)]
         back = [ok or self.decode([np.frombuffer(packed[k], np.int32).tolist()])[0] == normal[k] for k, ok in enumerate(plain)]
-        self.forget_long(distinct)
+        self.forget_long(new)
         return packed, back, parity
 
     def same_normal(self, text: str, normal: str) -> bool:
@@ -244,9 +286,9 @@ _SEGMENT = re.compile(f"[ {MARK}]+[^ {MARK}]*|[^ {MARK}]+")
 _CUT = "\x1f"
 
 
-def _weight(segment: str) -> int:
-    """Bytes that remembering a segment takes, about."""
-    return 350 + 6 * len(segment)
+def _weight(segments: Collection[str]) -> int:
+    """Bytes that remembering segments takes, about."""
+    return 350 * len(segments) + 6 * sum(map(len, segments))
 
 
 def _coded(codec: Codec, texts: list[str], with_ids: bool) -> list[pa.Array]:

@@ -19,6 +19,44 @@ def test_parity_is_checked_on_every_text():
     assert all(back.to_pylist()) and parity.to_pylist() == [True] * 2 + [False] * 64
 
 
+def test_new_segments_are_encoded_many_at_a_time_and_all_compared():
+    codec = sentencepiece_codec.Codec(tokenizer_path("piece_bpe_32k.model"))
+    library, given = codec.oracle, []
+
+    class Recording:
+        def encode(self, texts, **options):
+            given.extend([texts] if isinstance(texts, str) else texts)
+            return library.encode(texts, **options)
+
+    codec.oracle = Recording()
+    texts = [" ".join(f"word{k}-{n}\u00e9" for n in range(50)) for k in range(100)] + ["a\nb \x07 c", "two  spaces ", " ", "x▁y ▁ z", "日本語 😀", "w" * 300 + " end"]
+    packed, back, parity = codec.encode_packed(texts)
+    assert [list(array("i", ids)) for ids in packed] == library.encode(texts) and all(parity)
+    assert back == ["▁" not in t for t in texts]  # a mark decodes to a space
+    assert len(given) <= 70 and all(f"word{k}-{n}" in "".join(given) for k in range(100) for n in range(50))
+    assert codec.memory.keys() == codec.truth.keys() and not any(len(s) > 256 for s in codec.memory)
+
+
+def test_a_difference_within_joined_segments_is_found(monkeypatch):
+    """A library that splits one word otherwise: only texts that hold it differ, and get the library's ids."""
+    codec = sentencepiece_codec.Codec(tokenizer_path("piece_bpe_32k.model"))
+    library, names = codec.oracle, [p for p, _, _ in codec.model.pieces]
+    whole, parts = library.encode("wrong"), [names.index(p) for p in ("▁w", "r", "o", "n", "g")]
+
+    class Other:
+        def encode(self, texts, **options):
+            if isinstance(texts, str):
+                return self.encode([texts])[0]
+            return [[y for x in ids for y in (parts if x == whole[0] else [x])] for ids in library.encode(texts, **options)]
+
+    assert len(whole) == 1
+    codec.oracle = Other()
+    texts = [f"text {k} " + ("wrong" if k % 3 == 0 else "right") for k in range(300)]
+    packed, back, parity = codec.encode_packed(texts)
+    assert parity == [k % 3 != 0 for k in range(300)] and all(back)
+    assert [list(array("i", ids)) for ids in packed] == Other().encode(texts)
+
+
 def test_parity_has_no_nulls(edge):
     out = sentencepiece_codec.encode_documents(edge, tokenizer_path("piece_bpe_32k.model"), with_ids=False)
     assert out.filter("parity is null or not parity").count() == 0
